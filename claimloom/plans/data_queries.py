@@ -119,13 +119,13 @@ _TIMES = f"""SELECT *, (epoch_us(event_timestamp) // {_DAY} + 1) * {_DAY} AS day
     FROM ({_RANKED}) WHERE copy_no = 1"""
 _FATES = f"""SELECT *, CASE WHEN came > day_end + 72 * {_HOUR} THEN 'dropped' WHEN came > day_end + {_HOUR} THEN 'correction' ELSE 'on_time' END AS fate,
     (to_timestamp(0) + to_seconds((day_end - {_DAY}) // 1000000))::DATE AS event_day FROM ({_TIMES})"""
-_EVENTS = """SELECT policy_id, epoch_us(event_timestamp) AS at,
+_EVENTS = """SELECT policy_id, epoch_us(event_timestamp) AS t_us,
     max_by({'s': upper(trim(consent_status)), 'i': upper(trim(target_institution))}, event_no) AS v
   FROM consent_events WHERE consent_status IS NOT NULL AND target_institution IS NOT NULL GROUP BY ALL"""
-_VERSIONS = f"""WITH m AS (SELECT *, lag(v) OVER (PARTITION BY policy_id ORDER BY at) AS b FROM ({_EVENTS})),
+_VERSIONS = f"""WITH m AS (SELECT *, lag(v) OVER (PARTITION BY policy_id ORDER BY t_us) AS b FROM ({_EVENTS})),
   c AS (SELECT * FROM m WHERE b IS NULL OR b <> v)
-  SELECT policy_id, v.s AS consent_status, v.i AS target_institution, at AS valid_from_us,
-    coalesce(lead(at) OVER (PARTITION BY policy_id ORDER BY at), -1) AS valid_to_us FROM c"""
+  SELECT policy_id, v.s AS consent_status, v.i AS target_institution, t_us AS valid_from_us,
+    coalesce(lead(t_us) OVER (PARTITION BY policy_id ORDER BY t_us), -1) AS valid_to_us FROM c"""
 
 
 def _side(table: str) -> str:
@@ -161,8 +161,8 @@ ORACLES = {
           least(day_end + {_HOUR} + step * {_HOUR}, day_end + 72 * {_HOUR}) AS published_us,
           (sum(n) OVER w)::BIGINT AS row_count, (sum(a) OVER w)::DOUBLE AS amount
         FROM s WINDOW w AS (PARTITION BY event_day ORDER BY step ROWS UNBOUNDED PRECEDING)""",
-    "p6_ordered": f"""WITH o AS (SELECT event_day, record_id, epoch_us(event_timestamp) AS at, came, epoch_us(event_timestamp) - lag(epoch_us(event_timestamp)) OVER w AS gap,
+    "p6_ordered": f"""WITH o AS (SELECT event_day, record_id, epoch_us(event_timestamp) AS t_us, came, epoch_us(event_timestamp) - lag(epoch_us(event_timestamp)) OVER w AS gap,
           (came < lag(came) OVER w)::INT AS inv FROM ({_FATES}) WHERE fate <> 'dropped' WINDOW w AS (PARTITION BY event_day ORDER BY event_timestamp, record_id))
-        SELECT event_day, count(*) AS row_count, arg_min(record_id, (at, record_id)) AS first_row, arg_max(record_id, (at, record_id)) AS last_row,
+        SELECT event_day, count(*) AS row_count, arg_min(record_id, (t_us, record_id)) AS first_row, arg_max(record_id, (t_us, record_id)) AS last_row,
           coalesce(max(gap), 0) AS longest_gap_us, coalesce(sum(inv), 0)::BIGINT AS inversions FROM o GROUP BY event_day""",
 }
