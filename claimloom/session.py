@@ -52,6 +52,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least two partitions per core. Inputs of many files stay as they are; only those that would leave
+    cores idle before costly work are shuffled once. Rows keep deterministic places, so retries see the same rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """A parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
