@@ -118,7 +118,7 @@ _RANKED = """SELECT *, row_number() OVER (PARTITION BY lower(trim(claim_id)), ev
 _TIMES = f"""SELECT *, (epoch_us(event_timestamp) // {_DAY} + 1) * {_DAY} AS day_end, epoch_us(_ingested_at) AS came
     FROM ({_RANKED}) WHERE copy_no = 1"""
 _FATES = f"""SELECT *, CASE WHEN came > day_end + 72 * {_HOUR} THEN 'dropped' WHEN came > day_end + {_HOUR} THEN 'correction' ELSE 'on_time' END AS fate,
-    (to_timestamp(0) + to_seconds((day_end - {_DAY}) // 1000000))::DATE AS event_day FROM ({_TIMES})"""
+    DATE '1970-01-01' + ((day_end // {_DAY}) - 1)::INT AS event_day FROM ({_TIMES})"""
 _EVENTS = """SELECT policy_id, epoch_us(event_timestamp) AS t_us,
     max_by({'s': upper(trim(consent_status)), 'i': upper(trim(target_institution))}, event_no) AS v
   FROM consent_events WHERE consent_status IS NOT NULL AND target_institution IS NOT NULL GROUP BY ALL"""
