@@ -1,32 +1,41 @@
 """Encoding of a whole corpus with a public byte-level tokenizer, and back.
 
-Pre-tokens are taken with their positions; each distinct pre-token of the corpus is encoded once; ids are joined back
-and put together by position. The shuffles carry one row per document and distinct pre-token, with all positions in
-it, so even the most frequent word weighs no more than one row per document; the join on words is an ordinary one
-that adaptive execution may split where a word is hot. The dictionary is reduced per batch before it is shuffled.
+Texts are taken in blocks. A block numbers its distinct pre-tokens and keeps every text as the sequence of those
+numbers, which states the pre-token at each position. The distinct pre-tokens of all blocks are shuffled by word, each
+word of the corpus is encoded once, the ids are joined back to the blocks, and each block puts its texts together by
+position. What is shuffled is one row per block and distinct word, and the packed number sequences; a frequent word
+costs one row per block. Blocks have a bounded number of pre-tokens, so the work of one task is bounded too.
 """
 
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.session import spread
+from claimloom.session import spread, stored
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
 #: The vocabulary that ``byte_bpe_50k`` names.
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: Pre-tokens of one block; a single longer text makes a block of its own.
+BLOCK_WORDS = 1_000_000
 
 # Fixed value: how the byte-level vocabulary splits text before merging.
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+_PARTS = "_block long, _id {id}, _packed binary, _number int, _word string"
+
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
@@ -38,88 +47,137 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def _words_by_position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_row, _id, _text) to one row per document and distinct pre-token; one row without word for a text without any."""
-    for batch in batches:
-        rows, words, places = [], [], []
-        for i, text in enumerate(batch.column("_text").to_pylist()):
-            at: dict[str, list[int]] = {}
-            for p, word in enumerate(SPLIT.findall(text) if text else ()):
-                at.setdefault(word, []).append(p)
-            if at:
-                rows += [i] * len(at)
-                words += at.keys()
-                places += at.values()
-            else:
-                rows.append(i)
-                words.append(None)
-                places.append([])
-        take = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_row").take(take), batch.column("_id").take(take), pa.array(words, pa.string()), pa.array(places, pa.list_(pa.int32()))],
-            names=["_row", "_id", "_word", "_places"],
+class _Block:
+    """Texts as sequences of word numbers, with the words in the order of their numbers."""
+
+    def __init__(self, number: int, id_type: pa.DataType):
+        self.number, self.id_type, self.size = number, id_type, 0
+        self.ids: list = []
+        self.packed: list[bytes] = []
+        self.words: dict[str, int] = {}
+
+    def add(self, key, text: str | None) -> None:
+        found, words = SPLIT.findall(text) if text else [], self.words
+        for w in found:
+            if w not in words:
+                words[w] = len(words)
+        self.size += len(found)
+        self.ids.append(key)
+        self.packed.append(zlib.compress(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)).tobytes(), 1))
+
+    def rows(self) -> pa.RecordBatch:
+        n, m = len(self.ids), len(self.words)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([self.number] * (n + m), pa.int64()),
+                pa.array(self.ids + [None] * m, self.id_type),
+                pa.array(self.packed + [None] * m, pa.binary()),
+                pa.array([None] * n + [*range(m)], pa.int32()),
+                pa.array([None] * n + [*self.words], pa.string()),
+            ],
+            names=["_block", "_id", "_packed", "_number", "_word"],
         )
 
 
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _into_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, k, block = TaskContext.get().partitionId(), 0, None
     for batch in batches:
-        seen: set[str] = set()
-        for text in batch.column("_text").to_pylist():
-            if text:
-                seen.update(SPLIT.findall(text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["_word"])
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            block = block or _Block((task << 32) + k, batch.schema.field(0).type)
+            block.add(key, text)
+            if block.size >= BLOCK_WORDS:
+                yield block.rows()
+                block, k = None, k + 1
+    if block:
+        yield block.rows()
 
 
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
-            words = batch.column("_word")
+            words = batch.column(0)
             ids = [e.ids for e in tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.list_(pa.int32()))], names=["_word", "_ids"])
 
     return encode
 
 
-def word_ids(texts: DataFrame, path: str) -> DataFrame:
-    """``_word`` and ``_ids`` of each distinct pre-token of ``_text``."""
-    words = texts.select("_text").mapInArrow(_distinct_words, "_word string").distinct()
-    return words.mapInArrow(_encoder(path), "_word string, _ids array<int>")
-
-
-def encoded(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
+def _put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """The texts of one block as lists of ids; ``words`` has the ids of each of its word numbers."""
+    lists = words.column("_ids").combine_chunks()
+    size = np.zeros(len(lists), np.int64)
+    number = words.column("_number").to_numpy()
+    size[number] = pc.list_value_length(lists).to_numpy()
+    at = np.zeros(len(lists), np.int64)
+    at[number] = lists.offsets.to_numpy()[:-1]
+    values = lists.values.to_numpy()
+    out, ends, total = [], [0], 0
+    for packed in texts.column("_packed").to_pylist():
+        seq = np.frombuffer(zlib.decompress(packed), np.uint32)
+        n = size[seq]
+        length = int(n.sum())
+        # The place of each id: the start of its word's ids, counted on within the word.
+        first = np.repeat(at[seq] - (np.cumsum(n) - n), n)
+        out.append(values[first + np.arange(length)] if length else values[:0])
+        total += length
+        ends.append(total)
+    flat = np.concatenate(out) if out else values[:0]
+    ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat, pa.int32())).cast(pa.list_(pa.int32()))
+    return pa.table([texts.column("_id"), ids], names=["_id", "ids"])
+
+
+def encoded(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``id_column`` and ``ids`` of every row, without special tokens; an empty list for empty and null texts.
 
-    Each input row gives one row, also where ids repeat or are null: rows are told apart by their place in the input.
+    Each input row gives one row, also where ids repeat or are null. Texts are split once; the blocks are stored, since
+    both their words and their texts are read.
     """
-    texts = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    texts = spread(texts)
+    texts = spread(documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")))
     id_type = texts.schema["_id"].dataType.simpleString()
-    placed = texts.mapInArrow(_words_by_position, f"_row long, _id {id_type}, _word string, _places array<int>")
-    joined = placed.join(word_ids(texts, vocabulary), "_word", "left")
-    pieces = joined.groupBy("_row").agg(F.first("_id").alias(id_column), F.collect_list(F.struct("_places", "_ids")).alias("_pieces"))
-    spread = F.flatten(F.transform("_pieces", lambda w: F.transform(w["_places"], lambda p: F.struct(p.alias("p"), w["_ids"].alias("ids")))))
-    return pieces.select(id_column, F.flatten(F.transform(F.sort_array(spread), lambda x: x["ids"])).alias("ids"))
-
-
-def token_bytes(spark: SparkSession, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """``_token`` and ``_bytes`` of the vocabulary: a table of fixed size (about 50,000 rows)."""
+    parts = stored(texts.mapInArrow(_into_blocks, _PARTS.format(id=id_type)))
+    words = parts.filter(F.col("_word").isNotNull()).select("_block", "_number", "_word")
+    known = words.select("_word").distinct().mapInArrow(_encoder(vocabulary), "_word string, _ids array<int>")
+    numbered = words.join(known, "_word").select(F.col("_block").alias("_of_block"), "_number", "_ids")
+    kept = parts.filter(F.col("_packed").isNotNull()).select("_block", "_id", "_packed")
+    # A block without any word has texts only; a full outer cogroup keeps it.
+    together = kept.groupBy("_block").cogroup(numbered.groupBy("_of_block")).applyInArrow(_put_together, f"_id {id_type}, ids array<int>")
+    return together.withColumnRenamed("_id", id_column)
+
+
+@lru_cache(maxsize=2)
+def token_bytes(vocabulary: str = VOCABULARY) -> pa.Array:
+    """The bytes of each token, by id: a table of fixed size (about 50,000 rows)."""
     printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     others = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    special = {t.content for t in _tokenizer(vocabulary).get_added_tokens_decoder().values()}
-    rows = [(i, bytearray(t.encode() if t in special else bytes(byte_of[c] for c in t))) for t, i in _tokenizer(vocabulary).get_vocab().items()]
-    return spark.createDataFrame(rows, "_token int, _bytes binary")
+    tokenizer = _tokenizer(vocabulary)
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    table = {i: t.encode() if t in special else bytes(byte_of[c] for c in t) for t, i in tokenizer.get_vocab().items()}
+    return pa.array([table.get(i, b"") for i in range(max(table) + 1)], pa.binary())
+
+
+def _decoder(path: str):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(path)
+        for batch in batches:
+            lists = batch.column(1)
+            lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+            parts = pc.take(table, pc.list_flatten(lists))
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts), b"")
+            texts = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["_id", "text"])
+
+    return decode
 
 
-def decoded(ids: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """``id_column`` and ``text`` of lists of ids: each id is joined with its bytes, which are put together by position.
+def decoded(ids: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
+    """``id_column`` and ``text`` of lists of ids: each id is joined with its bytes, which are put together in order.
 
-    The vocabulary has a fixed size and is broadcast, so ids stay where they are until a document's bytes are gathered.
+    The table of token bytes has a fixed size, so every task joins against its own copy and nothing is shuffled. Bytes
+    that are no UTF-8 decode to U+FFFD; null lists give empty texts.
     """
-    rows = ids.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column), F.col(ids_column).alias("_ids"))
-    tokens = rows.select("_row", id_column, F.posexplode_outer("_ids").alias("_p", "_token"))
-    parts = tokens.join(F.broadcast(token_bytes(ids.sparkSession, vocabulary)), "_token", "left")
-    together = parts.groupBy("_row").agg(F.first(id_column).alias(id_column), F.sort_array(F.collect_list(F.struct("_p", F.hex("_bytes").alias("h")))).alias("_parts"))
-    text = F.array_join(F.transform("_parts", lambda x: x["h"]), "")
-    return together.select(id_column, F.decode(F.unhex(text), "UTF-8").alias("text"))
+    rows = ids.select(F.col(id_column).alias("_id"), F.col(ids_column).alias("_ids"))
+    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, text string"
+    return rows.mapInArrow(_decoder(vocabulary), schema).withColumnRenamed("_id", id_column)
