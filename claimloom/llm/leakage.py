@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -34,60 +35,94 @@ WINDOW = 26
 #: Items of one index shard, and of one block of its postings.
 SHARD, BLOCK = 1_000, 8
 #: Windows of a text that are scored at once; bounds the memory of very long texts.
-AT_ONCE = 512
+AT_ONCE = 2_048
+#: Words of texts that are searched together.
+TOKENS_AT_ONCE = 200_000
 # The usual parameters of BM25.
 K1, B = 1.2, 0.75
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
-_MARKS = regex.compile(r"\p{M}+")
-_COMMENT = regex.compile(r"<!--.*?-->", regex.S)
-_REF = regex.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>", regex.S | regex.I)
-_TAG = regex.compile(r"</?[a-zA-Z][^<>]*>")
-_LINK = regex.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
-_SITE = regex.compile(r"\[(?:https?:)?//[^\s\]]+\s*([^\]]*)\]")
-_TEMPLATE = regex.compile(r"\{\{([^{}]*)\}\}")
-_QUOTES = regex.compile(r"'{2,}")
-_INVISIBLE = regex.compile("[­​-‍⁠﻿]")
-
-
-def folded_words(text: str) -> list[str]:
-    """Runs of letters or digits without case and diacritics."""
-    text = _INVISIBLE.sub("", text)
-    if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
-    return _WORD.findall(text.lower())
-
-
-def _last_argument(m: regex.Match) -> str:
-    parts = m[1].split("|")
-    return f" {parts[-1].partition('=')[2] if '=' in parts[-1] else parts[-1]} " if len(parts) > 1 else " "
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
+_LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]")
+_SITE = re.compile(r"\[(?:https?:)?//[^\s\]]+\s*([^\]]*)\]")
+_QUOTES = re.compile(r"'{2,}")
+_COMBINING = regex.compile(r"\p{M}+")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+# Markup that sets words apart becomes one sign each: template open and close, note open and close, bar and equals sign.
+_OPEN, _CLOSE, _NOTE, _NOTE_END, _BAR, _EQUALS = SIGNS = "\ue000\ue001\ue002\ue003\ue004\ue005"
+_PIECES = re.compile(f"[^\\W_]+|[{SIGNS}]")
 
 
-def _untemplated(text: str, by) -> str:
-    while True:
-        text, n = _TEMPLATE.subn(by, text)
-        if not n:
-            return text
+def _tag_sign(m: re.Match) -> str:
+    tag = m[0].lower()
+    if tag.startswith("</ref"):
+        return _NOTE_END
+    return _NOTE if tag.startswith("<ref") and tag[4:5] in " >\t\n" and not tag.endswith("/>") else ""
 
 
-def readings(text: str) -> Iterator[list[str]]:
-    """The words of a wiki text: with the words of templates and notes, and, where they differ, without them and with
-    each template standing for its last argument. A passage may stand in a template or be interrupted by one."""
+def pieces(text: str) -> list[str]:
+    """Words, folded (without case and diacritics), and signs of a wiki text. A link stands for its visible words, an
+    entity for its character."""
     if "&" in text:
         text = html.unescape(html.unescape(text))
-    text = _COMMENT.sub("", text)
-    linked = _SITE.sub(r"\1", _LINK.sub(r"\1", text))
-    yield folded_words(_QUOTES.sub("", _TAG.sub("", linked)))
-    notes = "<ref" in linked or "<REF" in linked
-    if "{{" in linked or notes:
-        bare = _REF.sub(" ", linked)
-        yield folded_words(_QUOTES.sub("", _TAG.sub("", _untemplated(bare, " "))))
-        if "{{" in linked:
-            yield folded_words(_QUOTES.sub("", _TAG.sub("", _untemplated(bare, _last_argument))))
+    if "<" in text:
+        text = _TAG.sub(_tag_sign, _COMMENT.sub("", text))
+    if "[" in text:
+        text = _SITE.sub(r"\1", _LINK.sub(r"\1", text))
+    if "{{" in text:
+        text = text.replace("{{", _OPEN).replace("}}", _CLOSE).replace("|", _BAR).replace("=", _EQUALS)
+    if "''" in text:
+        text = _QUOTES.sub("", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
+        text = _COMBINING.sub("", text)
+    return _PIECES.findall(text.lower())
 
 
 def plain_words(text: str) -> list[str]:
-    return next(readings(text))
+    return [w for w in pieces(text) if w not in SIGNS]
+
+
+def _dropped(signs: list[tuple[int, str]], arguments: bool) -> list[tuple[int, int]]:
+    """Ranges of pieces to leave out: notes, and templates up to their last argument or, without ``arguments``, whole.
+    Markup that isn't closed is left in."""
+    out, stack, note = [], [], None
+    for at, sign in signs:
+        if sign == _OPEN:
+            stack.append([at, None])
+        elif sign == _CLOSE and stack:
+            start, keep = stack.pop()
+            out += [(start, at + 1)] if keep is None or not arguments else [(start, keep + 1)]
+        elif sign == _BAR and stack:
+            stack[-1][1] = at
+        elif sign == _EQUALS and stack and stack[-1][1] is not None and arguments:
+            stack[-1][1] = at
+        elif sign == _NOTE:
+            note = at
+        elif sign == _NOTE_END and note is not None:
+            out.append((note, at + 1))
+            note = None
+    return out
+
+
+def readings(tokens: np.ndarray, signs: list[tuple[int, str]]) -> Iterator[np.ndarray]:
+    """Token sequences of a text: with the words of templates and notes; and, where there are any, without them, and
+    with each template standing for its last argument. A passage may stand in a template or be interrupted by one."""
+    if not signs:
+        yield tokens
+        return
+    plain = np.ones(len(tokens), bool)
+    plain[[at for at, _ in signs]] = False
+    yield tokens[plain]
+    seen: list = []
+    for arguments in (False, True):
+        ranges = _dropped(signs, arguments)
+        if ranges and ranges not in seen:
+            seen.append(ranges)
+            mask = plain.copy()
+            for start, end in ranges:
+                mask[start:end] = False
+            yield tokens[mask]
 
 
 class Index:
@@ -117,60 +152,101 @@ class Index:
                 self.weights[self.terms[w], d] = x / threshold
             self.grams.append({tuple(self.terms[w] for w in run) for run in runs})
         self.bounds = self.weights.reshape(len(self.terms) + 1, blocks, BLOCK).max(axis=2)
+        self.most = self.bounds.max(axis=1)
 
     def retrieve(self, tokens: np.ndarray) -> list[tuple[int, int]]:
         """(start of window, item) of all pairs that score 1 or more. A word that a window repeats counts each time,
         which only raises scores."""
         n, step, found = len(tokens), WINDOW - RUN + 1, []
-        for first in range(0, max(n - RUN + 1, 1), step * AT_ONCE):
-            part = tokens[first : first + step * (AT_ONCE - 1) + WINDOW]
-            starts = np.arange(0, min(max(len(part) - RUN + 1, 1), step * AT_ONCE), step)
-            total = np.zeros((len(part) + 1, self.bounds.shape[1]))
-            np.cumsum(self.bounds[part], axis=0, out=total[1:])
-            window, block = np.nonzero(total[np.minimum(starts + WINDOW, len(part))] - total[starts] >= 1)
+        starts = np.arange(0, max(n - RUN + 1, 1), step)
+        ends = np.minimum(starts + WINDOW, n)
+        # A window with a run holds RUN known words in a row, and the largest weights of its words reach the bound.
+        unknown = np.zeros(n + 1, np.int64)
+        np.cumsum(tokens == len(self.terms), out=unknown[1:])
+        runs = np.zeros(n + 2, np.int64)
+        np.cumsum(unknown[RUN:] == unknown[: n + 1 - RUN], out=runs[1 : n + 2 - RUN]) if n >= RUN else None
+        runs[n + 2 - RUN :] = runs[max(n + 1 - RUN, 0)]
+        starts, ends = (x[runs[np.maximum(ends - RUN + 1, starts)] > runs[starts]] for x in (starts, ends))
+        total = np.zeros(n + 1)
+        np.cumsum(self.most[tokens], out=total[1:])
+        starts = starts[total[ends] - total[starts] >= 1]
+        padded = np.concatenate([tokens, np.full(WINDOW, len(self.terms), tokens.dtype)])
+        for at in range(0, len(starts), AT_ONCE):
+            words = padded[starts[at : at + AT_ONCE, None] + np.arange(WINDOW)]
+            window, block = np.nonzero(self.bounds[words].sum(axis=1) >= 1)
             if not len(window):
                 continue
-            padded = np.concatenate([part, np.full(WINDOW, len(self.terms))])
-            words = padded[starts[window][:, None] + np.arange(WINDOW)]
             items = block[:, None] * BLOCK + np.arange(BLOCK)
-            for at in range(0, len(window), AT_ONCE):
-                scores = self.weights[words[at : at + AT_ONCE, :, None], items[at : at + AT_ONCE, None, :]].sum(axis=1)
-                pair, k = np.nonzero(scores >= 1)
-                found += zip((first + starts[window[at + pair]]).tolist(), items[at + pair, k].tolist())
+            scores, streak, longest = np.zeros(items.shape, np.float32), np.zeros(items.shape, np.int16), np.zeros(items.shape, np.int16)
+            for k in range(WINDOW):
+                weight = self.weights[words[window, k, None], items]
+                scores += weight
+                # A run of an item consists of words that the item has.
+                streak += 1
+                streak *= weight > 0
+                np.maximum(longest, streak, out=longest)
+            pair, k = np.nonzero((scores >= 1) & (longest >= RUN))
+            found += zip(starts[at + window[pair]].tolist(), items[pair, k].tolist())
         return found
 
-    def search(self, text: str) -> dict[int, tuple[float, bool]]:
-        """Items of which a run stands in ``text``, with the share of question words and whether the answer stands there."""
-        out: dict[int, tuple[float, bool]] = {}
-        none = len(self.terms)
-        for words in readings(text):
-            if len(words) < RUN:
-                continue
-            get = self.terms.get
-            tokens = np.fromiter((get(w, none) for w in words), np.int64, len(words))
-            for start, d in self.retrieve(tokens):
-                window = tokens[start : start + WINDOW].tolist()
-                if d in out or not any(tuple(window[k : k + RUN]) in self.grams[d] for k in range(len(window) - RUN + 1)):
-                    continue
-                known, answer, asked = {*words}, self.answers[d], self.questions[d]
-                stands = bool(answer) and any(tuple(words[k : k + len(answer)]) == answer for k in range(len(words) - len(answer) + 1))
-                out[d] = (len(asked & known) / len(asked) if asked else 0.0, stands)
+    def _overlap(self, d: int, words: list[str]) -> tuple[float, bool]:
+        """Share of the question's words among ``words``, and whether the answer stands there."""
+        asked, answer, known = self.questions[d], self.answers[d], {*words}
+        stands = bool(answer) and answer[0] in known and any(tuple(words[k : k + len(answer)]) == answer for k in range(len(words) - len(answer) + 1))
+        return (len(asked & known) / len(asked) if asked else 0.0), stands
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, float, bool]]:
+        """(text, item, question overlap, answer stands) of every text in which a run of an item stands.
+
+        The readings of many texts are laid end to end, with an unknown word between them, and searched at once.
+        """
+        out: list[tuple[int, int, float, bool]] = []
+        sequences: list[np.ndarray] = []
+        owners: list[int] = []
+        held, none, get = 0, len(self.terms), self.terms.get
+        gap = np.array([none], np.int32)
+        for i, text in enumerate([*texts, None]):
+            if text:
+                found = pieces(text)
+                if len(found) >= RUN:
+                    tokens = np.array([get(w, none) for w in found], np.int32)
+                    signs = [(k, w) for k, w in enumerate(found) if w in SIGNS] if _OPEN in text or "{{" in text or "<" in text or "&" in text else []
+                    for seq in readings(tokens, signs):
+                        sequences += (seq, gap)
+                        owners.append(i)
+                        held += len(seq)
+            if sequences and (held >= TOKENS_AT_ONCE or i == len(texts)):
+                out += self._verified(texts, sequences, owners)
+                sequences, owners, held = [], [], 0
         return out
 
+    def _verified(self, texts, sequences: list[np.ndarray], owners: list[int]) -> list[tuple[int, int, float, bool]]:
+        tokens = np.concatenate(sequences)
+        firsts = np.cumsum([0, *[len(a) + 1 for a in sequences[::2]]])[:-1]
+        hits: set[tuple[int, int]] = set()
+        for start, d in self.retrieve(tokens):
+            window = tokens[start : start + WINDOW].tolist()
+            for k in range(len(window) - RUN + 1):
+                if tuple(window[k : k + RUN]) in self.grams[d]:
+                    hits.add((owners[int(np.searchsorted(firsts, start + k, "right")) - 1], d))
+                    break
+        words: dict[int, list[str]] = {}
+        return [(i, d, *self._overlap(d, words.setdefault(i, plain_words(texts[i])))) for i, d in sorted(hits)]
+
 
 def _searcher(index):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: Index = index.value
         for batch in batches:
-            rows, items, asked, answered = [], [], [], []
-            for i, text in enumerate(batch.column("_text").to_pylist()):
-                for d, (share, stands) in ready.search(text).items() if text else ():
-                    rows.append(i)
-                    items.append(ready.items[d])
-                    asked.append(share)
-                    answered.append(stands)
+            found = ready.search(batch.column("_text").to_pylist())
+            rows, items, asked, answered = zip(*found) if found else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(asked, pa.float64()), pa.array(answered, pa.bool_())],
+                [
+                    batch.column("_id").take(pa.array(rows, pa.int64())),
+                    pa.array([ready.items[d] for d in items], pa.int64()),
+                    pa.array(asked, pa.float64()),
+                    pa.array(answered, pa.bool_()),
+                ],
                 names=["_id", "item_id", "question_overlap", "answer_stands"],
             )
 
