@@ -16,6 +16,7 @@ the vocabulary is never gathered in one place.
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,12 +33,14 @@ LIMIT_TEXTS, LIMIT_SHARE = 5, 0.05
 #: Characters that trimming may take off a text cut at a limit.
 TRIMMED = 3
 
-_TERMINAL = regex.compile(r"""[.!?…。！？؟۔](?:["”»“'’)\]）」』]|\s)*$""")
-_LAST_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+$")
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_TERMINALS = frozenset(".!?…。！？؟۔")
+_CLOSERS = "\"”»“'’)]）」』 \t\r\n\u00a0"
+_WORD = re.compile(r"[^\W_]+")
 _OPEN_TAG = regex.compile(r"<(?:/?[a-zA-Z][^<>]*|/|!-{0,2})?$")
 _TRAILER = regex.compile(r"(?:<ref\b[^<>]*/>|<ref\b[^<>]*>(?:(?!<ref\b).)*?</ref>|\{\{[^{}]*\}\}|\{\{\{[^{}]*\}\}\})\s*$", regex.S)
 _TABLE_END = regex.compile(r"(?:^|\n)\|\}(?!\})")
+_NOTE = regex.compile(r"<ref\b[^<>]*(?<!/)>")
+_ENTITY = regex.compile(r"&#?\w{0,8}$")
 _HEADING = regex.compile(r"^(=+)[^=].*?(=+)$")
 _LINKS = regex.compile(r"^(?:\[\[[^\[\]]*\]\]\s*)+$")
 _CLOSED = regex.compile(r"(?:<[^<>]*/>|</\w+>|-->|~{3,5}|\|\})$")
@@ -47,19 +50,33 @@ _PARENS = {")": "(", "）": "（"}
 FINISHED, OPEN, PROSE, BARE = "finished", "open", "prose", "bare"
 
 
+def _closes(text: str) -> bool:
+    """Whether ``text`` ends a sentence; quotes and brackets may follow."""
+    return text.rstrip(_CLOSERS)[-1:] in _TERMINALS
+
+
+def _last_word(text: str) -> str | None:
+    """The letters and digits that touch the end of ``text``."""
+    at = len(text)
+    while at and text[at - 1].isalnum():
+        at -= 1
+    return text[at:] or None
+
+
 def ending(text: str) -> str:
     """How ``text`` ends: ``finished``, ``open`` (markup), ``prose`` (running sentence) or ``bare`` (may be natural)."""
     s = text.rstrip()
     if not s:
         return FINISHED
     line = s[s.rfind("\n") + 1 :].lstrip()
-    terminal = bool(_TERMINAL.search(s))
-    if s[-1] in "�[{<" or regex.search(r"&#?\w{0,8}$", line) or s.rfind("<!--") > s.rfind("-->") or _OPEN_TAG.search(line):
-        return OPEN
-    low = line.lower()
-    note = max((m.start() for m in regex.finditer(r"<ref\b[^<>]*(?<!/)>", low)), default=-1)
-    if note > low.rfind("</ref"):
+    terminal = _closes(s)
+    if s[-1] in "�[{<" or ("&" in line[-10:] and _ENTITY.search(line)) or s.rfind("<!--") > s.rfind("-->") or _OPEN_TAG.search(line):
         return OPEN
+    if "<" in line:
+        low = line.lower()
+        note = max((m.start() for m in _NOTE.finditer(low)), default=-1)
+        if note > low.rfind("</ref"):
+            return OPEN
     if not terminal and (line.rfind("[[") > line.rfind("]]") or line.rfind("{{") > line.rfind("}}")):
         return OPEN
     if line[0] in "|!" or line.startswith("{|"):
@@ -67,7 +84,7 @@ def ending(text: str) -> str:
         if s.rfind("{|") > closed or (s.rfind("{{") > s.rfind("}}")):
             return OPEN
     while True:
-        cut = _TRAILER.sub("", line).rstrip()
+        cut = _TRAILER.sub("", line).rstrip() if line[-1:] in "}>" else line
         if cut == line:
             break
         line = cut
@@ -76,12 +93,12 @@ def ending(text: str) -> str:
     if line[0] == "=":
         m = _HEADING.match(line)
         return FINISHED if m and m[1] == m[2] else OPEN
-    if _TERMINAL.search(line) or _LINKS.match(line) or (line[0] == "#" and line.endswith("]]")):
+    if _closes(line) or _LINKS.match(line) or (line[0] == "#" and line.endswith("]]")):
         return FINISHED
     if line[-1] in _PARENS:
         before = line[: line.rfind(_PARENS[line[-1]])].rstrip() if _PARENS[line[-1]] in line else ""
         before = _TRAILER.sub("", before).rstrip()
-        if not before or _TERMINAL.search(before):
+        if not before or _closes(before):
             return FINISHED
     if line[0] in "*#:;|!":
         return FINISHED if line.endswith("]]") else BARE
@@ -94,8 +111,7 @@ def described(text: str) -> tuple[str, bool, str | None, int, int]:
     mark = next((m for m in MARKS if text.endswith(m)), "")
     body = text[: len(text) - len(mark)]
     plain = html.unescape(html.unescape(body)) if "&" in body else body
-    token = _LAST_WORD.search(plain)
-    return ending(plain), bool(mark), token[0] if token else None, len(body), len(body.encode())
+    return ending(plain), bool(mark), _last_word(plain), len(body), len(body.encode())
 
 
 _ENDS = "_id {id}, _source {source}, _ending string, _marked boolean, _token string, _chars int, _bytes int"
