@@ -13,101 +13,77 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
+
+from claimloom.session import free_prefix
 
 #: Rows of one identifier that a single task may rank.
 HOT_ROWS = 200_000
 
-_WORK = ("__digest", "__copies", "__part", "__parts", "__rank", "__order")
-
-
 @dataclass(frozen=True)
 class MessageKey:
     """What identifies a message and which copy comes first.
 
-    ``identifier`` maps a working name to the normalised expression. Rows whose first expression is null or empty
-    carry no identifier, can't be recognised as copies and all stay. The other parts compare null-safe.
+    ``identifier`` lists normalised expressions. Rows whose first expression is null or empty carry no identifier, can't
+    be recognised as copies and all stay. The other parts compare null-safe.
     ``order`` lists expressions; the smallest row is kept. Nulls come last. It should end with a unique column.
     """
 
-    identifier: dict[str, Column]
+    identifier: Sequence[Column]
     order: Sequence[Column]
 
 
 def claim_message_key() -> MessageKey:
     """Copies of claim messages agree in claim_id (case and blanks aside), event_type and event_timestamp."""
     return MessageKey(
-        {
-            "__id_claim": F.lower(F.trim("claim_id")),
-            "__id_type": F.col("event_type"),
-            "__id_time": F.col("event_timestamp"),
-        },
+        [F.lower(F.trim("claim_id")), F.col("event_type"), F.col("event_timestamp")],
         [F.col("_ingested_at"), F.col("record_id")],
     )
 
 
-def _prepared(df: DataFrame, key: MessageKey) -> tuple[DataFrame, list[str], list[str]]:
-    clash = set(df.columns) & ({*_WORK} | set(key.identifier))
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are reserved by this operator")
-    ids = list(key.identifier)
-    orders = [f"__order{i}" for i in range(len(key.order))]
-    out = df.withColumns(key.identifier | dict(zip(orders, key.order)))
-    return out.withColumn("__digest", F.xxhash64(*ids)), ids, orders
-
-
-def _identified(ids: list[str], df: DataFrame) -> Column:
-    first = F.col(ids[0])
-    known = first.isNotNull()
-    if isinstance(df.schema[ids[0]].dataType, T.StringType):
-        known = known & (first != "")
-    return known
-
-
 @dataclass
 class Split:
-    """The three disjoint parts of the input."""
+    """The four disjoint parts of the input."""
 
     anonymous: DataFrame  # without identifier
     singletons: DataFrame  # identifier that occurs once
     kept: DataFrame  # first copy of each repeated message
     redundant: DataFrame  # every other copy
-    _columns: list[str]
 
 
 def split_by_frequency(df: DataFrame, key: MessageKey, hot_rows: int = HOT_ROWS) -> Split:
-    """Split the rows of ``df`` by how often their identifier occurs, and rank only the repeated ones."""
-    columns = list(df.columns)
-    rows, ids, orders = _prepared(df, key)
-    known = rows.filter(_identified(ids, rows))
-    anonymous = rows.filter(~F.coalesce(_identified(ids, rows), F.lit(False))).select(columns)
+    """Split the rows of ``df`` by how often their identifier occurs, and rank only the repeated ones.
+
+    Working columns take a prefix that no input column has, so extra columns of any name pass through.
+    """
+    columns, w = [F.col(f"`{c}`") for c in df.columns], free_prefix(df)
+    ids, orders = [f"{w}id{i}" for i in range(len(key.identifier))], [f"{w}order{i}" for i in range(len(key.order))]
+    digest, copies, parts, part, rank = (w + x for x in ("digest", "copies", "parts", "part", "rank"))
+    rows = df.withColumns(dict(zip(ids, key.identifier)) | dict(zip(orders, key.order))).withColumn(digest, F.xxhash64(*ids))
+    identified = F.col(ids[0]).isNotNull()
+    if isinstance(rows.schema[ids[0]].dataType, T.StringType):
+        identified = identified & (F.col(ids[0]) != "")
+    known = rows.filter(identified)
+    anonymous = rows.filter(~identified).select(columns)
 
     repeated = (
-        known.groupBy("__digest")
-        .agg(F.count(F.lit(1)).alias("__copies"))
-        .filter(F.col("__copies") > 1)
-        .withColumn("__parts", F.ceil(F.col("__copies") / hot_rows).cast("int"))
-        .drop("__copies")
+        known.groupBy(digest)
+        .agg(F.count(F.lit(1)).alias(copies))
+        .filter(F.col(copies) > 1)
+        .select(digest, F.ceil(F.col(copies) / hot_rows).cast("int").alias(parts))
     )
-    singletons = known.join(repeated, "__digest", "left_anti").select(columns)
+    singletons = known.join(repeated, digest, "left_anti").select(columns)
 
-    groups = (
-        known.join(repeated, "__digest")
-        .withColumn("__part", F.pmod(F.xxhash64(*orders), F.col("__parts")))
-        .repartition("__digest", "__part")
-    )
+    groups = known.join(repeated, digest).withColumn(part, F.pmod(F.xxhash64(*orders), F.col(parts))).repartition(digest, part)
     first_copy = [F.col(c).asc_nulls_last() for c in orders]
-    ranked = groups.withColumn("__rank", F.row_number().over(Window.partitionBy("__digest", *ids, "__part").orderBy(*first_copy)))
-    alone, parted = F.col("__parts") == 1, F.col("__parts") > 1
-    finalists = ranked.filter(parted & (F.col("__rank") == 1)).withColumn(
-        "__rank", F.row_number().over(Window.partitionBy("__digest", *ids).orderBy(*first_copy))
-    )
-    kept = ranked.filter(alone & (F.col("__rank") == 1)).select(columns).union(finalists.filter("__rank = 1").select(columns))
-    redundant = ranked.filter(F.col("__rank") > 1).select(columns).union(finalists.filter("__rank > 1").select(columns))
-    return Split(anonymous, singletons, kept, redundant, columns)
+    ranked = groups.withColumn(rank, F.row_number().over(Window.partitionBy(digest, *ids, part).orderBy(*first_copy)))
+    first, alone = F.col(rank) == 1, F.col(parts) == 1
+    finalists = ranked.filter(~alone & first).withColumn(rank, F.row_number().over(Window.partitionBy(digest, *ids).orderBy(*first_copy)))
+    kept = ranked.filter(alone & first).select(columns).union(finalists.filter(first).select(columns))
+    redundant = ranked.filter(~first).select(columns).union(finalists.filter(~first).select(columns))
+    return Split(anonymous, singletons, kept, redundant)
 
 
 def exactly_once(stored: DataFrame, new: DataFrame | None = None, key: MessageKey | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:

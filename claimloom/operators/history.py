@@ -26,13 +26,18 @@ def normalised(name: str) -> Column:
     return F.upper(F.trim(F.col(name)))
 
 
+def _places(attributes) -> list[str]:
+    """Working names of the attributes, by place: their own names may be any."""
+    return [f"_a{i}" for i in range(len(attributes))]
+
+
 def latest_event_per_instant(df: DataFrame, entity: str, at: str, event_no: str, attributes: dict[str, Column]) -> DataFrame:
     """One row per entity and instant: rows without entity, time or any attribute don't count; of an instant's
     events the one with the largest number counts (a null number is smallest). Repeated messages of one event agree
     in the normalised attributes; should they not, the greatest values win, so the result never depends on order.
     """
-    kept = df.select(F.col(entity).alias("_entity"), F.unix_micros(F.col(at)).alias("_at"), F.col(event_no).alias("_no"), *[c.alias(n) for n, c in attributes.items()])
-    names = list(attributes)
+    names = _places(attributes)
+    kept = df.select(F.col(entity).alias("_entity"), F.unix_micros(F.col(at)).alias("_at"), F.col(event_no).alias("_no"), *[c.alias(n) for n, c in zip(names, attributes.values())])
     kept = kept.filter(F.col("_entity").isNotNull() & F.col("_at").isNotNull()).na.drop(subset=names)
     last = F.max(F.struct(F.coalesce(F.col("_no"), F.lit(-(2**63))).alias("no"), *names)).alias("_last")
     return kept.groupBy("_entity", "_at").agg(last).select("_entity", "_at", *[F.col(f"_last.{n}").alias(n) for n in names])
@@ -55,12 +60,13 @@ def _with_chunks(rows: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def versions(rows: DataFrame, attributes: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Versions of ``rows`` (``_entity``, ``_at`` in microseconds, the attributes; one row per entity and instant).
+    """Versions of ``rows`` (``_entity``, ``_at`` in microseconds, ``_a0``, ``_a1``, ... for the attributes; one row per
+    entity and instant).
 
     Returns ``_entity``, ``_valid_from``, ``_valid_to`` (null for the last version), the attributes and ``_events``
     (rows in the version that lie in the chunk in which it starts). Null attributes equal only null.
     """
-    names = list(attributes)
+    given, names = list(attributes), _places(attributes)
     state = F.struct(F.xxhash64(*names).alias("h"), *names)
     chunked = _with_chunks(rows, hot_rows).withColumn("_state", state)
     chunk = ["_entity", "_chunk"]
@@ -90,7 +96,7 @@ def versions(rows: DataFrame, attributes: Sequence[str], hot_rows: int = HOT_ROW
     return (
         islands.withColumn("_following", following)
         .join(later, chunk)
-        .select("_entity", "_valid_from", F.coalesce("_following", "_next_change").alias("_valid_to"), *names, "_events")
+        .select("_entity", "_valid_from", F.coalesce("_following", "_next_change").alias("_valid_to"), *[F.col(n).alias(g) for g, n in zip(given, names)], "_events")
     )
 
 
@@ -102,12 +108,12 @@ def consent_versions(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def snapshot_versions(snapshots: DataFrame, entity: str, taken_at: str, attributes: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Versions from periodic snapshots: ``taken_at`` is the instant of the snapshot. Attributes may be null."""
-    names = list(attributes)
+    names = _places(attributes)
     one = (
-        snapshots.select(F.col(entity).alias("_entity"), F.unix_micros(F.col(taken_at)).alias("_at"), *names)
+        snapshots.select(F.col(entity).alias("_entity"), F.unix_micros(F.col(taken_at)).alias("_at"), *[F.col(f"`{a}`").alias(n) for a, n in zip(attributes, names)])
         .filter(F.col("_entity").isNotNull() & F.col("_at").isNotNull())
         .groupBy("_entity", "_at")
         .agg(F.max(F.struct(*names)).alias("_s"))
         .select("_entity", "_at", *[F.col(f"_s.{n}").alias(n) for n in names])
     )
-    return versions(one, names, hot_rows)
+    return versions(one, attributes, hot_rows)

@@ -43,7 +43,7 @@ def buffered(df: DataFrame, event_time: str = "event_timestamp", arrival: str =
     """Adds ``_period`` (UTC day), ``_published_us``, ``_closed_us`` and ``_fate`` to each row.
 
     ``_fate`` is ``on_time``, ``correction``, ``dropped``, or null where either time is null; such rows belong to no
-    period and no aggregate counts them.
+    period and no aggregate counts them. Input columns of these names are replaced.
     """
     at = F.unix_micros(F.col(event_time))
     start_us = at - F.pmod(at, F.lit(_DAY_US))

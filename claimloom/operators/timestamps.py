@@ -190,7 +190,8 @@ def regulatory_reports(raw: DataFrame, sources: DataFrame) -> DataFrame:
     rules = sources.select(_source_name(F.col("source_system")).alias("_source"), "numeric_date_order", "date_field")
     fields = ("data_ocorrencia", "EVENT_DATE", "occurrenceDate")
     stated = F.coalesce(*[F.when(F.col("date_field") == n, F.col(n)) for n in fields])
-    rows = raw.withColumn("_source", _source_name(F.col("source_system"))).join(rules, "_source")
+    needed = raw.select("record_id", "external_reference_id", "kafka_timestamp", *fields, _source_name(F.col("source_system")).alias("_source"))
+    rows = needed.join(rules, "_source")
     rows = rows.select(
         "record_id", "_source", F.lower(F.trim("external_reference_id")).alias("_event"), F.unix_micros("kafka_timestamp").alias("_arrived"),
         stated.alias("_stated"), F.col("numeric_date_order").alias("_order"),

@@ -19,6 +19,10 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Unions of equally partitioned inputs are zipped by this Spark version, which fails where adaptive execution gives the
+#: inputs different numbers of partitions.
+_UNION = "spark.sql.unionOutputPartitioning"
+
 
 def get_spark(app_name: str = "claimloom", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A UTC session with adaptive execution; existing sessions are reused."""
@@ -27,7 +31,13 @@ def get_spark(app_name: str = "claimloom", master: str | None = None, conf: dict
         builder = builder.master(master)
     for key, value in (DEFAULTS | (conf or {})).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return guarded(builder.getOrCreate())
+
+
+def guarded(spark: SparkSession) -> SparkSession:
+    """The session with plain unions; see ``_UNION``."""
+    spark.conf.set(_UNION, "false")
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -59,6 +69,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return guarded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_prefix(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames has, for the working columns of an operator."""
+    prefix, names = "__w", [c.lower() for f in frames for c in f.columns]
+    while any(n.startswith(prefix) for n in names):
+        prefix += "_"
+    return prefix

@@ -43,7 +43,7 @@ class TableStore:
         os.replace(draft, folder / "_current")
 
     def _write(self, name: str, df: DataFrame, partition_by: str | None, label: str | None = None) -> str:
-        path = self._folder(name) / f"data-{label or uuid.uuid4().hex}"
+        path = self._folder(name) / f"__batch={label or uuid.uuid4().hex}"
         writer = df.write.mode("overwrite")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(str(path))
         return path.name
@@ -77,14 +77,14 @@ class TableStore:
         """Data folders of the current snapshot, oldest first."""
         return [str(self._folder(name) / p) for p in self._state(name)["parts"]]
 
-    def glob(self, name: str) -> str:
-        """Pattern of the data folders, for streams over tables that are only appended to."""
-        return str(self._folder(name) / "data-*")
+    def folder(self, name: str) -> str:
+        """The folder of a table, for streams over tables that are only appended to: its data folders are partitions."""
+        return str(self._folder(name))
 
     def vacuum(self, name: str) -> int:
         """Removes data folders that the current snapshot doesn't list; returns their number."""
         live = set(self._state(name)["parts"])
-        stale = [p for p in self._folder(name).glob("data-*") if p.name not in live]
+        stale = [p for p in self._folder(name).glob("__batch=*") if p.name not in live]
         for p in stale:
             shutil.rmtree(p)
         return len(stale)
@@ -109,7 +109,7 @@ class TableStore:
         known = {f.name: f.dataType for f in old}
         fields = list(old) + [f for f in df.schema if f.name not in known]
         aligned = df.select(*[(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
-        part = self._write(name, aligned, state["partition_by"], None if batch_id is None else f"batch-{batch_id}")
+        part = self._write(name, aligned, state["partition_by"], None if batch_id is None else f"n{batch_id}")
         parts = [*[p for p in state["parts"] if p != part], part]
         self._commit(name, state | {"version": state["version"] + 1, "parts": parts, "schema": T.StructType(fields).jsonValue()})
 

@@ -40,7 +40,8 @@ def run_bronze(spark: SparkSession, stream: DataFrame, topic: str, store: TableS
 
 def table_stream(spark: SparkSession, store: TableStore, table: str) -> DataFrame:
     """A table that is only appended to, as a stream of its data folders."""
-    return spark.readStream.schema(store.schema(table)).parquet(store.glob(table))
+    schema = store.schema(table)
+    return spark.readStream.schema(schema).parquet(store.folder(table)).select(*schema.names)
 
 
 def run_silver(spark: SparkSession, store: TableStore, source: str, target: str, key: str, checkpoint: str, results: str = "monitoring.dq_results") -> None:
