@@ -83,6 +83,7 @@ def ending(text: str) -> str:
         closed = max((m.start() for m in _TABLE_END.finditer(s)), default=-1)
         if s.rfind("{|") > closed or (s.rfind("{{") > s.rfind("}}")):
             return OPEN
+    whole = line
     while True:
         cut = _TRAILER.sub("", line).rstrip() if line[-1:] in "}>" else line
         if cut == line:
@@ -103,12 +104,16 @@ def ending(text: str) -> str:
     if line[0] in "*#:;|!":
         return FINISHED if line.endswith("]]") else BARE
     # A single word opens a sentence where other lines stand before it; alone it may be all there is.
-    return PROSE if len(_WORD.findall(line)) > 1 or _UNSPACED.search(line) or "\n" in s.strip() else BARE
+    return PROSE if len(_WORD.findall(line)) > 1 or _UNSPACED.search(line) or "\n" in s.strip() or line != whole else BARE
+
+
+def _mark(text: str) -> str:
+    return next((m for m in MARKS if text.endswith(m)), "")
 
 
 def described(text: str) -> tuple[str, bool, str | None, int, int]:
     """Ending, whether a mark of a cut stands there, final token, and length before the mark in characters and bytes."""
-    mark = next((m for m in MARKS if text.endswith(m)), "")
+    mark = _mark(text)
     body = text[: len(text) - len(mark)]
     plain = html.unescape(html.unescape(body)) if "&" in body else body
     return ending(plain), bool(mark), _last_word(plain), len(body), len(body.encode())
@@ -127,12 +132,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of a batch; the word that touches the end of a text is no evidence for itself."""
+    """Distinct words of a batch; the word that touches the end of a text, or the mark there, is no evidence for itself."""
     for batch in batches:
         seen: set[str] = set()
         for text in batch.column("_text").to_pylist():
-            words = _WORD.findall(text)
-            if words and text.endswith(words[-1]):
+            body = text[: len(text) - len(_mark(text))]
+            words = _WORD.findall(body)
+            if words and body.endswith(words[-1]):
                 words.pop()
             seen.update(words)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["_word"])
