@@ -31,10 +31,14 @@ def with_recent_count(df: DataFrame, entity: str = "customer_id", at: str = "eve
     second = F.unix_seconds(F.col(at))
     per_second = df.groupBy(F.col(entity).alias("__e"), second.alias("__s")).agg(F.count(counted).alias("__n"))
     timed = per_second.filter(F.col("__s").isNotNull())
-    bucket = F.floor(F.col("__s") / span)
-    copies = timed.withColumn("__b", F.explode(F.array(bucket, bucket + 1)))
-    window = Window.partitionBy("__e", "__b").orderBy("__s").rangeBetween(-span, 0)
-    recent = copies.withColumn(into, F.sum("__n").over(window)).filter(F.col("__b") == bucket).select("__e", "__s", into)
+    # A second adds its rows in its own bucket, is carried into the next one at its start, and is taken off there when
+    # it falls out of the span. A running total over these steps is linear, which a sliding frame is not.
+    s, n = F.col("__s"), F.col("__n")
+    bucket, gone = F.floor(s / span), s + span + 1
+    step = lambda b, at, by, own: F.struct(b.alias("b"), at.alias("at"), by.alias("by"), F.lit(own).alias("own"))
+    steps = F.array_compact(F.array(step(bucket, s, n, True), step(bucket + 1, (bucket + 1) * span, n, False), F.when(F.floor(gone / span) == bucket + 1, step(bucket + 1, gone, -n, False))))
+    total = F.sum("__x.by").over(Window.partitionBy("__e", "__x.b").orderBy("__x.at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    recent = timed.withColumn("__x", F.explode(steps)).withColumn(into, total).filter("__x.own").select("__e", "__s", into)
     untimed = per_second.filter(F.col("__s").isNull()).select("__e", "__s", F.col("__n").alias(into))
     same = F.col(entity).eqNullSafe(F.col("__e")) & second.eqNullSafe(F.col("__s"))
     return df.join(recent.unionByName(untimed), same, "left").drop("__e", "__s")
