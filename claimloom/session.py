@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +37,30 @@ def get_spark(app_name: str = "claimloom", master: str | None = None, conf: dict
 
 
 def guarded(spark: SparkSession) -> SparkSession:
-    """The session with plain unions; see ``_UNION``."""
+    """The session with plain unions (see ``_UNION``), whose Python workers can import this package."""
     spark.conf.set(_UNION, "false")
+    _ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once an application, unless their path already has it."""
+    root = Path(__file__).resolve().parents[1]
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in on_path or Path.cwd() == root and context.master.startswith("local[") or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="claimloom-")) / "claimloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in (root / "claimloom").rglob("*.py"):
+            z.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the cluster's own setting, or a local folder where none is set (tests)."""
     context = spark.sparkContext
