@@ -94,10 +94,10 @@ def with_parsed(df: DataFrame, text: Column, order: Column, name: str = "_civil"
     kind, count = at(0), at(1)
     is_civil = kind == "C"
     instant = (
-        F.when(kind == "S", count.try_cast("long") * 1_000_000)
-        .when(kind == "L", count.try_cast("long") * 1_000)
+        F.when(kind == "S", F.try_multiply(count.try_cast("long"), F.lit(1_000_000)))
+        .when(kind == "L", F.try_multiply(count.try_cast("long"), F.lit(1_000)))
         .when(kind == "U", count.try_cast("long"))
-        .when(kind == "E", F.floor(count.try_cast("decimal(38,10)") * 1000).try_cast("long"))
+        .when(kind == "E", F.floor(F.try_multiply(count.try_cast("decimal(28,6)"), F.lit(1_000))).try_cast("long"))
     )
     year = F.when(F.length(at(1)) == 2, F.concat(F.lit("20"), at(1))).otherwise(at(1))
     month = F.when(at(2).rlike("^[0-9]"), F.nullif(at(2), F.lit("")).try_cast("int")).otherwise(_lookup(MONTHS, F.lower(F.substring(at(2), 1, 3))))
@@ -130,8 +130,9 @@ def instant_us(civil: Column, zone: Column) -> Column:
     return F.coalesce(civil["instant_us"], F.when(ok, F.unix_micros(at)))
 
 
-def zone_violations(reports: DataFrame, candidates: list[str], slack_us: int = 1_000_000) -> DataFrame:
-    """Per source and candidate zone: reports with local time that fit no order of events.
+def zone_violations(reports: DataFrame, candidates: list[str], declared: DataFrame | None = None, slack_us: int = 1_000_000) -> DataFrame:
+    """Per source and candidate zone: reports with local time that fit no order of events. The zone that a source
+    declares (``_source``, ``_declared``) is a candidate for it too.
 
     ``reports`` has ``_source``, ``_event`` (identifier of what is reported, may be null), ``_civil`` and ``_arrived``
     (microseconds). A converted report violates the order if it lies after its own arrival, or if zoned reports of the
@@ -148,7 +149,9 @@ def zone_violations(reports: DataFrame, candidates: list[str], slack_us: int = 1
     )
     local = reports.filter(F.col("_civil.instant_us").isNull() & F.col("_civil.offset").isNull() & F.col("_civil.readable"))
     local = local.filter((F.col("_civil.hour") > 0) | (F.col("_civil.minute") > 0) | (F.col("_civil.second") > 0))
-    tried = local.join(anchors, "_event", "left").withColumn("_zone", F.explode(F.array(*[F.lit(c) for c in candidates])))
+    local = local.join(declared, "_source", "left") if declared is not None else local.withColumn("_declared", F.lit(None).cast("string"))
+    zones = F.array_distinct(F.array_compact(F.array(*[F.lit(c) for c in candidates], F.col("_declared"))))
+    tried = local.join(anchors, "_event", "left").withColumn("_zone", F.explode(zones))
     t = instant_us(F.col("_civil"), F.col("_zone"))
     apart = (t < F.col("_lo") - 60_000_000 - slack_us) | (t > F.col("_hi") + 60_000_000 + slack_us)
     broken = (t > F.col("_arrived")) | F.coalesce(apart, F.lit(False))
@@ -201,7 +204,7 @@ def regulatory_reports(raw: DataFrame, sources: DataFrame) -> DataFrame:
 
 def source_zones(reports: DataFrame, sources: DataFrame, candidates: list[str]) -> DataFrame:
     declared = sources.select(_source_name(F.col("source_system")).alias("_source"), F.col("local_zone").alias("_declared"))
-    return choose_zones(zone_violations(reports, candidates), declared)
+    return choose_zones(zone_violations(reports, candidates, declared), declared)
 
 
 #: Candidate histories when none are given: the zones of the markets whose sources report here, and UTC.

@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_kept(spark: SparkSession, d: str) -> DataFrame:
-    """The table without copies, taken from its earlier half as stored and the later half as new."""
+    """The table without copies: rows of even number stand for what is stored, those of odd number for what is new."""
     claims = read_table(spark, d, "bronze_claims")
     halves = F.pmod(F.col("record_id"), F.lit(2)) == 0
     kept = once.exactly_once(claims.filter(halves), claims.filter(~halves))

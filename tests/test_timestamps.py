@@ -21,7 +21,7 @@ CASES = [
     ("a", "29/03/2018", us(2018, 3, 29, 3)), ("a", " 9/8/18 1h00 ", us(2018, 8, 9, 4)), ("a", "24-06-2018 05.11.49", us(2018, 6, 24, 8, 11, 49)),
     ("a", "14/01/2018 15:59 BRST", us(2018, 1, 14, 17, 59)), ("a", "27/10/2018 22:22 BRT", us(2018, 10, 28, 1, 22)), ("a", "12 out 2018 12:11", us(2018, 10, 12, 15, 11)),
     ("a", "2018-04-18T06:30:27-03:00", us(2018, 4, 18, 9, 30, 27)), ("a", "31/02/2018", None), ("a", "a confirmar", None), ("a", "", None), ("a", None, None),
-    ("a", "18/02/2018 23:30:00", us(2018, 2, 19, 2, 30) - 3_600_000_000),  # midnight comes twice: the summer reading
+    ("a", "17/02/2018 23:30:00", us(2018, 2, 18, 1, 30)),  # comes twice: the earlier one, of summer time
     ("a", "04/11/2018 00:30", us(2018, 11, 4, 3, 30)),  # skipped: offset from before the change
     ("b", "06/20/2018 07:38 PM", us(2018, 6, 20, 18, 38)), ("b", "13/01/2019 10:00 AM", None), ("b", "12/01/2018 12:05 AM", us(2018, 12, 1, 0, 5)), ("b", "01/02/2018 13:00 PM", None),
     ("b", "2018-02-18T04:12:31.469289Z", us(2018, 2, 18, 4, 12, 31) + 469289), ("b", "20180608073425", us(2018, 6, 8, 6, 34, 25)), ("b", "20180304", us(2018, 3, 4)), ("b", "00000000", None),
@@ -66,7 +66,7 @@ def test_arrival_rules_out_zones(spark):
     rows = [(i, None, "insurer_a", f"2020-05-{1 + i % 28:02d}T10:00:00", None, None, datetime(2020, 5, 1 + i % 28, 13, 0, 1)) for i in range(40)]
     reports = ts.regulatory_reports(spark.createDataFrame(rows, RAW), sources(spark))
     broken = {r._zone: r.violations for r in ts.zone_violations(reports, ["UTC", "America/Sao_Paulo", "America/New_York"]).collect()}
-    assert broken == {"UTC": 0, "America/Sao_Paulo": 0, "America/New_York": 40} or broken["America/New_York"] > broken["America/Sao_Paulo"] or broken["America/New_York"] == 40
+    assert broken == {"UTC": 0, "America/Sao_Paulo": 0, "America/New_York": 40}
 
 
 def test_empty_unknown_source_and_clashing_columns(spark):
@@ -76,6 +76,6 @@ def test_empty_unknown_source_and_clashing_columns(spark):
     assert ts.regulatory_occurrences(df.withColumn("source_system", F.lit("other")), sources(spark)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["9" * 50, "x" * 100_000, "1.5E99", "99/99/9999 99:99", "/Date(9999999999999999)/", "2018-01-01T00:00:00+99:99"])
+@pytest.mark.parametrize("text", ["9" * 50, "x" * 100_000, "1.5E99", "9E20", "99/99/9999 99:99", "/Date(9999999999999999)/", "2018-01-01T00:00:00+99:99"])
 def test_hopeless_texts_are_unreadable(spark, text):
     assert ts.regulatory_occurrences(raw(spark, [("a", text, None)]), sources(spark)).count() == 0
