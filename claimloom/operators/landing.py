@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import date
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,9 @@ _STAMP = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-
 _AMOUNT = r"^(?:[0-9]+(?:\.[0-9]{1,2})?)?$"
 
 BROKEN, COUNT, INVALID = "broken_quoting", "column_count", "invalid_value"
-#: Stands for a delimiter outside quotes while a record is taken apart; records that contain it are read in Python.
-_CUT = "\u0001"
+#: Stands for a delimiter outside quotes while a record is taken apart. Where a record holds it, it is written as
+#: ``_ESCAPE`` and a letter until then, and so is ``_ESCAPE`` itself.
+_CUT, _ESCAPE = "\u0001", "\u0002"
 
 
 def record_text(raw: Column) -> Column:
@@ -38,7 +40,9 @@ def record_text(raw: Column) -> Column:
 
 def _zero_cost_fields(text: Column) -> Column:
     """The raw fields of a well-formed record, else null. Pieces between quotes alternate outside and inside."""
-    pieces = F.split(text, '"', -1)
+    taken = text.contains(_CUT)
+    swap = lambda c, *pairs: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, c)
+    pieces = F.split(F.when(taken, swap(text, (_ESCAPE, _ESCAPE + "b"), (_CUT, _ESCAPE + "a"))).otherwise(text), '"', -1)
     n = F.size(pieces)
 
     def sound(piece: Column, i: Column) -> Column:
@@ -46,9 +50,11 @@ def _zero_cost_fields(text: Column) -> Column:
         right = (i == n - 1) | piece.endswith(";")
         return (i % 2 == 1) | (piece == "") | (left & right)
 
-    well_formed = (n % 2 == 1) & F.size(F.filter(pieces, lambda p, i: ~sound(p, i))).eqNullSafe(0) & ~text.contains(_CUT)
+    well_formed = (n % 2 == 1) & F.size(F.filter(pieces, lambda p, i: ~sound(p, i))).eqNullSafe(0)
     marked = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, F.translate(p, ";", _CUT)).otherwise(p)), '"')
-    return F.when(n == 1, F.when(~text.contains(_CUT), F.split(text, ";", -1))).when(well_formed, F.split(marked, _CUT, -1))
+    cells = F.split(marked, _CUT, -1)
+    back = F.transform(cells, lambda c: swap(c, (_ESCAPE + "a", _CUT), (_ESCAPE + "b", _ESCAPE)))
+    return F.when(n == 1, F.split(text, ";", -1)).when(well_formed, F.when(taken, back).otherwise(cells))
 
 
 def _unquoted(field: Column) -> Column:

@@ -1,5 +1,6 @@
 from datetime import datetime
 from decimal import Decimal
+from random import Random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +35,31 @@ def test_reasons(spark):
     assert loaded | {20} == {i for i, (_, reason) in enumerate(CASES) if reason is None}
 
 
+def test_records_with_the_marking_characters_load(spark):
+    """Every record is in exactly one of the results, whatever characters stand in it."""
+    notes = ["\u0001", "\u0002", "\u0002a\u0001\u0002b", "\u0001;\u0002", 'x"\u0001";', "\u0002\u0001a;b"]
+    quoted = [GOOD.replace("note", '"' + n.replace('"', '""') + '"') for n in notes]
+    plain = [GOOD.replace("note", n) for n in notes[:3]]
+    broken = [GOOD.replace("note", '"\u0001'), GOOD + ";\u0001", GOOD.replace("12.50", '"1\u00012"')]
+    df = frame(spark, [*quoted, *plain, *broken])
+    got = {r.line_id: (r.claim_id, r.source, r.note) for r in landing.loaded_rows(df).collect()}
+    assert got == {i: ("id1", "s", n) for i, n in enumerate([*notes, *notes[:3]])}
+    assert [r._reason for r in landing.rejected_rows(df).orderBy("line_id").collect()] == ["broken_quoting", "column_count", "invalid_value"]
+
+
+def test_columns_read_as_python_reads(spark):
+    """On random fields, a record loads if and only if the reading in Python finds no fault, and with the same fields."""
+    random = Random(7)
+    cell = lambda: "".join(random.choices('";ab\u0001\u0002', (3, 1, 2, 2, 3, 3), k=random.randrange(7)))
+    spelled = lambda c: random.choice((c, '"' + c.replace('"', '""') + '"', '"' + c + '"'))
+    texts = [";".join([spelled(cell() + "i"), spelled(cell()), *GOOD.split(";")[2:9], spelled(cell())]) for _ in range(2000)]
+    valid = {i: [landing._plain_value(f) for f in landing.fields_of(t)] for i, t in enumerate(texts) if landing.diagnose(t)[0] is None}
+    assert 100 < sum("\u0001" in texts[i] for i in valid) and len(valid) < len(texts)
+    df = frame(spark, texts)
+    assert {r.line_id: [r.claim_id, r.policy_id or "", r.note or ""] for r in landing.loaded_rows(df).collect()} == {i: [f[0], f[1], f[9]] for i, f in valid.items()}
+    assert {r.line_id for r in landing.rejected_rows(df).collect()} == set(range(len(texts))) - set(valid)
+
+
 def test_typed_rows(spark):
     row = landing.loaded_rows(frame(spark, [CASES[2][0], GOOD])).orderBy("line_id").collect()
     assert row[0].note == 'a;b "c"\nd' and row[0].amount is None and row[0].region is None
