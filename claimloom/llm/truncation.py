@@ -6,7 +6,8 @@ the whole corpus. The length: a source in which unfinished ends pile up at one l
 
 An end that is finished is no case, whatever its length. Open markup and running prose are cases. Ends that may be
 natural, such as list items, single words or prose before an ellipsis, need the final token or the length to speak
-against them.
+against them. A sentence mark inside markup that the last line leaves open may end the sentence only: there the length
+decides alone.
 
 The vocabulary is kept in sorted order, which is the order of a trie's nodes from left to right: the words below a
 token follow it directly. Tokens are looked up by merging them into that order, bucket by bucket of first letters, so
@@ -47,7 +48,7 @@ _CLOSED = regex.compile(r"(?:<[^<>]*/>|</\w+>|-->|~{3,5}|\|\})$")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _PARENS = {")": "(", "）": "（"}
 
-FINISHED, OPEN, PROSE, BARE = "finished", "open", "prose", "bare"
+FINISHED, OPEN, PROSE, BARE, INSIDE = "finished", "open", "prose", "bare", "inside"
 
 
 def _closes(text: str) -> bool:
@@ -107,6 +108,13 @@ def ending(text: str) -> str:
     return PROSE if len(_WORD.findall(line)) > 1 or _UNSPACED.search(line) or "\n" in s.strip() or line != whole else BARE
 
 
+def _inside(text: str) -> bool:
+    """Whether the last line of ``text`` leaves a link or template open."""
+    s = text.rstrip()
+    line = s[s.rfind("\n") + 1 :]
+    return any(line.rfind(a) > line.rfind(b) or line.count(a) > line.count(b) for a, b in (("[[", "]]"), ("{{", "}}")))
+
+
 def _mark(text: str) -> str:
     return next((m for m in MARKS if text.endswith(m)), "")
 
@@ -116,7 +124,8 @@ def described(text: str) -> tuple[str, bool, str | None, int, int]:
     mark = _mark(text)
     body = text[: len(text) - len(mark)]
     plain = html.unescape(html.unescape(body)) if "&" in body else body
-    return ending(plain), bool(mark), _last_word(plain), len(body), len(body.encode())
+    end = ending(plain)
+    return INSIDE if end == FINISHED and _inside(plain) else end, bool(mark), _last_word(plain), len(body), len(body.encode())
 
 
 _ENDS = "_id {id}, _source {source}, _ending string, _marked boolean, _token string, _chars int, _bytes int"
@@ -167,7 +176,7 @@ def unknown_prefixes(texts: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def source_limits(ends: DataFrame) -> DataFrame:
     """``_source``, ``_unit`` (chars or bytes) and ``_limit``: lengths at which unfinished texts of a source pile up."""
-    unfinished = ends.filter(F.col("_ending") != FINISHED)
+    unfinished = ends.filter(~F.col("_ending").isin(FINISHED, INSIDE))
     lengths = F.array(*[F.struct(F.lit(u).alias("unit"), F.col(f"_{u}").alias("n")) for u in ("chars", "bytes")])
     counted = unfinished.select("_source", F.explode(lengths).alias("l")).groupBy("_source", F.col("l.unit").alias("_unit"), F.col("l.n").alias("_limit")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("_source", "_unit"))

@@ -194,6 +194,14 @@ def test_evidence_is_combined(spark):
     assert rates["s2"] == (6, 6, 6) and rates["s1"][:2] == (7, 3) and rates[None][0] == 5
 
 
+def test_a_sentence_mark_in_open_markup_leaves_it_to_the_limit(spark):
+    cut = [f"The quarry was closed and the harbour {'x' * k} opened ag"[-40:] for k in range(5)]
+    ends = ["{{quote|text=The quarry was closed.", "near [[St.", "{{quote|text=The {{lang|pt|cais}} shut.", "{{quote|text=The quarry}} shut.", "The quarry was closed."]
+    rows = [*cut, *[e.rjust(40, "y") for e in ends], *[e.rjust(50, "y") for e in ends]]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)], "doc_id long, text string, source string")
+    assert {r._id for r in truncation.assessed(df).filter("_truncated").collect()} == {*range(5), 5, 6, 7}
+
+
 def test_prefixes_against_a_plain_search(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(60)]
