@@ -69,7 +69,7 @@ def _values_valid(f: list[Column]) -> Column:
     return (
         (F.trim(F.regexp_replace(claim, r"\s", " ")) != "")
         & kind.isin(*EVENT_TYPES)
-        & stamp.rlike(_STAMP)
+        & stamp.rlike(_STAMP.replace("$", r"\z"))
         & exists
         & amount.rlike(_AMOUNT.replace("$", r"\z"))
         & ((region == "") | region.isin(*REGIONS))

@@ -60,6 +60,14 @@ def test_columns_read_as_python_reads(spark):
     assert {r.line_id for r in landing.rejected_rows(df).collect()} == set(range(len(texts))) - set(valid)
 
 
+def test_a_line_break_after_the_time_is_no_part_of_it(spark):
+    stamp = GOOD.split(";")[4]
+    texts = [GOOD.replace(stamp, f'"{stamp}{end}"') for end in ("", "\n", "\r", "\r\n", "\u0085", "\u2028", "\u2029")]
+    df = frame(spark, texts)
+    assert [(r.line_id, r._reason) for r in landing.rejected_rows(df).orderBy("line_id").collect()] == [(i, "invalid_value") for i in range(1, 7)]
+    assert [r.line_id for r in landing.loaded_rows(df).collect()] == [0]
+
+
 def test_typed_rows(spark):
     row = landing.loaded_rows(frame(spark, [CASES[2][0], GOOD])).orderBy("line_id").collect()
     assert row[0].note == 'a;b "c"\nd' and row[0].amount is None and row[0].region is None
