@@ -237,7 +237,7 @@ def diagnose(text: str | None) -> tuple[str | None, str]:
     values = [_plain_value(f) for f in fields_of(text)]
     cost, edits, wrong = delimiter_edits(values)
     if cost:
-        return COUNT, "; ".join(f"{what} at field {at + 1}" for what, at in edits[:20]) + (f"; {len(edits) - 20} more" if len(edits) > 20 else "")
+        return COUNT, "; ".join(f"{what} at field {at + 1}" for what, at in edits)
     if wrong:
         return INVALID, "; ".join(f"invalid {COLUMNS[c]}" for c in wrong)
     return None, ""

@@ -1,3 +1,4 @@
+import re
 from datetime import datetime
 from decimal import Decimal
 from random import Random
@@ -80,6 +81,14 @@ def test_edits_state_what_was_wrong(spark):
     assert "quote" in got[0] and got[1].startswith("insert delimiter") and got[2].startswith("delete delimiter") and got[3] == "invalid amount"
 
 
+def test_all_delimiter_edits_are_stated(spark):
+    edits = landing.rejected_rows(frame(spark, [GOOD + ";" * 30, GOOD + ";" * 5000])).orderBy("line_id").collect()
+    for row, n in zip(edits, (30, 5000)):
+        stated = row._edits.split("; ")
+        assert row._reason == "column_count" and len(stated) == len(set(stated)) == n
+        assert all(re.fullmatch("delete delimiter at field [0-9]+", s) for s in stated)
+
+
 def test_long_records_and_empty_table(spark):
     assert landing.rejected_rows(frame(spark, [])).count() == landing.loaded_rows(frame(spark, [])).count() == 0
     long = ['"' + "a" * 300_000, GOOD.replace("note", '"' + 'x""' * 100_000 + '"'), ";" * 20_000]
