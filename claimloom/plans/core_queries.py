@@ -15,7 +15,7 @@ from claimloom.functions import scalar
 from claimloom.operators import bronze, consent, governance, health, model, monitoring, quality, regulatory, scoring
 from claimloom.plans import sql_catalog as sc
 from claimloom.schemas import CLAIM
-from claimloom.session import read_table
+from claimloom.session import read_table, stored
 
 #: Stands for the current time: all claims have arrived by then.
 AS_OF = datetime(2024, 4, 21)
@@ -221,8 +221,9 @@ def latest_drift_ratio(spark, d):
 @query()
 def shadow_scores(spark, d):
     """Scores of a forest trained on these claims; not comparable with SQL."""
-    scored = scoring.scored(_silver(spark, d)).withColumn("label", F.col("fraud_flag").cast("int"))
-    trained, _ = model.train(scored.select("claim_id", *scoring.FEATURES, "label"), trees=20)
+    scored = scoring.scored(_silver(spark, d)).select("record_id", "claim_id", *scoring.FEATURES, F.col("fraud_flag").cast("int").alias("label"))
+    scored = stored(scored)  # training reads it many times
+    trained, _ = model.train(scored.drop("record_id"))
     return model.with_shadow_score(scored, trained).select("record_id", "model_fraud_score")
 
 

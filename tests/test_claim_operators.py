@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import scalar
 from claimloom.operators import bronze, consent, governance, health, model, monitoring, quality, regulatory, scoring
-from claimloom.plans import sql_catalog
+from claimloom.plans import core_queries, sql_catalog
 from claimloom.schemas import CLAIM, REGULATORY_RAW, REGULATORY_SILVER, schema_of
 
 T0 = datetime(2024, 1, 10)
@@ -185,3 +185,10 @@ def test_model_lifecycle(spark, tmp_path):
     scores = model.with_shadow_score(df, registry.load_champion())
     assert scores.filter("model_fraud_score between 0 and 1").count() == 400 and model.with_shadow_score(df, None).first().model_fraud_score is None
     assert model.should_retrain(False, True, True) == (True, "bootstrap") and model.should_retrain(False, False, False)[0] is False
+
+
+def test_shadow_scores_come_from_the_whole_forest(spark, small, monkeypatch):
+    seen, scores = [], model.with_shadow_score
+    monkeypatch.setattr(model, "with_shadow_score", lambda df, trained: seen.append(trained.stages[-1]) or scores(df, trained))
+    core_queries.shadow_scores(spark, small)
+    assert [(forest.getNumTrees, forest.getOrDefault("maxDepth")) for forest in seen] == [(100, 6)]
