@@ -1,13 +1,15 @@
-"""The four flows from end to end over a table store. Each may be repeated and ends in the same tables."""
+"""The four flows from end to end over a table store, and those that train and watch. Each may be repeated and ends in
+the same tables; only a training that is due adds a run."""
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators import consent, quality, regulatory, scoring
+from claimloom.operators import consent, model, monitoring, quality, regulatory, scoring
+from claimloom.session import stored
 from claimloom.store import TableStore
 from claimloom.streaming import runners
 
@@ -64,6 +66,72 @@ def consent_flow(store: TableStore, events: DataFrame, as_of: datetime) -> None:
         consent.shareable(current, store.read("gold.open_insurance_profile"), claims).createOrReplaceTempView("gold_shareable")
 
 
+def _store_baseline(store: TableStore, champion: dict | None) -> None:
+    """The table holds the features that the champion was trained on; a run that ended before writing it is made good."""
+    name = "monitoring.feature_baseline"
+    if not champion or store.exists(name) and store.read(name).first()["champion_run_id"] == champion["id"]:
+        return
+    rows = [(champion["id"], *r, datetime.fromisoformat(champion["trained_at"])) for r in champion["baseline"]]
+    store.overwrite(name, store.spark.createDataFrame(rows, "champion_run_id string, feature_name string, mean double, stddev double, _computed_at timestamp"))
+
+
+def training_flow(store: TableStore, registry: model.Registry, as_of: datetime, force: bool = False, **options) -> dict | None:
+    """Trains where asked to, at the start or after drift, and gives the run. A better model becomes champion, and the
+    features it was trained on the baseline. ``options`` go to the training."""
+    _store_baseline(store, registry.champion())
+    results = "monitoring.drift_results"
+    bootstrap = not (store.exists("monitoring.feature_baseline") and store.exists(results))
+    drifted = store.exists(results) and monitoring.latest_signal(store.read(results)).first()["drift_detected"]
+    if not model.should_retrain(force, bootstrap, drifted)[0]:
+        return None
+    features = stored(model.training_features(store.read("gold.claims")))
+    trained, metrics = model.train(features, **options)
+    fit, _ = model.stratified_split(features)
+    baseline = [tuple(r) for r in scoring.feature_baseline(fit).collect()]
+    run = registry.record(trained, metrics | {"baseline": baseline, "trained_at": as_of.isoformat()})
+    _store_baseline(store, registry.champion())
+    return run
+
+
+def drift_flow(store: TableStore, as_of: datetime, sink: monitoring.AlertSink, hours: int = 24, threshold: float = 2.0) -> list:
+    """Features of the last hours against the baseline: appended, told to the sink where they drift, and given back.
+    Without baseline or without claims in these hours there is nothing to compare."""
+    if not store.exists("monitoring.feature_baseline"):
+        return []
+    window = monitoring.recent(store.read("gold.claims"), "event_timestamp", as_of.replace(microsecond=0), timedelta(hours=hours))
+    found = scoring.drift(store.read("monitoring.feature_baseline"), scoring.feature_baseline(scoring.scored(window)), threshold)
+    found = stored(found.withColumns({"window_hours": F.lit(hours), "_checked_at": F.lit(as_of)}))
+    rows = found.orderBy("feature_name").collect()
+    if rows:
+        store.append("monitoring.drift_results", found, batch_id=f"{as_of:%Y%m%d%H%M%S%f}")
+    monitoring.alert_drift([r["feature_name"] for r in rows if r["drift_detected"]], sink)
+    return rows
+
+
+def latency_flow(store: TableStore, as_of: datetime, sink: monitoring.AlertSink, span: timedelta = timedelta(minutes=15)) -> dict[str, bool | None]:
+    """Latencies and throughput of the last minutes: appended, and told to the sink where they miss their targets."""
+    bronze = monitoring.recent(store.read("bronze.claims"), "_ingested_at", as_of, span)
+    gold = monitoring.recent(store.read("gold.claims"), "_scored_at", as_of, span)
+    measures = {
+        "kafka_to_bronze": monitoring.latency(bronze, "kafka_timestamp", "_ingested_at", monitoring.KAFKA_TO_BRONZE_SECONDS),
+        "score_visible": monitoring.latency(gold, "_ingested_at", "_scored_at", monitoring.SCORE_SECONDS),
+        "throughput": monitoring.throughput(monitoring.per_minute(bronze)),
+    }
+    reports = [monitoring.report(name, m, F.lit(as_of)) for name, m in measures.items()]
+    found = stored(reports[0].unionByName(reports[1]).unionByName(reports[2]))
+    store.append("monitoring.latency_results", found, batch_id=f"{as_of:%Y%m%d%H%M%S%f}")
+    states = {r["metric_name"]: r["within_sla"] for r in found.collect()}
+    monitoring.alert_latency(states, sink)
+    return states
+
+
+def review_flow(store: TableStore, as_of: datetime, sink: monitoring.AlertSink, hours: int = monitoring.REVIEW_HOURS) -> int:
+    """Number of claims that wait for review too long; the sink is told."""
+    n = monitoring.review_breaches(store.read("gold.claims"), as_of, hours).count()
+    monitoring.alert_breaches(n, sink, hours)
+    return n
+
+
 def order_of(steps: dict[str, list[str]]) -> list[str]:
     """Steps in an order in which each comes after those it depends on."""
     from graphlib import TopologicalSorter

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.operators import model, scoring
 from claimloom.plans import pipelines
 from claimloom.schemas import REGULATORY_RAW
 from claimloom.sources import files, topics
@@ -127,3 +128,50 @@ def test_consents(spark, tmp_path):
         history = store.read("silver.consent_current")
         assert history.filter("is_current").count() == 50 == history.select("policy_id").distinct().count()
     assert pipelines.order_of({"b": ["a"], "c": ["b"], "a": []}) == ["a", "b", "c"]
+
+
+def test_training_and_watching(spark, tmp_path):
+    store, registry, sent = TableStore(spark, str(tmp_path / "tables")), model.Registry(str(tmp_path / "models")), []
+    sink = type("S", (), {"send": lambda self, text: sent.append(text)})()
+    day = claims(spark, *[(f"c{i}", 10 + i % 3, 100 + i) for i in range(40)], *[(f"n{i}", 23, 10**6) for i in range(4)])
+    gold = scoring.claims_gold(day.withColumn("_ingested_at", F.lit(T0)), F.lit(T0 + timedelta(seconds=421)))
+    store.overwrite("gold.claims", gold)
+    store.overwrite("bronze.claims", day.withColumns({"kafka_timestamp": F.lit(T0), "_ingested_at": F.lit(T0 + timedelta(seconds=60))}))
+    now = T0 + timedelta(days=1)
+    assert pipelines.drift_flow(store, now, sink) == [] and not store.exists("monitoring.drift_results")
+
+    run = pipelines.training_flow(store, registry, now, trees=3)
+    base = {r.feature_name: r for r in store.read("monitoring.feature_baseline").collect()}
+    fit, _ = model.stratified_split(model.training_features(gold))
+    assert run["state"] == "champion" == registry.champion()["state"] and {r.champion_run_id for r in base.values()} == {run["id"]} and base["night_claim"]._computed_at == now
+    want = {r.feature_name: (r["mean"], r.stddev) for r in scoring.feature_baseline(fit).collect()}
+    assert base.keys() == want.keys() and all(base[n]["mean"] == pytest.approx(m) and base[n].stddev == pytest.approx(s) for n, (m, s) in want.items())
+
+    for _ in range(2):  # the same check again replaces itself
+        assert [r.drift_detected for r in pipelines.drift_flow(store, now, sink)] == [False] * 3 and sent == []
+        assert store.read("monitoring.drift_results").count() == 3
+    assert pipelines.training_flow(store, registry, now) is None and len(registry.runs()) == 1
+    assert pipelines.drift_flow(store, now + timedelta(days=9), sink) == [] and store.read("monitoring.drift_results").count() == 3
+
+    store.overwrite("gold.claims", gold.withColumn("event_timestamp", F.col("event_timestamp") + F.expr("interval 13 hours")))
+    later = now + timedelta(hours=13)
+    found = {r.feature_name for r in pipelines.drift_flow(store, later, sink) if r.drift_detected}
+    assert "night_claim" in found and len(sent) == 1 and "night_claim" in sent[0] and store.read("monitoring.drift_results").count() == 6
+    again = pipelines.training_flow(store, registry, later, trees=3)
+    assert again is not None and len(registry.runs()) == 2
+    assert {r.champion_run_id for r in store.read("monitoring.feature_baseline").collect()} == {registry.champion()["id"]}
+
+    # A run that ended between the registry and the table is made good.
+    store.overwrite("monitoring.feature_baseline", store.read("monitoring.feature_baseline").withColumn("champion_run_id", F.lit("old")))
+    store.append("monitoring.drift_results", store.read("monitoring.drift_results").limit(1).withColumns({"drift_detected": F.lit(False), "_checked_at": F.lit(later + timedelta(days=1))}))
+    assert pipelines.training_flow(store, registry, later) is None
+    assert {r.champion_run_id for r in store.read("monitoring.feature_baseline").collect()} == {registry.champion()["id"]}
+
+    sent.clear()
+    for _ in range(2):
+        assert pipelines.latency_flow(store, T0 + timedelta(minutes=8), sink) == {"kafka_to_bronze": True, "score_visible": False, "throughput": False}
+        assert store.read("monitoring.latency_results").count() == 3
+    assert sent == ["outside the target: score_visible, throughput"] * 2
+    waiting = store.read("gold.claims").filter("not auto_approved").count()
+    assert pipelines.review_flow(store, T0 + timedelta(days=9), sink) == waiting > 0 and len(sent) == 3
+    assert pipelines.review_flow(store, T0, sink) == 0 and len(sent) == 3
