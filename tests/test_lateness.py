@@ -1,9 +1,11 @@
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import lateness
+from claimloom.plans import data_queries
 
 SCHEMA = "record_id long, event_timestamp timestamp, _ingested_at timestamp, amount decimal(18,2)"
 DAY = datetime(2024, 1, 1)
@@ -51,3 +53,21 @@ def test_empty_and_clashing_columns(spark):
 def test_bounds_are_checked():
     with pytest.raises(ValueError):
         lateness.Slack(timedelta(hours=2), timedelta(hours=1))
+
+
+def test_fates_equal_what_is_published_and_released(spark, small):
+    """``p6_found`` classifies rows; per period its fates are what the publications add and what the release lacks."""
+    day = F.date_from_unix_date(F.floor(F.unix_micros("event_timestamp") / F.lit(86_400_000_000)).cast("int")).alias("event_day")
+    kept = data_queries._kept_claims(spark, small).select("record_id", day)
+    count = lambda df: Counter({r.event_day: r["count"] for r in df.groupBy("event_day").count().collect()})
+    found = kept.join(data_queries.p6_found(spark, small), "record_id")
+    first, last = Counter(), {}
+    for r in data_queries.p6_publications(spark, small).orderBy("version").collect():
+        end_us = ((r.event_day - date(1970, 1, 1)).days + 1) * 86_400_000_000
+        if r.published_us == end_us + 3_600_000_000:
+            first[r.event_day] = r.row_count
+        last[r.event_day] = r.row_count
+    released = Counter({r.event_day: r.row_count for r in data_queries.p6_ordered(spark, small).collect()})
+    corrections, dropped = count(found.filter("fate = 'correction'")), count(found.filter("fate = 'dropped'"))
+    assert corrections and dropped and +corrections == Counter(last) - first
+    assert +dropped == count(kept.filter("event_day is not null")) - released and released == Counter(last)
