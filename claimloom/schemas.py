@@ -7,22 +7,74 @@ from pyspark.sql import types as T
 _STRING, _TIME, _MONEY = T.StringType(), T.TimestampType(), T.DecimalType(18, 2)
 
 
-def _schema(spec: str, types: dict[str, T.DataType]) -> T.StructType:
-    """Fields in order; a trailing ``!`` marks a required one; text unless ``types`` says otherwise."""
-    fields = [(name.rstrip("!"), name.endswith("!")) for name in spec.split()]
-    return T.StructType([T.StructField(n, types.get(n, _STRING), nullable=not required) for n, required in fields])
-
-
-CLAIM = _schema("claim_id! policy_id customer_id event_type! event_timestamp! amount region vehicle_type source", {"event_timestamp": _TIME, "amount": _MONEY})
-POLICY = _schema("policy_id! customer_id event_type! event_timestamp! premium_amount coverage_type region source", {"event_timestamp": _TIME, "premium_amount": _MONEY})
-CUSTOMER = _schema("customer_id! event_type! event_timestamp! region source", {"event_timestamp": _TIME})
-CONSENT = _schema("policy_id! consent_status! target_institution! scope event_timestamp!", {"event_timestamp": _TIME})
-REGULATORY_RAW = _schema(
-    "external_reference_id! source_system!"
-    " numero_apolice data_ocorrencia valor_indenizacao regiao_sinistro codigo_causa"
-    " POLICY_NUM EVENT_DATE CLAIM_AMOUNT REGION_CODE CAUSE_CD"
-    " policyId occurrenceDate amountCents regionCode causeCode",
-    {},
+# The layouts of the topics.
+CLAIM = T.StructType(
+    [
+        T.StructField("claim_id", _STRING, nullable=False),
+        T.StructField("policy_id", _STRING),
+        T.StructField("customer_id", _STRING),
+        T.StructField("event_type", _STRING, nullable=False),
+        T.StructField("event_timestamp", _TIME, nullable=False),
+        T.StructField("amount", _MONEY),
+        T.StructField("region", _STRING),
+        T.StructField("vehicle_type", _STRING),
+        T.StructField("source", _STRING),
+    ]
+)
+
+POLICY = T.StructType(
+    [
+        T.StructField("policy_id", _STRING, nullable=False),
+        T.StructField("customer_id", _STRING),
+        T.StructField("event_type", _STRING, nullable=False),
+        T.StructField("event_timestamp", _TIME, nullable=False),
+        T.StructField("premium_amount", _MONEY),
+        T.StructField("coverage_type", _STRING),
+        T.StructField("region", _STRING),
+        T.StructField("source", _STRING),
+    ]
+)
+
+CUSTOMER = T.StructType(
+    [
+        T.StructField("customer_id", _STRING, nullable=False),
+        T.StructField("event_type", _STRING, nullable=False),
+        T.StructField("event_timestamp", _TIME, nullable=False),
+        T.StructField("region", _STRING),
+        T.StructField("source", _STRING),
+    ]
+)
+
+CONSENT = T.StructType(
+    [
+        T.StructField("policy_id", _STRING, nullable=False),
+        T.StructField("consent_status", _STRING, nullable=False),
+        T.StructField("target_institution", _STRING, nullable=False),
+        T.StructField("scope", _STRING),
+        T.StructField("event_timestamp", _TIME, nullable=False),
+    ]
+)
+
+REGULATORY_RAW = T.StructType(
+    [
+        T.StructField("external_reference_id", _STRING, nullable=False),
+        T.StructField("source_system", _STRING, nullable=False),
+        T.StructField("numero_apolice", _STRING),
+        T.StructField("data_ocorrencia", _STRING),
+        T.StructField("valor_indenizacao", _STRING),
+        T.StructField("regiao_sinistro", _STRING),
+        T.StructField("codigo_causa", _STRING),
+        T.StructField("POLICY_NUM", _STRING),
+        T.StructField("EVENT_DATE", _STRING),
+        T.StructField("CLAIM_AMOUNT", _STRING),
+        T.StructField("REGION_CODE", _STRING),
+        T.StructField("CAUSE_CD", _STRING),
+        T.StructField("policyId", _STRING),
+        T.StructField("occurrenceDate", _STRING),
+        T.StructField("amountCents", _STRING),
+        T.StructField("regionCode", _STRING),
+        T.StructField("causeCode", _STRING),
+    ]
 )
 
 TOPICS = {

@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Set on sessions built here. Sessions built elsewhere keep their own sizes; only the time zone is required.
 DEFAULTS = {
@@ -76,18 +77,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_stored: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once, as a table in the shared checkpoint folder, where the loss of an executor can't undo it."""
+    """``df`` computed once, as a table in the shared checkpoint folder, where the loss of an executor can't undo it.
+    The table stays until ``clear_stored``, as frames read from it may be evaluated at any later time."""
+    context = df.sparkSession.sparkContext
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/claimloom/{uuid.uuid4().hex}"
+    _stored.setdefault(context.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least two partitions per core. Inputs of many files stay as they are; only those that would leave
-    cores idle before costly work are shuffled once. Rows keep deterministic places, so retries see the same rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes what ``stored`` has written in this application; call it when no frame of it is needed any more."""
+    paths = _stored.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
+
+
+#: Parts over which ``salted_join`` spreads each value of the key.
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, salt: Column, salts: int = SALTS) -> DataFrame:
+    """Left join on ``key`` where a value of it may hold most rows of ``left``: each value is spread over ``salts`` parts
+    by a hash of ``salt``, and ``right``, which must have one row a value, comes to each part. Null keys match nothing
+    and are spread too."""
+    w = free_prefix(left, right)
+    part = F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int")
+    many = right.withColumnRenamed(key, f"{w}key").withColumn(f"{w}many", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    joined = left.withColumn(f"{w}part", part).join(many, (F.col(key) == F.col(f"{w}key")) & (F.col(f"{w}part") == F.col(f"{w}many")), "left")
+    return joined.drop(f"{w}key", f"{w}part", f"{w}many")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
