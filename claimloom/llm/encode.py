@@ -4,7 +4,7 @@ Texts are taken in blocks. A block numbers its distinct pre-tokens and keeps eve
 numbers, which states the pre-token at each position. The distinct pre-tokens of all blocks are shuffled by word, each
 word of the corpus is encoded once, the ids are joined back to the blocks, and each block puts its texts together by
 position. What is shuffled is one row per block and distinct word, and the packed number sequences; a frequent word
-costs one row per block. Blocks have a bounded number of pre-tokens, so the work of one task is bounded too.
+costs one row per block. Blocks have a bounded number of pre-tokens and of texts, so the work of one task is bounded too.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.session import spread, stored
+from claimloom.session import stored
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
 #: The vocabulary that ``byte_bpe_50k`` names.
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
-#: Pre-tokens of one block; a single longer text makes a block of its own.
-BLOCK_WORDS = 1_000_000
+#: Pre-tokens and texts of one block; a single longer text makes a block of its own.
+BLOCK_WORDS, BLOCK_TEXTS = 1_000_000, 50_000
 
 # Fixed value: how the byte-level vocabulary splits text before merging.
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -85,7 +85,7 @@ def _into_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             block = block or _Block((task << 32) + k, batch.schema.field(0).type)
             block.add(key, text)
-            if block.size >= BLOCK_WORDS:
+            if block.size >= BLOCK_WORDS or len(block.ids) >= BLOCK_TEXTS:
                 yield block.rows()
                 block, k = None, k + 1
     if block:
@@ -133,7 +133,7 @@ def encoded(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     Each input row gives one row, also where ids repeat or are null. Texts are split once; the blocks are stored, since
     both their words and their texts are read.
     """
-    texts = spread(documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")))
+    texts = documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     id_type = texts.schema["_id"].dataType.simpleString()
     parts = stored(texts.mapInArrow(_into_blocks, _PARTS.format(id=id_type)))
     words = parts.filter(F.col("_word").isNotNull()).select("_block", "_number", "_word")

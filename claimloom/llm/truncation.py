@@ -1,17 +1,19 @@
 """Texts that were cut off by a field limit or during transfer.
 
-Three kinds of evidence are combined. The structure of the end: markup that the end leaves open, or a running sentence
-without its end. The final token: an unknown word that is a proper prefix of known ones, looked up in the vocabulary of
-the whole corpus. The length: a source in which unfinished ends pile up at one length has a limit there.
-
-An end that is finished is no case, whatever its length. Open markup and running prose are cases. Ends that may be
-natural, such as list items, single words or prose before an ellipsis, need the final token or the length to speak
-against them. A sentence mark inside markup that the last line leaves open may end the sentence only: there the length
-decides alone.
-
-The vocabulary is kept in sorted order, which is the order of a trie's nodes from left to right: the words below a
-token follow it directly. Tokens are looked up by merging them into that order, bucket by bucket of first letters, so
-the vocabulary is never gathered in one place.
+The words of the whole corpus form a trie, kept as its nodes in sorted order. A text whose end isn't finished is cut
+
+* by its ``word``, if its final token is no known word but a proper prefix of one,
+* else by its ``length``, if it lies at a length at which unfinished texts of its source pile up,
+* else by its ``structure``, if the end leaves markup open or a running sentence without its end and no mark says so.
+
+The word and the length are looked up for every unfinished end; the structure tells which ends are finished, and decides
+alone only what falls between words at no common length. Ends that may be natural, such as list items, single words or
+prose before an ellipsis, are no case without word or length. A sentence mark inside markup that the last line leaves
+open may end the sentence only: there the length decides alone.
+
+In sorted order the words below a node of the trie follow it directly. Tokens and words are brought into that order by
+one range partitioning, whose parts are of even size however many words share a beginning, and a single pass from the
+end gives each token the next word. A token at the end of a part looks at the first word of the parts behind it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.session import spread, stored
+from claimloom.session import salted_join, stored
 
 #: Marks that sources set where they cut.
 MARKS = (" [...]", "[...]", "…", "...")
@@ -43,6 +45,7 @@ _TABLE_END = regex.compile(r"(?:^|\n)\|\}(?!\})")
 _NOTE = regex.compile(r"<ref\b[^<>]*(?<!/)>")
 _ENTITY = regex.compile(r"&#?\w{0,8}$")
 _HEADING = regex.compile(r"^(=+)[^=].*?(=+)$")
+_BEHIND_HEADING = regex.compile(r"^(={2,6})[^=]+\1(?!=)\s*(\S.*)$")
 _LINKS = regex.compile(r"^(?:\[\[[^\[\]]*\]\]\s*)+$")
 _CLOSED = regex.compile(r"(?:<[^<>]*/>|</\w+>|-->|~{3,5}|\|\})$")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
@@ -94,7 +97,13 @@ def ending(text: str) -> str:
         return FINISHED
     if line[0] == "=":
         m = _HEADING.match(line)
-        return FINISHED if m and m[1] == m[2] else OPEN
+        if m and m[1] == m[2]:
+            return FINISHED
+        # Words may stand behind a heading on its line.
+        behind = _BEHIND_HEADING.match(line)
+        if not behind:
+            return OPEN
+        return FINISHED if _closes(behind[2]) or not _WORD.search(behind[2]) else PROSE
     if _closes(line) or _LINKS.match(line) or (line[0] == "#" and line.endswith("]]")):
         return FINISHED
     if line[-1] in _PARENS:
@@ -128,50 +137,47 @@ def described(text: str) -> tuple[str, bool, str | None, int, int]:
     return INSIDE if end == FINISHED and _inside(plain) else end, bool(mark), _last_word(plain), len(body), len(body.encode())
 
 
-_ENDS = "_id {id}, _source {source}, _ending string, _marked boolean, _token string, _chars int, _bytes int"
+_PARTS = "_id {id}, _source {source}, _ending string, _marked boolean, _token string, _chars int, _bytes int, _word string"
+_KINDS = (pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int32())
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [described(t) for t in batch.column("_text").to_pylist()]
-        columns = list(zip(*found)) or [[]] * 5
-        types = (pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.int32())
-        arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_source"), *arrays], names=["_id", "_source", "_ending", "_marked", "_token", "_chars", "_bytes"])
+def _words_before_end(text: str) -> list[str]:
+    """The words of a text without the one that touches its end, or the mark there: it is no evidence for itself."""
+    body = text[: len(text) - len(_mark(text))]
+    words = _WORD.findall(body)
+    return words[:-1] if words and body.endswith(words[-1]) else words
 
 
-def _known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of a batch; the word that touches the end of a text, or the mark there, is no evidence for itself."""
+def _take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for the end of each text, and one for each distinct word of a batch."""
     for batch in batches:
-        seen: set[str] = set()
-        for text in batch.column("_text").to_pylist():
-            body = text[: len(text) - len(_mark(text))]
-            words = _WORD.findall(body)
-            if words and body.endswith(words[-1]):
-                words.pop()
-            seen.update(words)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["_word"])
-
-
-def unknown_prefixes(texts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The ``_token`` values that are no word of ``_text`` but a proper prefix of one."""
-    words = texts.select("_text").mapInArrow(_known_words, "_word string").distinct()
-    wanted = tokens.select("_token").filter(F.length("_token") > 0).distinct()
-    bucket = lambda c: F.substring(c, 1, 2)
-    both = words.select(F.col("_word").alias("_s"), F.col("_word"), F.lit(None).cast("string").alias("_token")).unionByName(
-        wanted.select(F.col("_token").alias("_s"), F.lit(None).cast("string").alias("_word"), "_token")
-    )
-    # A token sorts before the words below it, and after the same word.
-    after = Window.partitionBy(bucket(F.col("_s"))).orderBy("_s", F.col("_word").isNull())
-    same = F.lag("_word").over(after)
-    below = F.first("_word", ignorenulls=True).over(after.rowsBetween(1, Window.unboundedFollowing))
-    merged = both.withColumns({"_same": same, "_below": below}).filter(F.col("_token").isNotNull())
-    known = F.coalesce(F.col("_same") == F.col("_token"), F.lit(False))
-    longer = merged.filter((F.length("_token") > 1) & ~known & F.col("_below").startswith(F.col("_token"))).select("_token")
-    # Tokens of one character lie in no bucket of two.
-    first = words.groupBy(F.substring("_word", 1, 1).alias("_token")).agg(F.max(F.length("_word")).alias("longest"), F.min(F.length("_word")).alias("shortest"))
-    single = wanted.filter(F.length("_token") == 1).join(first, "_token").filter("longest > 1 and shortest > 1").select("_token")
-    return longer.unionByName(single)
+        texts = batch.column("_text").to_pylist()
+        columns = list(zip(*map(described, texts))) or [[]] * 5
+        words = list({w for t in texts for w in _words_before_end(t)})
+        n, m = len(texts), len(words)
+        both = lambda c: pa.concat_arrays([c, pa.nulls(m, c.type)])
+        ends = [batch.column("_id"), batch.column("_source"), *[pa.array(list(c), t) for c, t in zip(columns, _KINDS)]]
+        known = pa.array([None] * n + words, pa.string())
+        yield pa.RecordBatch.from_arrays([*map(both, ends), known], names=["_id", "_source", "_ending", "_marked", "_token", "_chars", "_bytes", "_word"])
+
+
+def unknown_prefixes(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The ``_token`` values that are no ``_word`` but a proper prefix of one. Words and tokens may repeat; null and empty
+    tokens are left out."""
+    both = words.select(F.col("_word").alias("_s"), F.lit(True).alias("w")).unionByName(tokens.select(F.col("_token").alias("_s"), F.lit(False).alias("w")))
+    nodes = both.filter(F.length("_s") > 0).groupBy("_s").agg(F.bool_or("w").alias("_known"), F.bool_or(~F.col("w")).alias("_asked"))
+    # Stored, since another run of the range partitioning might draw other borders.
+    placed = stored(nodes.repartitionByRange("_s").withColumn("_part", F.spark_partition_id()))
+    word = F.when(F.col("_known"), F.col("_s"))
+    from_end = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    following = F.last(word, ignorenulls=True).over(from_end(Window.partitionBy("_part").orderBy(F.col("_s").desc())))
+    # One row a part: the number of parts bounds what is ordered in one task and broadcast.
+    parts = placed.groupBy("_part").agg(F.min(word).alias("_first"))
+    behind = F.last("_first", ignorenulls=True).over(Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("_part", behind.alias("_behind"))
+    open_tokens = placed.withColumn("_following", following).filter(F.col("_asked") & ~F.col("_known"))
+    longer = open_tokens.join(F.broadcast(parts), "_part").filter(F.coalesce("_following", "_behind").startswith(F.col("_s")))
+    return longer.select(F.col("_s").alias("_token"))
 
 
 def source_limits(ends: DataFrame) -> DataFrame:
@@ -183,38 +189,51 @@ def source_limits(ends: DataFrame) -> DataFrame:
     return counted.withColumn("total", total).filter((F.col("n") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_SHARE * F.col("total"))).select("_source", "_unit", "_limit")
 
 
-def _truncated(marked: Column, end: Column, at_limit: Column, cut_word: Column) -> Column:
-    return F.when(end == FINISHED, False).when(end == OPEN, True).when((end == PROSE) & ~marked, True).otherwise(at_limit | cut_word)
+WORD, LENGTH, STRUCTURE = "word", "length", "structure"
+
+
+def _evidence(end: Column, marked: Column, cut_word: Column, at_limit: Column) -> Column:
+    """What shows that a text was cut; null if nothing does."""
+    running = (end == OPEN) | ((end == PROSE) & ~marked)
+    return F.when(end == FINISHED, F.lit(None).cast("string")).when(cut_word, WORD).when(at_limit, LENGTH).when(running, STRUCTURE)
 
 
 def assessed(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """``_id``, ``_source``, ``_ending``, ``_at_limit``, ``_cut_word`` and ``_truncated`` of every non-empty text.
+    """``_id``, ``_source``, ``_ending``, ``_at_limit``, ``_cut_word``, ``_evidence`` and ``_truncated`` of every non-empty text.
 
     Null and empty texts were not cut and have no row. Texts without source share one. Repeated rows each give a row.
     """
     texts = documents.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), F.col(text_column).alias("_text")).filter(F.length("_text") > 0)
-    texts = spread(texts)
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
-    # Several steps read the ends; they are a few columns a text and are stored, so that texts are read twice in all.
-    ends = stored(texts.mapInArrow(_describe, _ENDS.format(id=kinds["_id"], source=kinds["_source"])))
-    doubtful = ends.filter((F.col("_ending") == BARE) | ((F.col("_ending") == PROSE) & F.col("_marked")))
-    cut = unknown_prefixes(texts, doubtful).withColumn("_cut_word", F.lit(True))
+    # Texts are read once; their ends and the distinct words of each batch are stored, as several steps read them.
+    parts = stored(texts.mapInArrow(_take_apart, _PARTS.format(id=kinds["_id"], source=kinds["_source"])))
+    ends = parts.filter(F.col("_ending").isNotNull()).drop("_word")
+    unfinished = ends.filter(F.col("_ending") != FINISHED)
+    cut = unknown_prefixes(parts.select("_word"), unfinished).withColumn("_cut", F.lit(True))
     limits = source_limits(ends).groupBy("_source").agg(
         F.collect_set(F.when(F.col("_unit") == "chars", F.col("_limit"))).alias("_c"), F.collect_set(F.when(F.col("_unit") == "bytes", F.col("_limit"))).alias("_b")
     )
-    joined = ends.join(cut, "_token", "left").join(limits.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    near = lambda limits, n: F.exists(limits, lambda x: (n <= x) & (n >= x - TRIMMED))
-    at_limit = F.coalesce(near(F.col("_c"), F.col("_chars")), F.lit(False)) | F.coalesce(near(F.col("_b"), F.col("_bytes")), F.lit(False))
-    flags = joined.withColumns({"_at_limit": at_limit, "_cut_word": F.coalesce("_cut_word", F.lit(False))})
-    return flags.select("_id", "_source", "_ending", "_at_limit", "_cut_word", _truncated(F.col("_marked"), F.col("_ending"), F.col("_at_limit"), F.col("_cut_word")).alias("_truncated"))
+    # A source or a final token may have most of the rows.
+    row = F.struct("_id", "_chars", "_bytes")
+    named = F.struct(F.col("_source"))
+    joined = salted_join(unfinished, cut, "_token", row).withColumn("_named", named)
+    joined = salted_join(joined, limits.select(named.alias("_named"), "_c", "_b"), "_named", row)
+    near = lambda limits, n: F.coalesce(F.exists(limits, lambda x: (n <= x) & (n >= x - TRIMMED)), F.lit(False))
+    flags = joined.withColumns({"_at_limit": near(F.col("_c"), F.col("_chars")) | near(F.col("_b"), F.col("_bytes")), "_cut_word": F.coalesce("_cut", F.lit(False))})
+    evidence = _evidence(F.col("_ending"), F.col("_marked"), F.col("_cut_word"), F.col("_at_limit"))
+    out = ["_id", "_source", "_ending", "_at_limit", "_cut_word", "_evidence"]
+    no = F.lit(False)
+    finished = ends.filter(F.col("_ending") == FINISHED).select("_id", "_source", "_ending", no.alias("_at_limit"), no.alias("_cut_word"), F.lit(None).cast("string").alias("_evidence"))
+    return flags.withColumn("_evidence", evidence).select(*out).unionByName(finished).withColumn("_truncated", F.col("_evidence").isNotNull())
 
 
 def source_rates(documents: DataFrame, source_column: str = "source", **columns) -> DataFrame:
-    """Per source: texts, cut texts, those cut at a limit, and the share of cut texts among all rows."""
+    """Per source: texts, cut texts, how many of them each kind of evidence shows, and the share of cut texts among all rows."""
     all_rows = documents.groupBy(F.col(source_column).alias("source")).agg(F.count(F.lit(1)).alias("texts"))
     cut = assessed(documents, source_column=source_column, **columns).groupBy("_source").agg(
-        F.count_if("_truncated").alias("truncated"), F.count_if(F.col("_truncated") & F.col("_at_limit")).alias("at_limit")
+        F.count_if("_truncated").alias("truncated"), *[F.count_if(F.col("_evidence") == e).alias(f"by_{e}") for e in (WORD, LENGTH, STRUCTURE)]
     )
     n = F.coalesce("truncated", F.lit(0))
     joined = all_rows.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return joined.select("source", "texts", n.alias("truncated"), F.coalesce("at_limit", F.lit(0)).alias("at_limit"), (n / F.col("texts")).alias("share"))
+    shown = [F.coalesce(f"by_{e}", F.lit(0)).alias(f"by_{e}") for e in (WORD, LENGTH, STRUCTURE)]
+    return joined.select("source", "texts", n.alias("truncated"), *shown, (n / F.col("texts")).alias("share"))
