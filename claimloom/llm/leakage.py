@@ -1,20 +1,25 @@
 """Evaluation passages that stand in a training corpus.
 
-The test items form an inverted index with BM25 weights. Every passage of the corpus, a window of its words, is a
-query. The threshold of an item is the least score that any run of ``RUN`` consecutive words of its passage can have;
-weights are divided by it, so one bound of 1 retrieves every window that can hold such a run, and none is missed.
-Retrieval is block-max WAND, evaluated a block at a time for all windows of a document at once: the summed maxima of a
-block bound the score of its items; blocks below the bound are skipped unread, the postings of the others are added
-up. Retrieved pairs are verified word by word, and the overlap with question and answer is reported.
-
-Items are a stated query set. They are indexed in shards of bounded size, each small enough to broadcast; the corpus
-is read once per shard and never shuffled.
+The test items form an inverted index with BM25 weights: sorted postings of each term, and the largest weight of the term
+in each block of items that it occurs in. Every passage of the corpus, a window of its words, is a query. The threshold
+of an item is the least score that any run of ``RUN`` consecutive words of its passage can have; weights are divided by
+it, so one bound of 1 retrieves every window that can hold such a run, and none is missed.
+
+Retrieval is block-max WAND. The terms of a window are cursors on their postings. Ordered by item, their largest weights
+are summed until they reach the bound; the item there is the pivot, and all items before it are skipped unread. Where the
+maxima of the pivot's block stay below the bound the cursors leap over the block; else the pivot is scored. All windows
+of a batch make these steps together, each by one binary search over the postings. Retrieved pairs are verified word by
+word, and the overlap of the passage's surroundings with question and answer is measured.
+
+Items are a stated query set. They are indexed on the executors in shards of bounded size; as many shards as fit the
+bound on broadcasts are searched in one scan of the corpus, which is never shuffled.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import pickle
 import re
 import unicodedata
 from collections import Counter
@@ -23,19 +28,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.session import spread
+from claimloom.session import stored
 
 #: Consecutive words that make a leak.
 RUN = 13
 #: Words of a window; windows start every ``WINDOW - RUN + 1`` words, so each run lies in one.
 WINDOW = 26
 #: Items of one index shard, and of one block of its postings.
-SHARD, BLOCK = 1_000, 8
+SHARD, BLOCK = 4_096, 8
+#: Bytes of index shards that are broadcast for one scan of the corpus.
+INDEX_BYTES = 256 << 20
+#: Words on either side of a window among which question and answer are looked for.
+CONTEXT = 64
 #: Windows of a text that are scored at once; bounds the memory of very long texts.
-AT_ONCE = 2_048
+AT_ONCE = 4_096
 #: Words of texts that are searched together.
 TOKENS_AT_ONCE = 200_000
 # The usual parameters of BM25.
@@ -125,6 +134,16 @@ def readings(tokens: np.ndarray, signs: list[tuple[int, str]]) -> Iterator[np.nd
             yield tokens[mask]
 
 
+def _spot(haystack: bytes, needle: bytes) -> bool:
+    """Whether the numbers packed in ``needle`` stand in a row in ``haystack``, four bytes each."""
+    at = haystack.find(needle)
+    while at % 4 > 0:  # -1 counts as 3: there is none
+        if at < 0:
+            return False
+        at = haystack.find(needle, at + 1)
+    return at >= 0
+
+
 class Index:
     """Items as postings with block maxima; small enough to send to every executor."""
 
@@ -134,140 +153,238 @@ class Index:
         self.items = [x[0] for x in texts]
         frequency = Counter(w for x in texts for w in {*x[1]})
         self.terms = {w: k for k, w in enumerate(frequency)}
+        #: Terms below this number have postings; those above stand in questions and answers only.
+        self.posted = len(self.terms)
+        for x in texts:
+            for w in (*x[2], *x[3]):
+                self.terms.setdefault(w, len(self.terms))
+        numbers = lambda words: np.array([self.terms[w] for w in words], "<i4")
+        self.passages = [numbers(x[1]).tobytes() for x in texts]
+        self.questions = [np.unique(numbers(x[2])) for x in texts]
+        self.answers = [numbers(x[3]).tobytes() for x in texts]
         n, mean = len(texts), sum(len(x[1]) for x in texts) / max(len(texts), 1)
         idf = {w: math.log(1 + (n - f + 0.5) / (f + 0.5)) for w, f in frequency.items()}
-        self.grams: list[set[tuple[int, ...]]] = []
-        self.questions = [frozenset(x[2]) for x in texts]
-        self.answers = [tuple(x[3]) for x in texts]
-        blocks = -(-n // BLOCK) if n else 1
-        # Postings as a matrix of terms and items; the last row stands for words that no item has.
-        self.weights = np.zeros((len(self.terms) + 1, blocks * BLOCK), np.float32)
+        postings = []
         for d, (_, words, _, _) in enumerate(texts):
             norm = K1 * (1 - B + B * len(words) / mean)
             weight = {w: idf[w] * f * (K1 + 1) / (f + norm) for w, f in Counter(words).items()}
-            runs = [words[k : k + RUN] for k in range(len(words) - RUN + 1)]
             # The bound is lowered by more than rounding may take from a sum.
-            threshold = min(sum(weight[w] for w in {*run}) for run in runs) * (1 - 1e-4)
-            for w, x in weight.items():
-                self.weights[self.terms[w], d] = x / threshold
-            self.grams.append({tuple(self.terms[w] for w in run) for run in runs})
-        self.bounds = self.weights.reshape(len(self.terms) + 1, blocks, BLOCK).max(axis=2)
-        self.most = self.bounds.max(axis=1)
+            threshold = min(sum(weight[w] for w in {*words[k : k + RUN]}) for k in range(len(words) - RUN + 1)) * (1 - 1e-4)
+            postings += [(self.terms[w], d, x / threshold) for w, x in weight.items()]
+        postings.sort()
+        # A posting is keyed by term and item in one number, so one binary search finds the next item of any term.
+        self.span = n + BLOCK
+        term, item, weight = (np.array(c, t) for c, t in zip(zip(*postings) if postings else ([], [], []), (np.int64, np.int64, np.float32)))
+        self.keys, self.weights = term * self.span + item, weight
+        blocks = term * self.span + item // BLOCK
+        first = np.flatnonzero(np.diff(blocks, prepend=-1))
+        self.block_keys = blocks[first]
+        self.block_most = np.maximum.reduceat(weight, first) if len(first) else weight
+        starts = np.searchsorted(term, np.arange(self.posted))
+        #: The largest weight of each term; the last one stands for words without postings.
+        self.most = np.append(np.maximum.reduceat(weight, starts) if len(starts) else weight, np.float32(0)).astype(np.float32)
+
+    def _next(self, terms: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The first item of each term from ``at`` on; ``span`` if there is none."""
+        k = np.searchsorted(self.keys, terms * self.span + at)
+        found = self.keys[np.minimum(k, len(self.keys) - 1)] - terms * self.span
+        return np.where((k < len(self.keys)) & (found < self.span), found, self.span)
+
+    @staticmethod
+    def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[k] == wanted, values[k], np.float32(0))
+
+    def _wand(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``terms`` (distinct terms of a window; ``posted`` where there is none) and the items that they retrieve."""
+        rows, items = [], []
+        row = np.arange(len(terms))
+        most = self.most[terms]
+        cursor = np.where(terms < self.posted, self._next(np.minimum(terms, self.posted - 1), np.zeros_like(terms)), self.span)
+        while len(row):
+            order = np.argsort(cursor, axis=1)
+            ahead = np.take_along_axis(cursor, order, 1)
+            sums = np.cumsum(np.where(ahead < self.span, np.take_along_axis(most, order, 1), 0), axis=1)
+            live = sums[:, -1] >= 1
+            if not live.all():
+                row, terms, most, cursor, ahead, sums = (x[live] for x in (row, terms, most, cursor, ahead, sums))
+                if not len(row):
+                    break
+            pivot = ahead[np.arange(len(row)), np.argmax(sums >= 1, axis=1)]
+            upto = cursor <= pivot[:, None]
+            i, j = np.nonzero(upto)
+            bound = np.zeros(len(row), np.float32)
+            np.add.at(bound, i, self._at(self.block_keys, self.block_most, terms[i, j] * self.span + pivot[i] // BLOCK))
+            scored = bound >= 1
+            # Where the block stays below the bound, nothing is found before its end or before the next cursor.
+            beyond = np.where(upto, self.span, cursor).min(axis=1)
+            target = np.where(scored, pivot + 1, np.minimum((pivot // BLOCK + 1) * BLOCK, beyond))
+            score = np.zeros(len(row), np.float32)
+            of = scored[i]
+            np.add.at(score, i[of], self._at(self.keys, self.weights, terms[i[of], j[of]] * self.span + pivot[i[of]]))
+            hit = score >= 1
+            rows.append(row[hit])
+            items.append(pivot[hit])
+            cursor[i, j] = self._next(terms[i, j], target[i])
+        none = np.zeros(0, np.int64)
+        return (np.concatenate(rows), np.concatenate(items)) if rows else (none, none)
 
     def retrieve(self, tokens: np.ndarray) -> list[tuple[int, int]]:
-        """(start of window, item) of all pairs that score 1 or more. A word that a window repeats counts each time,
-        which only raises scores."""
+        """(start of window, item) of all pairs that score 1 or more."""
+        if not self.items:
+            return []
         n, step, found = len(tokens), WINDOW - RUN + 1, []
+        terms = np.minimum(tokens, self.posted).astype(np.int64)
         starts = np.arange(0, max(n - RUN + 1, 1), step)
-        ends = np.minimum(starts + WINDOW, n)
-        # A window with a run holds RUN known words in a row, and the largest weights of its words reach the bound.
-        unknown = np.zeros(n + 1, np.int64)
-        np.cumsum(tokens == len(self.terms), out=unknown[1:])
-        runs = np.zeros(n + 2, np.int64)
-        np.cumsum(unknown[RUN:] == unknown[: n + 1 - RUN], out=runs[1 : n + 2 - RUN]) if n >= RUN else None
-        runs[n + 2 - RUN :] = runs[max(n + 1 - RUN, 0)]
-        starts, ends = (x[runs[np.maximum(ends - RUN + 1, starts)] > runs[starts]] for x in (starts, ends))
-        total = np.zeros(n + 1)
-        np.cumsum(self.most[tokens], out=total[1:])
-        starts = starts[total[ends] - total[starts] >= 1]
-        padded = np.concatenate([tokens, np.full(WINDOW, len(self.terms), tokens.dtype)])
+        # Words of a match lie in a run of words with postings whose largest weights reach the bound, and only such words
+        # are asked for. A repeated word only raises these sums.
+        total, unposted = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+        np.cumsum(self.most[terms], out=total[1:])
+        np.cumsum(terms == self.posted, out=unposted[1:])
+        covered = np.zeros(n + 1, np.int64)
+        if n >= RUN:
+            run = ((total[RUN:] - total[:-RUN] >= 1) & (unposted[RUN:] == unposted[:-RUN])).astype(np.int64)
+            covered[: n - RUN + 1] += run
+            covered[RUN:] -= run
+        terms[np.cumsum(covered)[:n] == 0] = self.posted
+        np.cumsum(self.most[terms], out=total[1:])
+        starts = starts[total[np.minimum(starts + WINDOW, n)] - total[starts] >= 1]
+        padded = np.concatenate([terms, np.full(WINDOW, self.posted)])
         for at in range(0, len(starts), AT_ONCE):
-            words = padded[starts[at : at + AT_ONCE, None] + np.arange(WINDOW)]
-            window, block = np.nonzero(self.bounds[words].sum(axis=1) >= 1)
-            if not len(window):
-                continue
-            items = block[:, None] * BLOCK + np.arange(BLOCK)
-            scores, streak, longest = np.zeros(items.shape, np.float32), np.zeros(items.shape, np.int16), np.zeros(items.shape, np.int16)
-            for k in range(WINDOW):
-                weight = self.weights[words[window, k, None], items]
-                scores += weight
-                # A run of an item consists of words that the item has.
-                streak += 1
-                streak *= weight > 0
-                np.maximum(longest, streak, out=longest)
-            pair, k = np.nonzero((scores >= 1) & (longest >= RUN))
-            found += zip(starts[at + window[pair]].tolist(), items[pair, k].tolist())
+            words = np.sort(padded[starts[at : at + AT_ONCE, None] + np.arange(WINDOW)], axis=1)
+            words[:, 1:][words[:, 1:] == words[:, :-1]] = self.posted
+            window, item = self._wand(words)
+            found += zip(starts[at + window].tolist(), item.tolist())
         return found
 
-    def _overlap(self, d: int, words: list[str]) -> tuple[float, bool]:
-        """Share of the question's words among ``words``, and whether the answer stands there."""
-        asked, answer, known = self.questions[d], self.answers[d], {*words}
-        stands = bool(answer) and answer[0] in known and any(tuple(words[k : k + len(answer)]) == answer for k in range(len(words) - len(answer) + 1))
-        return (len(asked & known) / len(asked) if asked else 0.0), stands
+    def _overlap(self, d: int, around: np.ndarray) -> tuple[float, bool]:
+        """Share of the question's words among the words ``around``, and whether the answer stands there."""
+        asked, answer = self.questions[d], self.answers[d]
+        return float(np.isin(asked, around).mean()) if len(asked) else 0.0, bool(answer) and _spot(around.tobytes(), answer)
+
+    def numbered(self, text: str | None) -> list[np.ndarray]:
+        """The readings of a text as term numbers; words that no item has share one number."""
+        found = pieces(text) if text else []
+        if len(found) < RUN:
+            return []
+        none, get = len(self.terms), self.terms.get
+        tokens = np.array([get(w, none) for w in found], "<i4")
+        signs = [(k, w) for k, w in enumerate(found) if w in SIGNS] if _OPEN in text or "{{" in text or "<" in text or "&" in text else []
+        return [*readings(tokens, signs)]
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, float, bool]]:
         """(text, item, question overlap, answer stands) of every text in which a run of an item stands.
 
-        The readings of many texts are laid end to end, with an unknown word between them, and searched at once.
+        The readings of many texts are laid end to end, with an unknown word between them, and searched at once. Of the
+        places where an item stands in a text the largest overlap counts.
         """
-        out: list[tuple[int, int, float, bool]] = []
+        out: dict[tuple[int, int], tuple[float, bool]] = {}
         sequences: list[np.ndarray] = []
         owners: list[int] = []
-        held, none, get = 0, len(self.terms), self.terms.get
-        gap = np.array([none], np.int32)
+        held, gap = 0, np.array([len(self.terms)], "<i4")
         for i, text in enumerate([*texts, None]):
-            if text:
-                found = pieces(text)
-                if len(found) >= RUN:
-                    tokens = np.array([get(w, none) for w in found], np.int32)
-                    signs = [(k, w) for k, w in enumerate(found) if w in SIGNS] if _OPEN in text or "{{" in text or "<" in text or "&" in text else []
-                    for seq in readings(tokens, signs):
-                        sequences += (seq, gap)
-                        owners.append(i)
-                        held += len(seq)
+            for seq in self.numbered(text):
+                sequences += (seq, gap)
+                owners.append(i)
+                held += len(seq)
             if sequences and (held >= TOKENS_AT_ONCE or i == len(texts)):
-                out += self._verified(texts, sequences, owners)
+                for i_, d, asked, stands in self._verified(sequences, owners):
+                    a, b = out.get((i_, d), (0.0, False))
+                    out[i_, d] = max(a, asked), b or stands
                 sequences, owners, held = [], [], 0
-        return out
+        return [(*k, *v) for k, v in sorted(out.items())]
 
-    def _verified(self, texts, sequences: list[np.ndarray], owners: list[int]) -> list[tuple[int, int, float, bool]]:
+    def _verified(self, sequences: list[np.ndarray], owners: list[int]) -> Iterator[tuple[int, int, float, bool]]:
         tokens = np.concatenate(sequences)
-        firsts = np.cumsum([0, *[len(a) + 1 for a in sequences[::2]]])[:-1]
-        hits: set[tuple[int, int]] = set()
+        firsts = np.cumsum([0, *[len(a) + 1 for a in sequences[::2]]])
         for start, d in self.retrieve(tokens):
-            window = tokens[start : start + WINDOW].tolist()
-            for k in range(len(window) - RUN + 1):
-                if tuple(window[k : k + RUN]) in self.grams[d]:
-                    hits.add((owners[int(np.searchsorted(firsts, start + k, "right")) - 1], d))
-                    break
-        words: dict[int, list[str]] = {}
-        return [(i, d, *self._overlap(d, words.setdefault(i, plain_words(texts[i])))) for i, d in sorted(hits)]
-
-
-def _searcher(index):
+            passage = self.passages[d]
+            if self._holds(tokens[start : start + WINDOW], passage):
+                k = int(np.searchsorted(firsts, start, "right")) - 1
+                # A window may begin in the text before.
+                while start + WINDOW > firsts[k + 1] and not self._holds(tokens[max(start, firsts[k]) : min(firsts[k + 1], start + WINDOW)], passage):
+                    k += 1
+                around = tokens[max(firsts[k], start - CONTEXT) : min(firsts[k + 1] - 1, start + WINDOW + CONTEXT)]
+                yield owners[k], d, *self._overlap(d, around)
+
+    @staticmethod
+    def _holds(tokens: np.ndarray, passage: bytes) -> bool:
+        """Whether a run of the passage stands in ``tokens``."""
+        packed = tokens.tobytes()
+        return any(_spot(passage, packed[4 * k : 4 * (k + RUN)]) for k in range(len(tokens) - RUN + 1))
+
+
+def _build(key, rows):
+    """One shard of the index, packed."""
+    import pandas as pd
+
+    packed = pickle.dumps(Index([*rows[["item_id", "passage", "question", "answer"]].itertuples(index=False, name=None)]), protocol=5)
+    return pd.DataFrame({"shard": [f"{key[0]}.{key[1]}"], "packed": [packed], "bytes": [len(packed)]})
+
+
+def index_shards(items: DataFrame, shard: int = SHARD) -> DataFrame:
+    """``shard``, ``packed`` and ``bytes``: the index in shards of at most ``shard`` items each. Items without id are left
+    out; of several rows of an item the least counts."""
+    row = F.struct("passage", "question", "answer")
+    known = items.filter(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min(row).alias("r")).select("item_id", "r.*")
+    buckets = max(1, math.ceil(known.count() / shard))
+    placed = known.withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(buckets)))
+    number = F.row_number().over(Window.partitionBy("bucket").orderBy("item_id"))
+    cut = placed.withColumn("part", F.floor((number - 1) / F.lit(shard)).cast("int"))
+    return cut.groupBy("bucket", "part").applyInPandas(_build, "shard string, packed binary, bytes long")
+
+
+def _scans(sizes: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Shards that are searched together: at most ``most`` bytes, but one shard at least."""
+    scans, room = [], 0
+    for name, size in sizes:
+        if size > room or not scans:
+            scans.append([])
+            room = most
+        scans[-1].append(name)
+        room -= size
+    return scans
+
+
+def _searcher(packed):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: Index = index.value
+        ready: list[Index] = [pickle.loads(p) for p in packed.value]
         for batch in batches:
-            found = ready.search(batch.column("_text").to_pylist())
-            rows, items, asked, answered = zip(*found) if found else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_id").take(pa.array(rows, pa.int64())),
-                    pa.array([ready.items[d] for d in items], pa.int64()),
-                    pa.array(asked, pa.float64()),
-                    pa.array(answered, pa.bool_()),
-                ],
-                names=["_id", "item_id", "question_overlap", "answer_stands"],
-            )
+            texts = batch.column("_text").to_pylist()
+            for index in ready:
+                found = index.search(texts)
+                rows, items, asked, answered = zip(*found) if found else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("_id").take(pa.array(rows, pa.int64())),
+                        pa.array([index.items[d] for d in items], pa.int64()),
+                        pa.array(asked, pa.float64()),
+                        pa.array(answered, pa.bool_()),
+                    ],
+                    names=["_id", "item_id", "question_overlap", "answer_stands"],
+                )
 
     return search
 
 
-def leaked(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", shard: int = SHARD) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", shard: int = SHARD, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``id_column``, ``item_id``, ``question_overlap``, ``answer_stands`` of every document that holds a run of an item.
 
+    ``question_overlap`` is the share of the question's words, and ``answer_stands`` tells whether the answer stands,
+    among the words of the passage's place and ``CONTEXT`` words around it. They grade a case and drop none.
+
     Empty and null texts hold none; items with fewer than ``RUN`` words are in none; an item without id is left out.
-    Repeated rows each give their cases; repeated items count once. The driver reads the items of one shard at a time.
+    Repeated rows each give their cases; of repeated items the least row counts. Shards of up to ``index_bytes`` in all
+    are searched in one scan of the corpus; a larger index takes further scans.
     """
     texts = documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).filter(F.length("_text") > 0)
-    texts = spread(texts)
-    known = items.filter(F.col("item_id").isNotNull()).dropDuplicates(["item_id"]).select("item_id", "passage", "question", "answer")
-    shards = max(1, math.ceil(known.count() / shard))
     schema = f"_id {texts.schema['_id'].dataType.simpleString()}, item_id long, question_overlap double, answer_stands boolean"
-    out = None
-    for k in range(shards):
-        part = known.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
-        index = documents.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.passage, r.question, r.answer) for r in part]))
-        found = texts.mapInArrow(_searcher(index), schema)
+    shards = stored(index_shards(items, shard))
+    # One row a shard; the shards themselves come to the driver within the bound.
+    sizes = [(r["shard"], r["bytes"]) for r in shards.select("shard", "bytes").orderBy("shard").collect()]
+    out = documents.sparkSession.createDataFrame([], schema) if not sizes else None
+    for names in _scans(sizes, index_bytes):
+        packed = documents.sparkSession.sparkContext.broadcast([bytes(r["packed"]) for r in shards.filter(F.col("shard").isin(names)).collect()])
+        found = texts.mapInArrow(_searcher(packed), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("_id", id_column)

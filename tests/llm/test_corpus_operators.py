@@ -1,5 +1,7 @@
 import html
+import pickle
 import random
+import time
 import unicodedata
 from pathlib import Path
 
@@ -156,11 +158,43 @@ def test_overlap_and_odd_items(spark):
 def test_bound_never_exceeds_a_run():
     """The least score of a run reaches the bound, so retrieval can't miss it."""
     index = leakage.Index([(i, p, "", "") for i, p in enumerate(PASSAGES)])
+    weight = dict(zip(index.keys.tolist(), index.weights.tolist()))
     for d, p in enumerate(PASSAGES[:30]):
         w = [index.terms[x] for x in p.split()]
         for k in range(len(w) - 12):
-            assert index.weights[list({*w[k : k + 13]}), d].sum() >= 1
-            assert d in {i for _, i in index.retrieve(np.array(w[k : k + 13], np.int32))}
+            assert sum(weight[t * index.span + d] for t in {*w[k : k + 13]}) >= 1
+            assert d in {i for _, i in index.retrieve(np.array(w[k : k + 13], "<i4"))}
+
+
+def test_pivots_retrieve_what_a_full_evaluation_retrieves():
+    rng = random.Random(11)
+    passages = [" ".join(rng.choices(WORDS[:60], k=40)) for _ in range(50)]
+    index = leakage.Index([(i, p, "", "") for i, p in enumerate(passages)])
+    weight = dict(zip(index.keys.tolist(), index.weights.tolist()))
+    rows = np.array([sorted(rng.sample(range(index.posted), 26)) for _ in range(300)])
+    want = {(r, d) for r, terms in enumerate(rows.tolist()) for d in range(50) if sum(weight.get(t * index.span + d, 0) for t in terms) >= 1}
+    assert {*zip(*(x.tolist() for x in index._wand(rows)))} == want and len(want) > 50
+
+
+def test_many_items_take_one_scan_and_shards_are_bounded(spark):
+    many = spark.range(10_000).selectExpr("id AS item_id", "'' AS question", "concat_ws(' ', transform(sequence(0, 19), k -> concat('t', id * 20 + k))) AS passage", "'' AS answer")
+    df = documents(spark, ["x " + " ".join(f"t{k}" for k in range(9_999 * 20 + 3, 9_999 * 20 + 17)), None, " ".join(f"t{k}" for k in range(5, 17))])
+    out = leakage.leaked(df, many)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r.doc_id, r.item_id) for r in out.collect()] == [(0, 9_999)]
+    sizes = [len(pickle.loads(r.packed).items) for r in leakage.index_shards(many, shard=900).collect()]
+    assert max(sizes) <= 900 and sum(sizes) == 10_000
+    assert leakage._scans([("a", 5), ("b", 9), ("c", 2), ("d", 3)], 10) == [["a"], ["b"], ["c", "d"]]
+    small = items(spark)
+    several = leakage.leaked(documents(spark, [PASSAGES[0], PASSAGES[9]]), small, shard=7, index_bytes=1)
+    assert {(r.doc_id, r.item_id) for r in several.collect()} == {(0, 0), (1, 9)}
+
+
+def test_question_and_answer_count_near_the_passage_only(spark):
+    far = filler(400)
+    text = f"what is answer0 word {far} {PASSAGES[0]}"
+    near = leakage.leaked(documents(spark, [text]), spark.createDataFrame([(0, "what zebra", PASSAGES[0], "answer0 word")], "item_id long, question string, passage string, answer string")).first()
+    assert (near.question_overlap, near.answer_stands) == (0.0, False)
 
 
 # --- truncation
@@ -190,8 +224,19 @@ def test_evidence_is_combined(spark):
     df = spark.createDataFrame([(i, t, s, "extra") for i, (t, s) in enumerate(rows)], "doc_id long, text string, source string, _ending string")
     got = {r._id for r in truncation.assessed(df).filter("_truncated").collect()}
     assert got == {0, *range(1, 7), 7, 10, 14, 16, 17}
-    rates = {r.source: (r.texts, r.truncated, r.at_limit) for r in truncation.source_rates(df).collect()}
-    assert rates["s2"] == (6, 6, 6) and rates["s1"][:2] == (7, 3) and rates[None][0] == 5
+    rates = {r.source: (r.texts, r.truncated, r.by_word, r.by_length, r.by_structure) for r in truncation.source_rates(df).collect()}
+    assert rates["s2"] == (6, 6, 6, 0, 0) and rates["s1"] == (7, 3, 3, 0, 0) and rates[None] == (5, 3, 3, 0, 0)
+
+
+def test_each_kind_of_evidence_decides_alone(spark):
+    """A cut word in a list, which may end anywhere; whole words at one length; and a sentence without end."""
+    word = [("The quarry shut.\n* item, quar", "a"), ("The quarry shut.\n* item, quarry", "a")]
+    length = [(f"The quarry shut.\n* {'y' * k} item, quarry shut item"[-30:].replace("\n", " * "), None) for k in range(5)]
+    structure = [("The quarry was shut and", "b"), ("Was shut and The quarry", "b")]
+    rows = [*word, *[("* " + t[-28:].rjust(28, "x"), s) for t, s in length], *structure]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r._id: r._evidence for r in truncation.assessed(df).collect()}
+    assert got == {0: "word", 1: None, **{k: "length" for k in range(2, 7)}, 7: "structure", 8: "structure"}
 
 
 def test_a_sentence_mark_in_open_markup_leaves_it_to_the_limit(spark):
@@ -202,17 +247,33 @@ def test_a_sentence_mark_in_open_markup_leaves_it_to_the_limit(spark):
     assert {r._id for r in truncation.assessed(df).filter("_truncated").collect()} == {*range(5), 5, 6, 7}
 
 
-def test_prefixes_against_a_plain_search(spark):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_prefixes_against_a_plain_search(spark, parts):
     rng = random.Random(3)
     words = ["".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(60)]
-    texts = documents(spark, [" ".join(words) + " ."]).withColumnRenamed("text", "_text")
-    tokens = ["".join(rng.choices("abcd", k=rng.randrange(1, 5))) for _ in range(60)]
+    tokens = ["".join(rng.choices("abcd", k=rng.randrange(1, 5))) for _ in range(300)]
     known = set(words)
     want = {t for t in tokens if t not in known and any(w.startswith(t) for w in known)}
-    asked = spark.createDataFrame([(t,) for t in [*tokens, None]], "_token string")
-    got = {r._token for r in truncation.unknown_prefixes(texts, asked).collect()}
-    assert {t for t in want if len(t) > 1} == {t for t in got if len(t) > 1}
-    assert {t for t in got if len(t) == 1} <= want
+    asked = spark.createDataFrame([(t,) for t in [*tokens, None, ""]], "_token string")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r._token for r in truncation.unknown_prefixes(spark.createDataFrame([(w,) for w in words], "_word string"), asked).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == want and len(got) > 5
+
+
+def test_words_of_one_beginning_take_time_in_proportion(spark):
+    took = {}
+    for n in (20_000, 20_000, 200_000):
+        words = spark.range(n).selectExpr("concat('co', lpad(id, 7, '0')) AS _word")
+        tokens = spark.range(0, n, 100).selectExpr("concat('co', substr(lpad(id, 7, '0'), 1, 6)) AS _token")
+        began = time.perf_counter()
+        assert truncation.unknown_prefixes(words, tokens).count() == n // 100
+        took[n] = time.perf_counter() - began
+    assert took[200_000] < 15 * max(took[20_000], 0.5)
 
 
 def test_empty_corpus(spark):
