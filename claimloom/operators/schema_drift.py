@@ -8,6 +8,10 @@ per file and field; types are bit sets folded by ``bit_or`` and read through a p
 so any two kinds that have no common number type meet in text. Consecutive files of a feed are compared header by
 header. A field that vanished and one that appeared are the same field renamed if all records that both files hold
 carry equal values; this is decided by counting equal values, through an equality join on record and value.
+
+Payloads are read once and stored as cells. Flat objects, which are nearly all, are taken apart by column expressions
+that keep numbers as they are written, which the JSON functions of Spark don't; nested ones, escaped strings and whatever
+is no JSON object are read in Python, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -81,21 +85,59 @@ def record_fields(payload: str | None) -> list[tuple[str, int, str | None]]:
 
 
 _CELLS = pa.list_(pa.struct([("field", pa.string()), ("kind", pa.int32()), ("value", pa.string())]))
+_CELLS_SQL = "array<struct<field:string,kind:int,value:string>>"
+
+# A JSON object without nesting and escapes. All repetitions are possessive, so no text is tried twice.
+_BLANK, _PLAIN_STRING, _NUMBER = r"[ \t\r\n]*+", r'"[^"\\\x00-\x1f]*+"', r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+_PAIR = rf"{_BLANK}{_PLAIN_STRING}{_BLANK}:{_BLANK}(?:{_PLAIN_STRING}|{_NUMBER}|true|false|null){_BLANK}"
+_FLAT = rf"\A{_BLANK}\{{(?:{_PAIR}(?:,{_PAIR})*+|{_BLANK})\}}{_BLANK}\z"
+_FIELD = rf'"([^"]*+)"{_BLANK}:{_BLANK}("[^"]*+"|[^", \t\r\n{{}}]++)'
+#: Characters of a payload that the expressions read; matching one pair takes a frame of the stack. Longer ones are read in Python.
+_FLAT_CHARS = 8_000
+
+
+def _flat_cells(df: DataFrame, payload: str) -> DataFrame:
+    """Adds ``_cells`` of flat objects with distinct keys; null for other payloads.
+
+    The one-element explodes keep the optimizer from repeating a step for every use of its result.
+    """
+    fields, raws = (F.regexp_extract_all(payload, F.lit(_FIELD), F.lit(i)).alias(n) for i, n in ((1, "fields"), (2, "raws")))
+    flat = (F.length(payload) <= _FLAT_CHARS) & F.col(payload).rlike(_FLAT)
+
+    def cell(name: Column, raw: Column) -> Column:
+        text = raw.startswith('"')
+        number = F.when(raw.contains(".") | raw.rlike("[eE]-"), DECIMAL).otherwise(INTEGER)
+        kind = F.when(text, TEXT).when(raw.isin("true", "false"), BOOLEAN).when(raw == "null", 0).otherwise(number)
+        value = F.when(text, F.substr(raw, F.lit(2), F.length(raw) - 2)).when(raw != "null", raw)
+        return F.struct(name.alias("field"), kind.alias("kind"), value.alias("value"))
+
+    taken = df.withColumn("_taken", F.explode(F.array(F.when(flat, F.struct(fields, raws)))))
+    distinct = F.size(F.array_distinct("_taken.fields")) == F.size("_taken.fields")
+    cells = F.when(distinct, F.zip_with("_taken.fields", "_taken.raws", cell)).cast(_CELLS_SQL)
+    return taken.withColumn("_cells", F.explode(F.array(cells))).drop("_taken")
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         i = batch.schema.get_field_index("_payload")
-        cells = [[{"field": f, "kind": k, "value": v} for f, k, v in record_fields(p)] for p in batch.column(i).to_pylist()]
+        found = [record_fields(p) for p in batch.column(i).to_pylist()]
+        ends = [0]
+        for cells in found:
+            ends.append(ends[-1] + len(cells))
+        columns = list(zip(*[c for cells in found for c in cells])) or [[], [], []]
+        flat = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _CELLS.value_type)], fields=[*_CELLS.value_type])
         names = [n for n in batch.schema.names if n != "_payload"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(cells, _CELLS)], names=[*names, "_cells"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[*names, "_cells"])
 
 
 def parsed_records(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ("feed_id", "file_no")) -> DataFrame:
-    """``keep`` columns and ``_cells``, the fields of the record as (field, kind, value)."""
+    """``keep`` columns and ``_cells``, the fields of the record as (field, kind, value). Payloads are read once and stored."""
     rows = df.select(*keep, F.col(payload).alias("_payload"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_payload")
-    return rows.mapInArrow(_parse_batches, schema + ", _cells array<struct<field:string,kind:int,value:string>>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_payload") + f", _cells {_CELLS_SQL}"
+    read = _flat_cells(rows, "_payload")
+    read = stored(read.withColumn("_payload", F.when(F.col("_cells").isNull(), F.col("_payload"))).withColumn("_rest", F.col("_cells").isNull()))
+    rest = read.filter("_rest").select(*keep, "_payload").mapInArrow(_parse_batches, schema)
+    return read.filter(~F.col("_rest")).select(*keep, "_cells").unionByName(stored(rest))
 
 
 def promoted(mask: Column) -> Column:
@@ -116,6 +158,25 @@ def file_headers(records: DataFrame) -> DataFrame:
     return records.select("feed_id", "file_no", F.explode("_cells").alias("c")).groupBy("feed_id", "file_no", F.col("c.field").alias("field")).agg(F.bit_or("c.kind").alias("mask"))
 
 
+def _number_size(value: Column) -> tuple[Column, Column]:
+    """Digits of a number before and after the point, its exponent applied."""
+    part = lambda i: F.regexp_extract(value, r"\A-?([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?\z", i)
+    power = F.when(part(3) == "", 0).otherwise(F.coalesce(part(3).try_cast("int"), F.lit(1_000_000)))
+    power = F.greatest(F.least(power, F.lit(1_000_000)), F.lit(-1_000_000))
+    return F.greatest(F.length(part(1)) + power, F.lit(1)), F.greatest(F.length(part(2)) - power, F.lit(0))
+
+
+def sized_headers(records: DataFrame) -> DataFrame:
+    """``file_headers`` with ``whole`` and ``fraction``, the most digits of a number on either side of the point."""
+    number = F.col("c.kind").isin(INTEGER, DECIMAL)
+    whole, fraction = _number_size(F.col("c.value"))
+    return (
+        records.select("feed_id", "file_no", F.explode("_cells").alias("c"))
+        .groupBy("feed_id", "file_no", F.col("c.field").alias("field"))
+        .agg(F.bit_or("c.kind").alias("mask"), F.coalesce(F.max(F.when(number, whole)), F.lit(0)).alias("whole"), F.coalesce(F.max(F.when(number, fraction)), F.lit(0)).alias("fraction"))
+    )
+
+
 def _steps(records: DataFrame) -> DataFrame:
     """Fields of each pair of consecutive files: ``file_no`` of the later one, ``was`` and ``now`` (masks, -1: absent)."""
     headers = file_headers(records)
@@ -193,8 +254,8 @@ def drift(records: DataFrame, record_key: str) -> tuple[DataFrame, DataFrame]:
 def schema_changes(df: DataFrame, record_key: str = "external_reference_id", payload: str = "payload") -> DataFrame:
     """``feed_id``, ``file_no``, ``change``, ``old_field``, ``new_field`` for each file against the one before.
 
-    Records without ``record_key`` take no part in recognising renamings. A field with only nulls has no type, and no
-    change of type is reported for it. Payloads that are no JSON object hold no fields; their file still exists.
+    Rows come in the order of feeds, files and names. Records without ``record_key`` take no part in recognising renamings.
+    A field with only nulls has no type, and no change of type is reported for it. Payloads that are no JSON object hold no fields; their file still exists.
     """
     records = parsed_records(df, payload)
     steps, renamed = drift(records, record_key)
@@ -216,6 +277,7 @@ def schema_changes(df: DataFrame, record_key: str = "external_reference_id", pay
         .unionByName(row(removed, "removed", F.col("field"), none))
         .unionByName(row(added, "added", none, F.col("field")))
         .unionByName(row(retyped, "retyped", F.col("old_field"), F.col("new_field")))
+        .orderBy(*at, "change", "old_field", "new_field")
     )
 
 
@@ -246,38 +308,54 @@ def _follow_feed(key, headers, renames):
                     k += 1
                     name = f"{r.field}~{k}"
                 now[r.field] = name
-        rows += [(key[0], file_no, r.field, now[r.field], r.mask) for r in part.itertuples()]
+        rows += [(key[0], file_no, r.field, now[r.field], r.mask, r.whole, r.fraction) for r in part.itertuples()]
         before = {f: n for f, n in before.items() if n not in {*now.values()}} | now
-    return pd.DataFrame(rows, columns=["feed_id", "file_no", "field", "name", "mask"])
+    return pd.DataFrame(rows, columns=["feed_id", "file_no", "field", "name", "mask", "whole", "fraction"])
 
 
 def field_names(records: DataFrame, record_key: str = "external_reference_id") -> DataFrame:
-    """``feed_id``, ``file_no``, ``field``, ``name``, ``mask`` for every field of every file. Only headers are grouped by feed."""
-    headers = stored(file_headers(records).filter(F.col("feed_id").isNotNull() & F.col("file_no").isNotNull()))
+    """``feed_id``, ``file_no``, ``field``, ``name``, ``mask``, ``whole`` and ``fraction`` for every field of every file.
+    Only headers are grouped by feed."""
+    headers = stored(sized_headers(records).filter(F.col("feed_id").isNotNull() & F.col("file_no").isNotNull()))
     _, renamed = drift(records, record_key)
-    names = headers.groupBy("feed_id").cogroup(renamed.groupBy("feed_id")).applyInPandas(_follow_feed, "feed_id string, file_no int, field string, name string, mask int")
-    return stored(names)
+    schema = "feed_id string, file_no int, field string, name string, mask int, whole int, fraction int"
+    return stored(headers.groupBy("feed_id").cogroup(renamed.groupBy("feed_id")).applyInPandas(_follow_feed, schema))
+
+
+#: Digits of the widest decimal.
+_DIGITS = 38
+
+
+def column_type(kind: str, whole: int, fraction: int) -> str:
+    """The Spark type that holds every value of a column: numbers as narrow as their digits allow, and text where no
+    number type holds them all."""
+    if kind == "integer" and whole <= 18:
+        return "bigint"
+    if kind in ("integer", "decimal") and whole + fraction <= _DIGITS:
+        return f"decimal({_DIGITS},{fraction})"
+    return "boolean" if kind == "boolean" else "string"
 
 
 def union_schema(names: DataFrame, max_columns: int = MAX_COLUMNS) -> list[tuple[str, str]]:
-    """Name and type of each column over all files, by name. It has the size of a schema and is read by the driver;
+    """Name and Spark type of each column over all files, by name. It has the size of a schema and is read by the driver;
     beyond ``max_columns`` it raises."""
-    folded = names.groupBy("name").agg(F.bit_or("mask").alias("mask")).select("name", F.coalesce(promoted(F.col("mask")), F.lit("text")).alias("type"))
-    rows = folded.orderBy("name").limit(max_columns + 1).collect()
+    folded = names.groupBy("name").agg(F.bit_or("mask").alias("mask"), F.max("whole").alias("whole"), F.max("fraction").alias("fraction"))
+    rows = folded.select("name", F.coalesce(promoted(F.col("mask")), F.lit("text")).alias("kind"), "whole", "fraction").orderBy("name").limit(max_columns + 1).collect()
     if len(rows) > max_columns:
         raise ValueError(f"the union schema has more than {max_columns} columns")
-    return [(r["name"], r["type"]) for r in rows]
+    return [(r["name"], column_type(r["kind"], r["whole"], r["fraction"])) for r in rows]
 
 
-# Spark types of the lattice.
-_SPARK = {"integer": "bigint", "decimal": "decimal(38,6)", "boolean": "boolean"}
+def _typed(value: Column, kind: str) -> Column:
+    # Whole numbers may be written with an exponent, which decimals read.
+    return value.cast("decimal(38,0)").cast("bigint") if kind == "bigint" else value.cast(kind)
 
 
 def consistent_table(df: DataFrame, record_key: str = "external_reference_id", payload: str = "payload", keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
     """All records under the union schema, renamed fields under their first name, values cast to the promoted type.
 
-    Values that the promoted type can't hold are null. Names that differ only in case get a number appended from the
-    second on, as do names that clash with ``keep``. Records without fields keep their row.
+    Types are chosen from the digits of all values, so every value is held exactly. Names that differ only in case get a
+    number appended from the second on, as do names that clash with ``keep``. Records without fields keep their row.
     """
     identity = ("feed_id", "file_no", *keep)
     records = parsed_records(df, payload, identity)
@@ -295,5 +373,5 @@ def consistent_table(df: DataFrame, record_key: str = "external_reference_id", p
             k += 1
             label = f"{name}__{k}"
         used.add(label.lower())
-        out.append(F.element_at("_values", F.lit(name)).try_cast(_SPARK.get(kind, "string")).alias(label))
+        out.append(_typed(F.element_at("_values", F.lit(name)), kind).alias(label))
     return named.select(*identity, *out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.operators import exactly_once as once
 from claimloom.operators import history, landing, lateness, schema_drift, table_diff, timestamps
-from claimloom.session import read_table
+from claimloom.session import read_table, stored
 
 _DAY, _HOUR = 86_400_000_000, 3_600_000_000
 
@@ -40,10 +40,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_zones(spark: SparkSession, d: str) -> DataFrame:
     """Estimated beside declared zone of each source."""
     raw, sources = read_table(spark, d, "regulatory_claims_raw"), read_table(spark, d, "regulatory_sources")
-    zones = timestamps.source_zones(timestamps.regulatory_reports(raw, sources), sources, timestamps.CANDIDATES)
+    zones = timestamps.source_zones(stored(timestamps.regulatory_reports(raw, sources)), sources)
     return zones.select(F.col("_source").alias("source_system"), F.col("_zone").alias("zone"), F.col("_declared").alias("declared_zone"))
 
 
+#: Instants (hours since 1970) in summer and winter of the years that the test tables cover.
+_SEASONS = {"winter_2018": 421_116, "summer_2018": 425_460, "winter_2019": 429_876, "summer_2019": 434_220}
+
+
+def p3_undeclared(spark: SparkSession, d: str) -> DataFrame:
+    """What the reports alone say about the zone of each source, without any declaration: local hours of fixed instants."""
+    raw, sources = read_table(spark, d, "regulatory_claims_raw"), read_table(spark, d, "regulatory_sources")
+    undeclared = sources.withColumn("local_zone", F.lit(None).cast("string"))
+    zones = timestamps.source_zones(stored(timestamps.regulatory_reports(raw, undeclared)), undeclared)
+    local = lambda hours: F.hour(F.from_utc_timestamp(F.timestamp_seconds(F.lit(hours * 3600)), F.col("_zone"))).cast("long")
+    return zones.select(F.col("_source").alias("source_system"), *[local(h).alias(n) for n, h in _SEASONS.items()])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = history.consent_versions(read_table(spark, d, "consent_events"))
     return found.select(
@@ -108,7 +121,7 @@ def p7_edits(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_kept, p2_found, p2_table, p3_found, p3_zones, p4_found, p4_history, p5_found,
+        p1_found, p1_kept, p2_found, p2_table, p3_found, p3_zones, p3_undeclared, p4_found, p4_history, p5_found,
         p6_found, p6_periods, p6_publications, p6_ordered, p7_found, p7_rows, p7_edits,
     )
 }
@@ -143,10 +156,45 @@ _P5 = f"""WITH p AS ({_side("recon_primary")}), r AS ({_side("recon_replica")}),
   SELECT rk AS external_reference_id, 'missing_in_primary' AS difference FROM j WHERE pk IS NULL
   UNION ALL SELECT pk, 'missing_in_replica' FROM j WHERE rk IS NULL UNION ALL {_DIFFER}"""
 
+# Cells of JSON objects that nest one level at most, with values as they are written.
+_PAIR = """'"((?:[^"\\\\]|\\\\.)*)"\\s*:\\s*("(?:[^"\\\\]|\\\\.)*"|\\{[^{}]*\\}|\\[[^\\[\\]]*\\]|[^",\\s\\[\\]{}]+)'"""
+_CELLS = f"""SELECT feed_id, file_no, record_id, unnest(regexp_extract_all(payload, {_PAIR}, 1)) AS field, unnest(regexp_extract_all(payload, {_PAIR}, 2)) AS raw FROM regulatory_feed_records"""
+_P2 = f"""WITH cells AS (SELECT feed_id, file_no, record_id, field,
+      CASE WHEN raw = 'null' THEN NULL WHEN raw[1] = '"' THEN 'text' WHEN raw[1] = '{{' THEN 'object' WHEN raw[1] = '[' THEN 'array' WHEN raw IN ('true', 'false') THEN 'boolean'
+        WHEN contains(raw, '.') THEN 'decimal' ELSE 'integer' END AS kind,
+      CASE WHEN raw = 'null' THEN NULL WHEN raw[1] = '"' THEN json_extract_string(raw, '$') ELSE raw END AS v FROM ({_CELLS})),
+  kinds AS (SELECT feed_id, file_no, field, list_sort(list_distinct(list(kind) FILTER (kind IS NOT NULL))) AS k FROM cells GROUP BY ALL),
+  heads AS (SELECT feed_id, file_no, field, CASE WHEN coalesce(len(k), 0) = 0 THEN NULL WHEN len(k) = 1 THEN k[1] WHEN k = ['decimal', 'integer'] THEN 'decimal' ELSE 'text' END AS kind FROM kinds),
+  files AS (SELECT DISTINCT feed_id, file_no FROM regulatory_feed_records),
+  steps AS (SELECT b.feed_id, b.file_no FROM files b JOIN files a ON a.feed_id = b.feed_id AND a.file_no = b.file_no - 1),
+  gone AS (SELECT s.feed_id, s.file_no, h.field, h.kind FROM steps s JOIN heads h ON h.feed_id = s.feed_id AND h.file_no = s.file_no - 1
+    WHERE NOT EXISTS (FROM heads n WHERE n.feed_id = s.feed_id AND n.file_no = s.file_no AND n.field = h.field)),
+  came AS (SELECT s.feed_id, s.file_no, h.field, h.kind FROM steps s JOIN heads h ON h.feed_id = s.feed_id AND h.file_no = s.file_no
+    WHERE NOT EXISTS (FROM heads n WHERE n.feed_id = s.feed_id AND n.file_no = s.file_no - 1 AND n.field = h.field)),
+  refs AS (SELECT DISTINCT feed_id, file_no, v AS ref, record_id FROM cells WHERE field = 'external_reference_id' AND v IS NOT NULL),
+  shared AS (SELECT DISTINCT b.feed_id, b.file_no, b.ref FROM refs b JOIN refs a ON a.feed_id = b.feed_id AND a.file_no = b.file_no - 1 AND a.ref = b.ref),
+  vals AS (SELECT r.feed_id, r.file_no, r.ref, c.field, min(c.v) AS v FROM refs r JOIN cells c USING (feed_id, file_no, record_id) GROUP BY ALL),
+  tried AS (SELECT s.feed_id, s.file_no, o.field AS old_field, n.field AS new_field, count(*) FILTER (a.v IS DISTINCT FROM b.v) AS unlike, count(*) FILTER (a.v = b.v) AS alike
+    FROM shared s JOIN gone o USING (feed_id, file_no) JOIN came n USING (feed_id, file_no)
+      LEFT JOIN vals a ON a.feed_id = s.feed_id AND a.file_no = s.file_no - 1 AND a.ref = s.ref AND a.field = o.field
+      LEFT JOIN vals b ON b.feed_id = s.feed_id AND b.file_no = s.file_no AND b.ref = s.ref AND b.field = n.field GROUP BY ALL),
+  renamed AS (SELECT *, row_number() OVER (PARTITION BY feed_id, file_no, old_field ORDER BY new_field) AS x, row_number() OVER (PARTITION BY feed_id, file_no, new_field ORDER BY old_field) AS y
+    FROM tried WHERE unlike = 0 AND alike > 0 QUALIFY x = 1 AND y = 1)
+  SELECT feed_id, file_no, 'renamed' AS change, old_field, new_field FROM renamed
+  UNION ALL SELECT feed_id, file_no, 'removed', field, '' FROM gone g WHERE NOT EXISTS (FROM renamed r WHERE r.feed_id = g.feed_id AND r.file_no = g.file_no AND r.old_field = g.field)
+  UNION ALL SELECT feed_id, file_no, 'added', '', field FROM came c WHERE NOT EXISTS (FROM renamed r WHERE r.feed_id = c.feed_id AND r.file_no = c.file_no AND r.new_field = c.field)
+  UNION ALL SELECT r.feed_id, r.file_no, 'retyped', old_field, new_field FROM renamed r JOIN gone g ON g.feed_id = r.feed_id AND g.file_no = r.file_no AND g.field = old_field
+    JOIN came c ON c.feed_id = r.feed_id AND c.file_no = r.file_no AND c.field = new_field WHERE g.kind <> c.kind
+  UNION ALL SELECT b.feed_id, b.file_no, 'retyped', b.field, b.field FROM heads a JOIN heads b ON a.feed_id = b.feed_id AND a.file_no = b.file_no - 1 AND a.field = b.field WHERE a.kind <> b.kind"""
+
 ORACLES = {
+    "p2_found": _P2,
     "p1_found": f"SELECT record_id FROM ({_RANKED}) WHERE copy_no > 1",
     "p1_kept": f"SELECT record_id, claim_id, event_type, region, amount::DOUBLE AS amount FROM ({_RANKED}) WHERE copy_no = 1",
     "p3_zones": "SELECT source_system, local_zone AS zone, local_zone AS declared_zone FROM regulatory_sources",
+    "p3_undeclared": "SELECT source_system, "
+    + ", ".join(f"hour(timezone(local_zone, to_timestamp({h * 3600})))::BIGINT AS {n}" for n, h in _SEASONS.items())
+    + " FROM regulatory_sources",
     "p4_found": f"SELECT policy_id, valid_from_us, valid_to_us FROM ({_VERSIONS})",
     "p4_history": f"SELECT *, valid_to_us = -1 AS is_current FROM ({_VERSIONS})",
     "p5_found": _P5,

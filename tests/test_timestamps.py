@@ -29,7 +29,7 @@ CASES = [
     ("c", "1526542401336", 1526542401336000), ("c", "1.517611076501E12", 1517611076501000), ("c", "1556884387", 1556884387000000), ("c", "1517851966424418", 1517851966424418),
     ("c", "/Date(1509237369180)/", 1509237369180000), ("c", "/Date()/", None), ("c", "1.5E", None), ("c", "NaN", None), ("c", "2019-11-07T15:29Z", us(2019, 11, 7, 15, 29)),
     ("c", "Sat, 26 Oct 2019 06:05:35 -0400", us(2019, 10, 26, 10, 5, 35)), ("c", "2019-11-03T01:30:00.000", us(2019, 11, 3, 5, 30)), ("c", "2018-03-11T02:30:00.000", us(2018, 3, 11, 7, 30)),
-    ("c", "2018-03-11T02:30:00 XYZ", None),
+    ("c", "2018-03-11T02:30:00 XYZ", None), ("c", "3 Okt 2019 10:00 MESZ", us(2019, 10, 3, 8)), ("c", "3 luglio 2019 10:00 CEST", us(2019, 7, 3, 8)), ("c", "3 juillet 2019 10:00Z", us(2019, 7, 3, 10)),
 ]
 
 
@@ -56,9 +56,26 @@ def test_zone_is_found_without_declaration(spark):
         rows += [(2 * i, f"e{i}", "insurer_c", None, None, local, datetime(2021, 1, 1)), (2 * i + 1, f"e{i}", "insurer_b", None, utc.strftime("%Y-%m-%dT%H:%M:%SZ"), None, datetime(2021, 1, 1))]
     undeclared = sources(spark).withColumn("local_zone", F.lit(None).cast("string"))
     reports = ts.regulatory_reports(spark.createDataFrame(rows, RAW), undeclared)
-    zones = {r._source: r._zone for r in ts.source_zones(reports, undeclared, ts.CANDIDATES).collect()}
+    zones = {r._source: r._zone for r in ts.source_zones(reports, undeclared, ["UTC", "America/Chicago", "America/New_York"]).collect()}
     assert zones["insurer_c"] == "America/New_York"
     assert zones["insurer_a"] == "UTC"  # no evidence, no declaration
+    # Among all known zones, one of the same history.
+    found = {r._source: r._zone for r in ts.source_zones(reports, undeclared).collect()}["insurer_c"]
+    assert {datetime(2019, m, d, tzinfo=ZoneInfo(found)).utcoffset() == datetime(2019, m, d, tzinfo=ZoneInfo("America/New_York")).utcoffset() for m in range(1, 13) for d in range(1, 29)} == {True}
+
+
+def test_a_zone_of_half_hours_is_found(spark):
+    """No list of usual zones is needed: a source in Kathmandu, of which nothing is declared."""
+    from zoneinfo import ZoneInfo
+
+    rows = []
+    for i in range(60):
+        utc = datetime(2019, 1 + i % 12, 1 + i % 28, 12, i, tzinfo=timezone.utc)
+        local = utc.astimezone(ZoneInfo("Asia/Kathmandu")).strftime("%Y-%m-%dT%H:%M:%S")
+        rows += [(2 * i, f"e{i}", "insurer_c", None, None, local, datetime(2021, 1, 1)), (2 * i + 1, f"e{i}", "insurer_b", None, utc.strftime("%Y-%m-%dT%H:%M:%SZ"), None, datetime(2021, 1, 1))]
+    undeclared = sources(spark).withColumn("local_zone", F.lit(None).cast("string"))
+    zones = {r._source: r._zone for r in ts.source_zones(ts.regulatory_reports(spark.createDataFrame(rows, RAW), undeclared), undeclared).collect()}
+    assert zones["insurer_c"] in ("Asia/Kathmandu", "Asia/Katmandu")
 
 
 def test_arrival_rules_out_zones(spark):
