@@ -4,8 +4,10 @@ Frequencies are counted on a 64-bit digest of the identifier, so that the counti
 group after map-side combining. A digest that occurs once proves that its row has no copy, and that row passes
 directly. Rows of repeated digests are ranked on the full identifier, which also undoes digest collisions.
 
-Groups larger than ``hot_rows`` are ranked in two rounds: inside salted parts whose number follows the group's
-frequency, then among the winners of the parts. No task ever holds a whole hot group.
+Groups larger than ``hot_rows`` are recognised by a broadcast list, before any join on the digest, and ranked in two
+rounds: inside salted parts whose number follows the group's frequency, then among the winners of the parts. The list
+holds the ``HOT_GROUPS`` most frequent digests at most. Of N rows, a group that isn't on it has no more than
+``hot_rows`` or N / ``HOT_GROUPS`` of them, so no task ever holds a hot group.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from claimloom.session import free_prefix
 
 #: Rows of one identifier that a single task may rank.
 HOT_ROWS = 200_000
+#: Identifiers on the broadcast list of hot groups; each takes a few bytes.
+HOT_GROUPS = 100_000
+
 
 @dataclass(frozen=True)
 class MessageKey:
@@ -68,21 +73,20 @@ def split_by_frequency(df: DataFrame, key: MessageKey, hot_rows: int = HOT_ROWS)
     known = rows.filter(identified)
     anonymous = rows.filter(~identified).select(columns)
 
-    repeated = (
-        known.groupBy(digest)
-        .agg(F.count(F.lit(1)).alias(copies))
-        .filter(F.col(copies) > 1)
-        .select(digest, F.ceil(F.col(copies) / hot_rows).cast("int").alias(parts))
-    )
-    singletons = known.join(repeated, digest, "left_anti").select(columns)
-
-    groups = known.join(repeated, digest).withColumn(part, F.pmod(F.xxhash64(*orders), F.col(parts))).repartition(digest, part)
-    first_copy = [F.col(c).asc_nulls_last() for c in orders]
-    ranked = groups.withColumn(rank, F.row_number().over(Window.partitionBy(digest, *ids, part).orderBy(*first_copy)))
-    first, alone = F.col(rank) == 1, F.col(parts) == 1
-    finalists = ranked.filter(~alone & first).withColumn(rank, F.row_number().over(Window.partitionBy(digest, *ids).orderBy(*first_copy)))
-    kept = ranked.filter(alone & first).select(columns).union(finalists.filter(first).select(columns))
-    redundant = ranked.filter(~first).select(columns).union(finalists.filter(~first).select(columns))
+    repeated = known.groupBy(digest).agg(F.count(F.lit(1)).alias(copies)).filter(F.col(copies) > 1)
+    hot = repeated.filter(F.col(copies) > hot_rows).orderBy(F.col(copies).desc(), digest).limit(HOT_GROUPS)
+    hot = F.broadcast(hot.select(digest, F.ceil(F.col(copies) / hot_rows).cast("int").alias(parts)))
+    cold = known.join(hot, digest, "left_anti")
+    singletons = cold.join(repeated, digest, "left_anti").select(columns)
+
+    first_copy, whole = [F.col(c).asc_nulls_last() for c in orders], Window.partitionBy(digest, *ids)
+    ranked = cold.join(repeated, digest, "left_semi").withColumn(rank, F.row_number().over(whole.orderBy(*first_copy)))
+    salted = known.join(hot, digest).withColumn(part, F.pmod(F.xxhash64(*orders), F.col(parts)))
+    rounds = salted.withColumn(rank, F.row_number().over(Window.partitionBy(digest, *ids, part).orderBy(*first_copy)))
+    first = F.col(rank) == 1
+    finalists = rounds.filter(first).withColumn(rank, F.row_number().over(whole.orderBy(*first_copy)))
+    kept = ranked.filter(first).select(columns).union(finalists.filter(first).select(columns))
+    redundant = ranked.filter(~first).select(columns).union(rounds.filter(~first).select(columns)).union(finalists.filter(~first).select(columns))
     return Split(anonymous, singletons, kept, redundant)
 
 

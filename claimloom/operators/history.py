@@ -3,9 +3,10 @@
 Within an entity, ordered by time, a row whose attribute hash differs from the row before marks a change; the running
 sum of the marks numbers the islands; the first time of an island and the start of the next give the validity.
 
-An entity may hold most of the rows. Entities above ``hot_rows`` are cut into time chunks at approximate quantiles.
-Chunks are processed apart, and one summary row per chunk carries the last attributes before it and the first change
-after it across the borders, so no task holds a whole hot entity.
+An entity may hold most of the rows. All rows are brought into the order of entity and time by one range partitioning,
+which cuts them into chunks of even size wherever an entity begins or ends. Chunks are processed apart. At each border at
+most one entity goes on, so one row per chunk carries the state that a chunk is entered with, and the first change that
+comes after it, across the borders. No task holds a whole hot entity, and no join meets in one.
 """
 
 from __future__ import annotations
@@ -15,10 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one entity that a single task may order.
-HOT_ROWS = 100_000
-#: Chunks of the largest entity; quantile borders come from one bounded sketch per hot entity.
-MAX_CHUNKS = 1000
+from claimloom.session import stored
 
 
 def normalised(name: str) -> Column:
@@ -43,70 +41,71 @@ def latest_event_per_instant(df: DataFrame, entity: str, at: str, event_no: str,
     return kept.groupBy("_entity", "_at").agg(last).select("_entity", "_at", *[F.col(f"_last.{n}").alias(n) for n in names])
 
 
-def _with_chunks(rows: DataFrame, hot_rows: int) -> DataFrame:
-    """Adds ``_chunk``: 0 for ordinary entities, the number of quantile borders below the row for hot ones."""
-    sizes = rows.groupBy("_entity").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    # Only rows of hot entities reach the sketch. Its size is fixed, whatever the number of rows.
-    borders = (
-        rows.join(sizes, "_entity")
-        .groupBy("_entity", "_n")
-        .agg(F.percentile_approx("_at", [i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)], 20_000).alias("_grid"))
-    )
-    wanted = F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_CHUNKS)).cast("int")
-    step = F.greatest(F.floor(F.lit(MAX_CHUNKS) / wanted), F.lit(1)).cast("int")
-    borders = borders.select("_entity", F.array_distinct(F.filter("_grid", lambda x, i: (i + 1) % step == 0)).alias("_borders"))
-    below = F.size(F.filter("_borders", lambda b: b <= F.col("_at")))
-    return rows.join(borders, "_entity", "left").withColumn("_chunk", F.coalesce(below, F.lit(0))).drop("_borders")
+def _in_chunks(rows: DataFrame, chunks: int | None) -> DataFrame:
+    """Adds ``_chunk``, the number of the range of entities and times in which a row lies. Stored, since another run of the
+    range partitioning might draw other borders."""
+    ranged = rows.repartitionByRange("_entity", "_at") if chunks is None else rows.repartitionByRange(chunks, "_entity", "_at")
+    return stored(ranged.withColumn("_chunk", F.spark_partition_id()))
+
 
+def _differs(state: Column, before: Column, names: Sequence[str]) -> Column:
+    """Hashes tell most changes; values are compared where hashes are equal."""
+    return (state["h"] != before["h"]) | F.exists(F.array(*[~state[n].eqNullSafe(before[n]) for n in names]), lambda x: x)
 
-def versions(rows: DataFrame, attributes: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+
+def versions(rows: DataFrame, attributes: Sequence[str], chunks: int | None = None) -> DataFrame:
     """Versions of ``rows`` (``_entity``, ``_at`` in microseconds, ``_a0``, ``_a1``, ... for the attributes; one row per
-    entity and instant).
+    entity and instant). ``chunks`` is the number of ranges, which otherwise follows the session and the size of the data.
 
     Returns ``_entity``, ``_valid_from``, ``_valid_to`` (null for the last version), the attributes and ``_events``
     (rows in the version that lie in the chunk in which it starts). Null attributes equal only null.
     """
     given, names = list(attributes), _places(attributes)
     state = F.struct(F.xxhash64(*names).alias("h"), *names)
-    chunked = _with_chunks(rows, hot_rows).withColumn("_state", state)
-    chunk = ["_entity", "_chunk"]
-    inside = Window.partitionBy(*chunk).orderBy("_at")
-    marked = chunked.withColumn("_before", F.lag("_state").over(inside))
-
-    # Chunks with the state they are entered with.
-    ends = marked.groupBy(*chunk).agg(F.max(F.struct("_at", "_state"))["_state"].alias("_left_with"))
-    entered = ends.withColumn("_entered_with", F.lag("_left_with").over(Window.partitionBy("_entity").orderBy("_chunk"))).drop("_left_with")
-    before = F.coalesce(F.col("_before"), F.col("_entered_with"))
-    changed = before.isNull() | (F.col("_state.h") != before["h"])
-    for name in names:
-        changed = changed | ~F.col(name).eqNullSafe(before[name])
+    chunked = _in_chunks(rows, chunks).withColumn("_state", state)
+    # One row a chunk: the number of chunks bounds all that is ordered in one task and broadcast here.
+    borders = chunked.groupBy("_chunk").agg(F.min(F.struct("_entity", "_at")).alias("_first"), F.max(F.struct("_entity", "_at", "_state")).alias("_last"))
+    by_chunk = Window.orderBy("_chunk")
+    borders = borders.withColumns({"_left": F.lag("_last").over(by_chunk), "_earlier": F.lag("_chunk").over(by_chunk)})
+    spans = borders.filter(F.col("_left._entity") == F.col("_first._entity")).select("_chunk", F.col("_first._entity").alias("_entity"), F.col("_left._state").alias("_entered"), "_earlier")
+    entered = F.broadcast(spans.select("_chunk", "_entity", "_entered"))
+
+    inside = Window.partitionBy("_chunk", "_entity").orderBy("_at")
+    marked = chunked.withColumn("_before", F.lag("_state").over(inside)).join(entered, ["_chunk", "_entity"], "left")
+    before = F.coalesce(F.col("_before"), F.col("_entered"))
+    changed = before.isNull() | _differs(F.col("_state"), before, names)
     islands = (
-        marked.join(entered, chunk)
-        .withColumn("_change", changed.cast("long"))
+        marked.withColumn("_change", changed.cast("long"))
         .withColumn("_island", F.sum("_change").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .filter(F.col("_island") > 0)
-        .groupBy(*chunk, "_island")
+        .groupBy("_chunk", "_entity", "_island")
         .agg(F.min(F.struct("_at", *names)).alias("_first"), F.count(F.lit(1)).alias("_events"))
-        .select(*chunk, F.col("_first._at").alias("_valid_from"), *[F.col(f"_first.{n}").alias(n) for n in names], "_events")
+        .select("_chunk", "_entity", F.col("_first._at").alias("_valid_from"), *[F.col(f"_first.{n}").alias(n) for n in names], "_events")
+    )
+    # The start of the next island: inside the chunk, else the first change of a later chunk, which is the first row there
+    # that differs from the state that the chunk is entered with.
+    firsts = chunked.join(entered, ["_chunk", "_entity"]).filter(_differs(F.col("_state"), F.col("_entered"), names)).groupBy("_chunk", "_entity").agg(F.min("_at").alias("_change_at"))
+    nearest = Window.partitionBy("_entity").orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    later = (
+        spans.join(firsts, ["_chunk", "_entity"], "left")
+        .withColumn("_next_change", F.last("_change_at", ignorenulls=True).over(nearest))
+        .select(F.col("_earlier").alias("_chunk"), "_entity", "_next_change")
     )
-    # The start of the next island: inside the chunk, else the first change of a later chunk.
-    starts = islands.groupBy(*chunk).agg(F.min("_valid_from").alias("_first_change"))
-    later = starts.withColumn("_next_change", F.lead("_first_change").over(Window.partitionBy("_entity").orderBy("_chunk"))).drop("_first_change")
-    following = F.lead("_valid_from").over(Window.partitionBy(*chunk).orderBy("_valid_from"))
+    following = F.lead("_valid_from").over(Window.partitionBy("_chunk", "_entity").orderBy("_valid_from"))
     return (
         islands.withColumn("_following", following)
-        .join(later, chunk)
+        .join(F.broadcast(later), ["_chunk", "_entity"], "left")
         .select("_entity", "_valid_from", F.coalesce("_following", "_next_change").alias("_valid_to"), *[F.col(n).alias(g) for g, n in zip(given, names)], "_events")
     )
 
 
-def consent_versions(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def consent_versions(events: DataFrame, chunks: int | None = None) -> DataFrame:
     """Periods of consent_status and target_institution per policy. ``scope`` is not tracked."""
     attributes = {"consent_status": normalised("consent_status"), "target_institution": normalised("target_institution")}
-    return versions(latest_event_per_instant(events, "policy_id", "event_timestamp", "event_no", attributes), list(attributes), hot_rows)
+    return versions(latest_event_per_instant(events, "policy_id", "event_timestamp", "event_no", attributes), list(attributes), chunks)
 
 
-def snapshot_versions(snapshots: DataFrame, entity: str, taken_at: str, attributes: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def snapshot_versions(snapshots: DataFrame, entity: str, taken_at: str, attributes: Sequence[str], chunks: int | None = None) -> DataFrame:
     """Versions from periodic snapshots: ``taken_at`` is the instant of the snapshot. Attributes may be null."""
     names = _places(attributes)
     one = (
@@ -116,4 +115,4 @@ def snapshot_versions(snapshots: DataFrame, entity: str, taken_at: str, attribut
         .agg(F.max(F.struct(*names)).alias("_s"))
         .select("_entity", "_at", *[F.col(f"_s.{n}").alias(n) for n in names])
     )
-    return versions(one, attributes, hot_rows)
+    return versions(one, attributes, chunks)

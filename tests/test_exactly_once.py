@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from claimloom.operators import exactly_once as once
 from claimloom.operators.exactly_once import exactly_once, redundant_copies
 
 SCHEMA = "record_id long, claim_id string, event_type string, event_timestamp timestamp, _ingested_at timestamp"
@@ -71,6 +72,24 @@ def test_one_identifier_with_most_rows(spark):
     assert kept.filter("claim_id = 'hot'").first().record_id == 4998
 
 
+def test_groups_beyond_the_list_of_hot_ones_are_ranked_too(spark, monkeypatch):
+    monkeypatch.setattr(once, "HOT_GROUPS", 1)
+    df = spark.range(300).selectExpr("id record_id", "concat('c', id % 3) claim_id", "'o' event_type", "timestamp '2024-01-01' event_timestamp", "timestamp_seconds(id) _ingested_at")
+    assert {r.record_id for r in exactly_once(df, hot_rows=10).collect()} == {0, 1, 2} and redundant_copies(df, hot_rows=10).count() == 297
+
+
+def test_no_task_holds_a_hot_group(spark):
+    """The plan meets a hot group only behind the broadcast list and in its salted parts."""
+    df = spark.range(40_000).selectExpr("id record_id", "if(id % 3 = 0, 'hot', cast(id as string)) claim_id", "'o' event_type", "timestamp '2024-01-01' event_timestamp", "timestamp_seconds(id) _ingested_at")
+    parts = once.split_by_frequency(df, once.claim_message_key(), hot_rows=500)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [n for n in parts.redundant.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 13_333 and max(sizes) < 13_333 * 0.6
+
+
 CELL = st.tuples(st.sampled_from(["a", "A ", "b", "", None]), st.sampled_from(["o", None]), st.integers(0, 1), st.integers(0, 3))
 
 

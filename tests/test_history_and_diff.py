@@ -19,26 +19,40 @@ def minutes(rows):
     return sorted((r._entity, r.consent_status, at(r._valid_from), at(r._valid_to)) for r in rows)
 
 
-@pytest.mark.parametrize("hot", [1, 2, 100_000])
-def test_versions_of_late_repeated_and_equal_events(spark, hot):
+@pytest.mark.parametrize("chunks", [1, 2, 9, None])
+def test_versions_of_late_repeated_and_equal_events(spark, chunks):
     df = events(
         spark,
         (3, "p", "REVOKED", "a", 20), (1, "p", "GRANTED", "a", 0), (2, "p", " granted", "A ", 10), (1, "p", "GRANTED", "a", 0), (4, "p", "GRANTED", "a", 20),
         (5, "p", "GRANTED", "b", 30), (6, "p", "GRANTED", "b", 40), (7, "p", None, "b", 50), (8, "p", "REVOKED", None, 50), (9, "p", "REVOKED", "b", None),
         (10, None, "GRANTED", "a", 0), (11, "q", "GRANTED", "a", 5),
     )
-    got = minutes(history.consent_versions(df, hot).collect())
+    got = minutes(history.consent_versions(df, chunks).collect())
     # Of the two events at minute 20 the one with the larger number counts and changes nothing.
     assert got == [("p", "GRANTED", 0, 30), ("p", "GRANTED", 30, None), ("q", "GRANTED", 5, None)]
 
 
-def test_hot_entity_equals_the_plain_computation(spark):
-    df = spark.range(3000).selectExpr(
-        "id event_no", "if(id % 3 = 0, 'hot', concat('p', id % 50)) policy_id", "if(floor(id / 7) % 2 = 0, 'GRANTED', 'REVOKED') consent_status", "'a' target_institution",
-        "'' scope", "timestamp_seconds(1704067200 + (id * 7919) % 100003) event_timestamp",
+def steps(spark, same):
+    """A third of the rows belongs to one entity, which keeps its state for ``same`` events."""
+    return spark.range(3000).selectExpr(
+        "id event_no", "if(id % 3 = 0, 'hot', concat('p', id % 50)) policy_id", f"if(floor(id / {same}) % 2 = 0, 'GRANTED', 'REVOKED') consent_status", "'a' target_institution",
+        "'' scope", "timestamp_seconds(1704067200 + id * 61) event_timestamp",
     )
-    plain = {tuple(r) for r in history.consent_versions(df).drop("_events").collect()}
-    assert {tuple(r) for r in history.consent_versions(df, 40).drop("_events").collect()} == plain
+
+
+@pytest.mark.parametrize("same", [7, 400, 100_000])
+def test_any_number_of_chunks_gives_the_same_versions(spark, same):
+    df = steps(spark, same)
+    plain = {tuple(r) for r in history.consent_versions(df, 1).drop("_events").collect()}
+    for chunks in (2, 13, 60):
+        assert {tuple(r) for r in history.consent_versions(df, chunks).drop("_events").collect()} == plain
+
+
+def test_a_hot_entity_is_cut_into_even_chunks(spark):
+    attributes = {n: history.normalised(n) for n in ("consent_status", "target_institution")}
+    rows = history.latest_event_per_instant(steps(spark, 7), "policy_id", "event_timestamp", "event_no", attributes)
+    sizes = [r["count"] for r in history._in_chunks(rows, 20).groupBy("_chunk").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 2 * 3000 / 20
 
 
 def test_empty_and_null_attributes(spark):
