@@ -195,9 +195,12 @@ def alignments(reports: DataFrame, slack_us: int = 1_000_000) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _offsets(zone: ZoneInfo, hours) -> list[int]:
-    """Quarters of an hour that ``zone`` is ahead of UTC in each local hour. Days without a change are looked up once."""
-    epoch, quarter, day_of = datetime(1970, 1, 1, tzinfo=zone), timedelta(minutes=15), {}
+def _offsets(zone: ZoneInfo, hours):
+    """Quarters of an hour that ``zone`` is ahead of UTC in each of the distinct local ``hours``. Only the hours of days on
+    which the offset changes are looked up one by one."""
+    import numpy as np
+
+    epoch, quarter = datetime(1970, 1, 1, tzinfo=zone), timedelta(minutes=15)
 
     def at(hour: int) -> int:
         try:
@@ -205,13 +208,13 @@ def _offsets(zone: ZoneInfo, hours) -> list[int]:
         except OverflowError:
             return _NO_OFFSET
 
-    out = []
-    for hour in hours:
-        day = hour // 24
-        if day not in day_of:
-            first, last = at(day * 24), at(day * 24 + 24)
-            day_of[day] = first if first == last else None
-        out.append(at(hour) if day_of[day] is None else day_of[day])
+    days = hours // 24
+    borders = np.unique(np.concatenate([days, days + 1]))
+    ahead = np.array([at(d * 24) for d in borders.tolist()])
+    first = np.searchsorted(borders, days)
+    out = ahead[first]
+    for i in np.flatnonzero(out != ahead[first + 1]).tolist():
+        out[i] = at(int(hours[i]))
     return out
 
 
@@ -228,7 +231,7 @@ def _try_zones(zones: Sequence[str]):
         out = []
         for name in names:
             try:
-                ahead = np.array(_offsets(ZoneInfo(name), hours.tolist()))[place]
+                ahead = _offsets(ZoneInfo(name), hours)[place]
             except (ZoneInfoNotFoundError, ValueError):
                 continue
             broken = (aligned & (offset != ahead)) | (ahead < least)

@@ -86,23 +86,28 @@ def _kept_claims(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return once.exactly_once(claims)
 
 
+def _event_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times of all copies: counting them bounds the kept ones, and reads one column."""
+    return read_table(spark, d, "bronze_claims").select("event_timestamp")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return lateness.late_rows(_kept_claims(spark, d)).select("record_id", F.col("_fate").alias("fate"))
+    return lateness.late_rows(_kept_claims(spark, d), sizes=_event_times(spark, d)).select("record_id", F.col("_fate").alias("fate"))
 
 
 def p6_periods(spark: SparkSession, d: str) -> DataFrame:
-    totals = lateness.period_totals(_kept_claims(spark, d, "amount"))
+    totals = lateness.period_totals(_kept_claims(spark, d, "amount"), sizes=_event_times(spark, d))
     money = [F.col(c).cast("double").alias(c) for c in ("published_amount", "final_amount", "dropped_amount")]
     return totals.select(F.col("_period").alias("event_day"), "published_count", "correction_count", "final_count", "dropped_count", *money)
 
 
 def p6_publications(spark: SparkSession, d: str) -> DataFrame:
-    out = lateness.publications(_kept_claims(spark, d, "amount"))
+    out = lateness.publications(_kept_claims(spark, d, "amount"), sizes=_event_times(spark, d))
     return out.select(F.col("_period").alias("event_day"), "version", "published_us", "row_count", F.col("amount").cast("double").alias("amount"))
 
 
 def p6_ordered(spark: SparkSession, d: str) -> DataFrame:
-    return lateness.released_in_order(_kept_claims(spark, d)).withColumnRenamed("_period", "event_day")
+    return lateness.released_in_order(_kept_claims(spark, d), sizes=_event_times(spark, d)).withColumnRenamed("_period", "event_day")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

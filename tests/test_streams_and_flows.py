@@ -55,18 +55,6 @@ def test_offsets_are_reported(spark, tmp_path):
     assert seen.next == {0: 2}
 
 
-def test_periods_of_a_stream(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    frame = lambda *hours: spark.createDataFrame([(T0 + timedelta(hours=h), 1.0) for h in hours], "event_timestamp timestamp, amount double").coalesce(1)
-    query = None
-    for part in (frame(1, 2), frame(3, 200), frame(4), frame(201)):  # hour 4 comes after the watermark has passed its day
-        part.write.mode("append").parquet(folder)
-        stream = runners.period_stream(spark.readStream.schema(part.schema).parquet(folder))
-        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        query.awaitTermination()
-    assert [(r.period_start, r.row_count) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(T0, 3)]
-
-
 def test_publishing(spark, tmp_path):
     root = str(tmp_path)
     df = claims(spark, ("a", 0, 1), ("b", 0, float("nan")))
