@@ -2,7 +2,7 @@
 
 Each runner takes what is available, commits it batch by batch and stops; a second run starts where the first ended.
 Batches are kept for the time of their several writes. Appends are named after the batch, so a replayed batch replaces
-itself.
+itself. Tables are read through their commits, so a stream never sees files that no version lists.
 """
 
 from __future__ import annotations
@@ -43,16 +43,11 @@ def run_bronze(spark: SparkSession, stream: DataFrame, topic: str, store: TableS
     _run(stream, each, checkpoint)
 
 
-def table_stream(spark: SparkSession, store: TableStore, table: str) -> DataFrame:
-    """A table that is only appended to, as a stream of its data folders."""
-    schema = store.schema(table)
-    return spark.readStream.schema(schema).parquet(store.folder(table)).select(*schema.names)
-
-
 def run_silver(spark: SparkSession, store: TableStore, source: str, target: str, key: str, checkpoint: str, results: str = "monitoring.dq_results") -> None:
     """Newest row per key of each batch, checked and merged into ``target`` by key."""
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(commits: DataFrame, batch_id: int) -> None:
+        batch = store.added(source, commits)
         if batch.isEmpty():
             return
         rows = bronze.latest_per_key(batch, key, ["_ingested_at"]).withColumn("event_date", F.to_date("event_timestamp")).persist()
@@ -64,13 +59,14 @@ def run_silver(spark: SparkSession, store: TableStore, source: str, target: str,
         finally:
             rows.unpersist()
 
-    _run(table_stream(spark, store, source), each, checkpoint)
+    _run(store.commits(source), each, checkpoint)
 
 
 def run_scoring(spark: SparkSession, store: TableStore, source: str, target: str, checkpoint: str, model=None, results: str = "monitoring.dq_results") -> None:
     """Scores the change feed of a merged table. Rows that come again are merged again, which changes nothing."""
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(commits: DataFrame, batch_id: int) -> None:
+        batch = store.added(f"{source}_changes", commits)
         if batch.isEmpty():
             return
         newest = bronze.latest_per_key(batch, "claim_id", ["_ingested_at"])
@@ -82,7 +78,7 @@ def run_scoring(spark: SparkSession, store: TableStore, source: str, target: str
         finally:
             gold.unpersist()
 
-    _run(table_stream(spark, store, f"{source}_changes"), each, checkpoint)
+    _run(store.commits(f"{source}_changes"), each, checkpoint)
 
 
 _HOLDING = "stage int, at array<long>, tie array<long>, came array<long>, cents array<long>"

@@ -30,6 +30,57 @@ def test_upsert(spark, store):
     assert store.version("silver.claims") == 2 and store.vacuum("silver.claims") == 1 and store.read("silver.claims").count() == 4
 
 
+def rewritten(store, name, change):
+    parts = lambda: {p["path"] for p in store._state(name)["parts"]}
+    before = parts()
+    change()
+    return before - parts()
+
+
+def test_only_touched_partitions_are_rewritten(spark, store):
+    store.upsert("t", claims(spark, *[(f"c{i}", f"d {i % 5}", i) for i in range(50)]), "claim_id", "event_date")
+    gone = rewritten(store, "t", lambda: store.upsert("t", claims(spark, ("c6", "d 1", 99), ("new", "d 4", 1)), "claim_id", "event_date"))
+    assert [g.rpartition("=")[2] for g in gone] == ["d 1"] and store.read("t").count() == 51
+    assert {r.amount for r in store.read("t").filter("claim_id = 'c6'").collect()} == {99}
+    gone = rewritten(store, "t", lambda: store.replace_partition("t", claims(spark, ("x", "d 2", 7)), "event_date", "d 2"))
+    assert len(gone) == 1 and store.read("t").filter("event_date = 'd 2'").count() == 1
+    store.scd2_merge("h", events(spark, *[(f"p{i}", "G", 1) for i in range(60)]), "policy_id", "event_timestamp")
+    assert len(rewritten(store, "h", lambda: store.scd2_merge("h", events(spark, ("p7", "R", 2)), "policy_id", "event_timestamp"))) == 1
+    assert store.read("h").columns == ["policy_id", "consent_status", "event_timestamp", "is_current", "valid_from", "valid_to"] and store.read("h").count() == 61
+
+
+def test_no_writer_loses_the_work_of_another(spark, store, monkeypatch):
+    """Between reading a version and committing the next one, another writer commits."""
+    other, write, turns = TableStore(spark, store.files.root), TableStore._write, [1, 1]
+
+    def slow(self, name, *args):
+        parts = write(self, name, *args)
+        if self is store and turns:
+            turns.pop()
+            other.append(name, claims(spark, (f"o{len(turns)}", "d1", 1)), "event_date")
+        return parts
+
+    store.append("t", claims(spark, ("a", "d1", 1)), "event_date")
+    monkeypatch.setattr(TableStore, "_write", slow)
+    turns[:] = [1]
+    store.append("t", claims(spark, ("b", "d1", 2)), "event_date")
+    turns[:] = [1, 1]
+    store.upsert("t", claims(spark, ("a", "d1", 9)), "claim_id", "event_date")
+    assert {(r.claim_id, r.amount) for r in store.read("t").collect()} == {("a", 9), ("b", 2), ("o0", 1), ("o1", 1)}
+    assert {tuple(r) for r in store.read("t").select("claim_id").collect()} and store.read("t").count() == 5
+
+
+def test_a_replay_leaves_readers_alone_and_folders_are_joined(spark, store):
+    for i in range(6):
+        store.append("t", claims(spark, (f"a{i}", "d", i)), "event_date", batch_id=i)
+    reader = store.read("t")
+    store.append("t", claims(spark, ("a5", "d", 50)), batch_id=5)
+    assert reader.agg({"amount": "sum"}).first()[0] == 15 and store.read("t").agg({"amount": "sum"}).first()[0] == 60
+    assert store.compact("t", most=4) == 1 and store.compact("t", most=4) == 0
+    assert len(store._state("t")["parts"]) == 1 and store.read("t").count() == 6
+    assert store.vacuum("t", keep=2) == 1 and store.vacuum("t") == 6 and store.read("t").count() == 6
+
+
 def test_append_evolves_and_replays(spark, store):
     store.append("t", claims(spark, ("a", "d", 1)), "event_date", batch_id=0)
     store.append("t", claims(spark, ("b", "d", 2)).withColumn("more", F.lit("x")), batch_id=1)
