@@ -31,7 +31,7 @@ def shareable(consents: DataFrame, profiles: DataFrame, claims: DataFrame) -> Da
 
 def profile(policy_id: str) -> tuple[str, int, float]:
     """Name, age and risk drawn from a generator seeded with the id's SHA-256, modulo 2^32."""
-    draw = random.Random(int.from_bytes(hashlib.sha256(policy_id.encode()).digest()[-4:], "big"))
+    draw = random.Random(int(hashlib.sha256(policy_id.encode()).hexdigest(), 16) % 2**32)
     first, last = draw.choice(FIRST), draw.choice(LAST)
     return f"{first} {last}", draw.randint(*AGES), round(draw.uniform(0.0, 1.0), 4)
 

@@ -28,6 +28,23 @@ def compliance_column(compliant: Column, total: Column, yellow: float = 0.95, re
     return F.when(share.isNull(), UNKNOWN).when(share >= yellow, GREEN).when(share >= red, YELLOW).otherwise(RED)
 
 
+def freshness_column(latest: Column, as_of: datetime, most: timedelta = timedelta(minutes=30)) -> Column:
+    return F.when(latest.isNull(), UNKNOWN).when(F.unix_micros(F.lit(as_of)) - F.unix_micros(latest) < F.lit(most // timedelta(microseconds=1)), GREEN).otherwise(RED)
+
+
+def count_column(count: Column, yellow: int = 1, red: int = 10) -> Column:
+    return F.when(count >= red, RED).when(count >= yellow, YELLOW).otherwise(GREEN)
+
+
+def drift_column(detected: Column) -> Column:
+    """Over all rows of drift results."""
+    return F.when(F.count(detected) == 0, UNKNOWN).when(F.bool_or(detected), YELLOW).otherwise(GREEN)
+
+
+def target_column(within: Column) -> Column:
+    return F.when(within.isNull(), UNKNOWN).when(within, GREEN).otherwise(RED)
+
+
 def count_state(count: int, yellow: int = 1, red: int = 10) -> str:
     return RED if count >= red else YELLOW if count >= yellow else GREEN
 

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.operators.scoring import FEATURES, THRESHOLD, scored
+from claimloom.store import Files
 
 
 def training_features(claims: DataFrame) -> DataFrame:
@@ -55,35 +54,43 @@ def should_promote(challenger: float, champion: float | None) -> bool:
 
 
 class Registry:
-    """Model runs in a folder: one JSON list, replaced atomically, and one saved pipeline per run."""
+    """Model runs in a folder on any file system of the cluster: one numbered record and one saved pipeline per run."""
 
-    def __init__(self, root: str):
-        self.root = Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
+    def __init__(self, root: str, spark: SparkSession | None = None):
+        self.files = Files(spark or SparkSession.active(), root)
 
     def runs(self) -> list[dict]:
-        index = self.root / "runs.json"
-        return json.loads(index.read_text()) if index.exists() else []
+        """All runs in order; a better one became champion and superseded the last, others were rejected."""
+        runs: list[dict] = []
+        champion = None
+        for name in self.files.names("runs"):
+            if name.endswith(".json") and name[0] != "_":
+                run = json.loads(self.files.read("runs", name))
+                if should_promote(run["f1"], champion and champion["f1"]):
+                    if champion:
+                        champion["state"] = "superseded"
+                    run["state"], champion = "champion", run
+                else:
+                    run["state"] = "rejected"
+                runs.append(run)
+        return runs
 
     def champion(self) -> dict | None:
         return next((r for r in reversed(self.runs()) if r["state"] == "champion"), None)
 
     def record(self, model: PipelineModel, metrics: dict[str, float]) -> dict:
-        """Saves a run. A better one becomes champion and supersedes the last; others are rejected."""
-        old = self.champion()
-        run = {"id": uuid.uuid4().hex, **metrics, "state": "champion" if should_promote(metrics["f1"], old and old["f1"]) else "rejected"}
-        model.write().overwrite().save(str(self.root / run["id"]))
-        runs = [r | {"state": "superseded"} if run["state"] == "champion" and r["state"] == "champion" else r for r in self.runs()]
-        draft = self.root / f"runs.{run['id']}.tmp"
-        draft.write_text(json.dumps([*runs, run]))
-        os.replace(draft, self.root / "runs.json")
-        return run
+        """Saves a run and gives it with its state. Runs that are recorded at the same time get successive numbers."""
+        run = {"id": uuid.uuid4().hex, **metrics}
+        model.write().overwrite().save(self.files.at(run["id"]))
+        while not self.files.create(json.dumps(run), "runs", f"{len(self.runs()):06d}.json"):
+            pass
+        return next(r for r in self.runs() if r["id"] == run["id"])
 
     def load_champion(self) -> PipelineModel | None:
         """Any failure gives None: scoring goes on without shadow scores."""
         run = self.champion()
         try:
-            return PipelineModel.load(str(self.root / run["id"])) if run else None
+            return PipelineModel.load(self.files.at(run["id"])) if run else None
         except Exception:
             return None
 

@@ -51,6 +51,13 @@ def run_checks(df: DataFrame, table: str, checks: list[Check]) -> DataFrame:
     return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def allowed_by(df: DataFrame, table: str, column: str, values: DataFrame) -> DataFrame:
+    """The result of an allow-list that is itself a table (its column ``column``); null passes."""
+    failed = df.filter(F.col(column).isNotNull()).join(values.select(column).distinct(), column, "left_anti")
+    n = failed.agg(F.count(F.lit(1)).alias("failed_rows"))
+    return n.select(F.lit(f"allowed_values:{column}").alias("check_name"), F.lit(table).alias("table_name"), (F.col("failed_rows") == 0).alias("passed"), "failed_rows")
+
+
 def dq_summary(results: DataFrame, reconciliation: DataFrame) -> DataFrame:
     """One row: checks, failed checks, and discrepancies by type."""
     none = F.lit(0).cast("long")

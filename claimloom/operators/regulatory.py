@@ -58,15 +58,11 @@ def amount_mismatch(low: Column, high: Column, relative: float = 0.02, absolute:
     return (high - low) > F.greatest(low * relative, F.lit(absolute))
 
 
-def _active(silver: DataFrame) -> DataFrame:
-    return silver.filter(F.col("source_system").isNotNull()).agg(F.collect_set("source_system").alias("_active"))
-
-
 def reconciled(silver: DataFrame, active_sources: list[str] | None = None) -> DataFrame:
     """Discrepancies between the reports of each claim: amounts apart beyond tolerance, and active sources missing.
 
-    Sums, sets and extremes combine before the shuffle. The active sources are one row, which is known to be small, so
-    the planner broadcasts it by its own size check.
+    Sums, sets and extremes combine before the shuffle. The sources of a claim are among the active ones, so it lacks one
+    if it has fewer than there are; their number comes from a scalar subquery over one column, not from a join.
     """
     amount = F.col("amount").cast("double")
     per_claim = silver.groupBy("external_reference_id").agg(
@@ -77,14 +73,13 @@ def reconciled(silver: DataFrame, active_sources: list[str] | None = None) -> Da
         F.coalesce(F.median(amount), F.lit(0.0)).alias("resolved_amount"),
     )
     if active_sources is None:
-        active = _active(silver).withColumn("_one", F.lit(1))
-        per_claim = per_claim.withColumn("_one", F.lit(1)).join(active, "_one").drop("_one")
+        lacking = F.size("sources_reporting") < silver.agg(F.count_distinct("source_system")).scalar()
     else:
-        per_claim = per_claim.withColumn("_active", F.array(*[F.lit(s) for s in active_sources]))
+        lacking = F.size(F.array_except(F.array(*[F.lit(s) for s in active_sources]), "sources_reporting")) > 0
     kinds = F.array_compact(
         F.array(
             F.when((F.col("_n") > 0) & amount_mismatch(F.col("min_amount"), F.col("max_amount")), "amount_mismatch"),
-            F.when(F.size(F.array_except("_active", "sources_reporting")) > 0, "missing_in_source"),
+            F.when(lacking, "missing_in_source"),
         )
     )
     return per_claim.withColumn("discrepancy_type", F.explode(kinds)).select(

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.session import salted_join
+
 DAY = 86_400
 # Weights and threshold of the score.
 WEIGHTS = {"night_claim": 0.25, "high_frequency": 0.35, "amount_outlier": 0.40}
@@ -45,9 +47,11 @@ def with_recent_count(df: DataFrame, entity: str = "customer_id", at: str = "eve
 
 
 def with_group_statistics(df: DataFrame, group: str = "region", value: str = "amount") -> DataFrame:
-    """Adds ``__avg`` and ``__std`` (sample) of the row's group; null is a group."""
-    stats = df.groupBy(F.col(group).alias("__g")).agg(F.avg(F.col(value).cast("double")).alias("__avg"), F.stddev_samp(F.col(value).cast("double")).alias("__std"))
-    return df.join(stats, F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
+    """Adds ``__avg`` and ``__std`` (sample) of the row's group; null is a group. Few groups have nearly all rows, so where
+    their statistics are too many to be broadcast, each group is spread over several parts of the join."""
+    amount, named = F.col(value).cast("double"), F.struct(F.col(group).alias("g"))
+    stats = df.groupBy(named.alias("__g")).agg(F.avg(amount).alias("__avg"), F.stddev_samp(amount).alias("__std"))
+    return salted_join(df.withColumn("__g", named), stats, "__g", F.struct(*[F.col(f"`{c}`") for c in df.columns])).drop("__g")
 
 
 def amount_outlier(amount: Column) -> Column:
@@ -90,11 +94,16 @@ GOLD_COLUMNS = [
 
 
 def claims_gold(claims: DataFrame, scored_at: Column, model=None, limit: float = 5000.0) -> DataFrame:
-    """Claims with scores in the gold layout. ``model`` takes the feature columns and gives a shadow score that decides
-    nothing; without one it is null."""
+    """Claims with scores in the gold layout. ``model`` gives a shadow score that decides nothing: a trained pipeline, or a
+    function of the feature columns; without one the score is null."""
     out = scored(claims)
-    shadow = model(*[F.col(f) for f in FEATURES]) if model else F.lit(None)
-    out = out.withColumns({"model_fraud_score": shadow.cast("double"), "auto_approved": approved(limit), "_scored_at": scored_at})
+    if hasattr(model, "transform"):
+        from claimloom.operators.model import with_shadow_score
+
+        out = with_shadow_score(out, model)
+    else:
+        out = out.withColumn("model_fraud_score", (model(*[F.col(f) for f in FEATURES]) if model else F.lit(None)).cast("double"))
+    out = out.withColumns({"auto_approved": approved(limit), "_scored_at": scored_at})
     return out.withColumn("event_date", F.to_date("event_timestamp")).select(*[c for c in GOLD_COLUMNS if c in out.columns or c == "event_date"])
 
 

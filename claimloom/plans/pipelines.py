@@ -8,18 +8,18 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators import consent, model, monitoring, quality, regulatory, scoring
+from claimloom.operators import consent, governance, model, monitoring, quality, regulatory, scoring
 from claimloom.session import stored
 from claimloom.store import TableStore
 from claimloom.streaming import runners
 
 
-def claims_flow(spark: SparkSession, store: TableStore, stream: DataFrame, checkpoints: str, model=None, topic: str = "claim-opened") -> None:
-    """Topic to bronze, silver, scores and region aggregates."""
-    runners.run_bronze(spark, stream, topic, store, "bronze.claims", f"{checkpoints}/bronze")
+def claims_flow(spark: SparkSession, store: TableStore, stream: DataFrame, checkpoints: str, registry: model.Registry | None = None, topic: str = "claim-opened", group: str = "bronze") -> None:
+    """Topic to bronze, silver, scores and region aggregates. The champion of the registry gives shadow scores."""
+    runners.run_bronze(spark, stream, topic, store, "bronze.claims", f"{checkpoints}/bronze", on_offsets=runners.OffsetReporter(topic, group, store))
     if store.exists("bronze.claims"):
         runners.run_silver(spark, store, "bronze.claims", "silver.claims", "claim_id", f"{checkpoints}/silver")
-        runners.run_scoring(spark, store, "silver.claims", "gold.claims", f"{checkpoints}/gold", model)
+        runners.run_scoring(spark, store, "silver.claims", "gold.claims", f"{checkpoints}/gold", registry and registry.load_champion())
         region_flow(store)
 
 
@@ -35,13 +35,15 @@ def region_flow(store: TableStore, day: str | None = None) -> None:
         store.replace_partition("gold.claims_region_agg", rows, "event_date", day)
 
 
-def regulatory_flow(store: TableStore, raw: DataFrame, as_of: datetime) -> bool:
-    """Standardise, check, reconcile and export; tells whether an alert is due. Results replace those of the last run."""
+def regulatory_flow(store: TableStore, raw: DataFrame, as_of: datetime, sink: monitoring.AlertSink | None = None) -> bool:
+    """Standardise, check, reconcile and export; tells whether an alert is due, and the sink if so. Results replace those
+    of the last run. Regions must be ones on which several reports of a claim agree."""
     silver = regulatory.standardized(raw)
     store.overwrite("silver.regulatory_claims", silver)
     silver = store.read("silver.regulatory_claims")
+    regions = quality.allowed_by(silver, "silver.regulatory_claims", "region", regulatory.trusted_regions(silver))
     checks = [*[quality.not_null(c) for c in ("external_reference_id", "policy_id", "event_timestamp", "amount")], quality.allowed("cause_code", regulatory.VALID_CAUSES)]
-    results = quality.run_checks(silver, "silver.regulatory_claims", checks)
+    results = stored(quality.run_checks(silver, "silver.regulatory_claims", checks).unionByName(regions))
     quality.persist_results(store, "monitoring.dq_results", results, F.lit(as_of))
     store.overwrite("monitoring.reconciliation", regulatory.reconciled(silver).withColumn("detected_at", F.lit(as_of)))
     found = store.read("monitoring.reconciliation")
@@ -49,7 +51,11 @@ def regulatory_flow(store: TableStore, raw: DataFrame, as_of: datetime) -> bool:
     store.append("gold.dq_summary", quality.dq_summary(results, found).withColumn("_generated_at", F.lit(as_of)))
     n = quality.dq_summary(results, found).first()
     claims = store.read("gold.regulatory_claims").count()
-    return regulatory.alert_due(n["dq_checks_total"], n["dq_checks_failed"], n["amount_mismatch_count"] + n["missing_in_source_count"], claims)
+    found = n["amount_mismatch_count"] + n["missing_in_source_count"]
+    due = regulatory.alert_due(n["dq_checks_total"], n["dq_checks_failed"], found, claims)
+    if due and sink:
+        sink.send(f"{n['dq_checks_failed']} of {n['dq_checks_total']} checks failed, {found} discrepancies in {claims} claims")
+    return due
 
 
 def consent_flow(store: TableStore, events: DataFrame, as_of: datetime) -> None:
@@ -132,8 +138,6 @@ def review_flow(store: TableStore, as_of: datetime, sink: monitoring.AlertSink,
     return n
 
 
-def order_of(steps: dict[str, list[str]]) -> list[str]:
-    """Steps in an order in which each comes after those it depends on."""
-    from graphlib import TopologicalSorter
-
-    return list(TopologicalSorter(steps).static_order())
+def governance_flow(store: TableStore, spark: SparkSession, views: dict[str, str], groups: set[str], reader: str, admin: str) -> list[str]:
+    """Registers the secured view of each table that exists (table to view); gives the views. May be repeated."""
+    return [view for table, view in views.items() if governance.secured_view(store, spark, table, view, groups, reader, admin)]

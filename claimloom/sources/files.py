@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import shutil
 import tempfile
@@ -58,7 +59,10 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
 
 
 def mapped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The mapped columns that are there, renamed; others are left out."""
+    """The mapped columns that are there, renamed; others are left out. Mapped ones that are missing are warned about."""
+    missing = [old for old in columns if old not in df.columns]
+    if missing:
+        logging.getLogger("claimloom").warning("columns missing in the source: %s", ", ".join(missing))
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in columns.items() if old in df.columns])
 
 
@@ -155,8 +159,6 @@ LOADERS = {"susep": claim_events, "ans": policy_events}
 def replay(spark: SparkSession, sources: dict[str, dict], publish_to) -> int:
     """Loads each enabled source (``loader``, ``path``, ``topic``) and hands it to ``publish_to(df, topic)``. Unknown
     loaders are passed over with a warning; none at all raises."""
-    import logging
-
     done = 0
     for name, spec in sources.items():
         if not spec.get("enabled", True):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.scalar import without_nan
+from claimloom.session import stored
 
 TOPIC_SCHEMA = "key string, value string, timestamp timestamp, partition int, offset long"
 KEYS = ("claim_id", "policy_id", "customer_id", "external_reference_id")
@@ -66,13 +67,52 @@ def as_messages(events: DataFrame, partitions: int = 6) -> DataFrame:
     return clean.select(key.alias("key"), F.to_json(F.struct("*")).alias("value")).withColumn("partition", F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int"))
 
 
-def publish(events: DataFrame, root: str, topic: str, at=None, first_offset: int = 0) -> None:
-    """Appends the rows to the topic's folder. An empty input raises, as it hides a broken loader. Offsets count up
-    within a partition by place in the input."""
+def folder_sink(root: str, topic: str, at=None) -> Callable[[DataFrame], None]:
+    """Appends messages to the topic's folder. Offsets grow within a partition by place in the input, and go on behind
+    those that the topic has; one row, the largest of them, is read for that."""
+
+    def send(messages: DataFrame) -> None:
+        folder = ensure_topic(root, topic)
+        held = any(folder.glob("*.parquet"))
+        last = messages.sparkSession.read.schema(TOPIC_SCHEMA).parquet(str(folder)).agg(F.max("offset")).first()[0] if held else None
+        first = 0 if last is None else last + 1
+        timed = messages.withColumns({"timestamp": F.current_timestamp() if at is None else at, "offset": F.monotonically_increasing_id() + F.lit(first)})
+        timed.select("key", "value", "timestamp", "partition", "offset").write.mode("append").parquet(str(folder))
+
+    return send
+
+
+def broker_sink(topic: str, lookup: Callable[[str], str | None] = secret) -> Callable[[DataFrame], None]:
+    """Sends messages to the broker, which needs its connector on the class path. The broker places and numbers them."""
+    options = {k: v for k, v in broker_options(topic, lookup).items() if k.startswith("kafka.")}
+    return lambda messages: messages.select("key", "value").write.format("kafka").options(**options, topic=topic).save()
+
+
+def publish(events: DataFrame, root: str, topic: str, at=None) -> None:
+    """Sends the rows to the topic's folder. An empty input raises, as it hides a broken loader."""
     if events.isEmpty():
         raise ValueError("no events to publish")
-    messages = as_messages(events).withColumns({"timestamp": F.current_timestamp() if at is None else at, "offset": F.monotonically_increasing_id() + first_offset})
-    messages.select("key", "value", "timestamp", "partition", "offset").write.mode("append").parquet(str(ensure_topic(root, topic)))
+    folder_sink(root, topic, at)(as_messages(events))
+
+
+def publish_paced(events: DataFrame, send: Callable[[DataFrame], None], per_minute: int, most_seconds: float | None = None, loop: bool = False, clock=monotonic, wait=sleep) -> int:
+    """Sends about ``per_minute`` rows a minute through ``send``, over and over with ``loop``, until ``most_seconds`` have
+    passed; gives the number of parts sent. Rows are dealt to the minutes by a hash, so nothing is ordered or collected."""
+    rows = events.count()
+    if not rows:
+        raise ValueError("no events to publish")
+    minutes = -(-rows // per_minute)
+    dealt = stored(as_messages(events).withColumn("_minute", F.pmod(F.xxhash64("key", "value"), F.lit(minutes))))
+    began, sent = clock(), 0
+    while True:
+        for minute in range(minutes):
+            if most_seconds is not None and clock() - began >= most_seconds:
+                return sent
+            send(dealt.filter(F.col("_minute") == minute).drop("_minute"))
+            sent += 1
+            wait(60.0)
+        if not loop:
+            return sent
 
 
 def paced(events: Iterable[dict], per_minute: float, most_seconds: float | None = None, loop: bool = False, clock=monotonic, wait=sleep) -> Iterator[dict]:

@@ -7,6 +7,7 @@ itself. Tables are read through their commits, so a stream never sees files that
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
@@ -170,12 +171,20 @@ def k_slack_stream(events: DataFrame, event_time: str = "event_timestamp", arriv
 
 
 class OffsetReporter:
-    """Keeps the next offset of each partition of a topic, as consumers commit it."""
+    """Commits the next offset of each partition of a topic to a table, for those who watch how far consumers lag. It
+    never raises: a report that fails must not stop a stream."""
 
-    def __init__(self, topic: str, group: str):
-        self.topic, self.group = topic, group
+    def __init__(self, topic: str, group: str, store: TableStore | None = None, table: str = "monitoring.consumer_offsets"):
+        self.topic, self.group, self.store, self.table = topic, group, store, table
         self.next: dict[int, int] = {}
 
     def __call__(self, offsets: dict[int, int]) -> None:
         for partition, offset in offsets.items():
             self.next[partition] = max(self.next.get(partition, 0), offset + 1)
+        if self.store and offsets:
+            try:
+                rows = [(self.topic, self.group, p, self.next[p]) for p in offsets]
+                df = self.store.spark.createDataFrame(rows, "topic string, consumer_group string, partition int, next_offset long")
+                self.store.append(self.table, df.withColumn("_reported_at", F.current_timestamp()))
+            except Exception as e:
+                logging.getLogger("claimloom").warning("offsets not reported: %s", e)

@@ -4,8 +4,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.operators import model, scoring
-from claimloom.plans import pipelines
+from claimloom.operators import model, quality, regulatory, scoring
+from claimloom.plans import pipelines, schedule
 from claimloom.schemas import REGULATORY_RAW
 from claimloom.sources import files, topics
 from claimloom.store import TableStore
@@ -48,6 +48,40 @@ def test_claims_from_topic_to_gold_with_restart(spark, tmp_path):
     assert store.read("bronze.claims").filter("_ingested_date is null").count() == 0
 
 
+def test_the_champion_gives_shadow_scores(spark, tmp_path):
+    root, store, registry = str(tmp_path / "t"), TableStore(spark, str(tmp_path / "s")), model.Registry(str(tmp_path / "m"))
+    features = spark.range(100).selectExpr("concat('c', id) claim_id", "cast(id % 2 as double) night_claim", "0.3D high_frequency", "id / 100 amount_outlier", "cast(id > 80 as int) label")
+    registry.record(*model.train(features, trees=3))
+    put(spark, root, event("a", 10), event("b", 20))
+    pipelines.claims_flow(spark, store, topics.folder_stream(spark, root, "claim-opened"), str(tmp_path / "cp"), registry)
+    scores = [r.model_fraud_score for r in store.read("gold.claims").collect()]
+    assert len(scores) == 2 and all(0 <= s <= 1 for s in scores)
+    assert {(r.partition, r.next_offset) for r in store.read("monitoring.consumer_offsets").collect()} == {(0, 2)}
+    views = pipelines.governance_flow(store, spark, {"gold.claims": "gold_claims_secured", "no.table": "x"}, {"insurance-region-sp"}, "pii", "admin")
+    assert views == ["gold_claims_secured"] and {len(r.policy_id) for r in spark.table("gold_claims_secured").collect()} == {64}
+
+
+def test_steps_run_when_due_and_in_order(caplog):
+    ran, broken = [], set()
+
+    def step(name, **options):
+        def run():
+            ran.append(name)
+            if name in broken:
+                raise RuntimeError(name)
+
+        return schedule.Step(run, **options)
+
+    plan = schedule.Schedule({"sla": step("sla", after=("gold",)), "gold": step("gold", every=timedelta(minutes=10)), "drift": step("drift", every=timedelta(hours=6))})
+    assert plan.tick(T0) == {"gold": True, "sla": True, "drift": True} and ran.index("gold") < ran.index("sla")
+    assert plan.tick(T0 + timedelta(minutes=9)) == {}
+    broken.add("gold")
+    assert plan.tick(T0 + timedelta(minutes=10)) == {"gold": False, "sla": False}
+    with pytest.raises(ValueError):
+        schedule.order_of({"a": step("a", after=("b",))})
+    assert schedule.INTERVALS["silver"] == timedelta(minutes=5)
+
+
 def test_offsets_are_reported(spark, tmp_path):
     root, store, seen = str(tmp_path / "t"), TableStore(spark, str(tmp_path / "s")), runners.OffsetReporter("claim-opened", "g")
     put(spark, root, event("a", 1), event("b", 2))
@@ -70,6 +104,14 @@ def test_publishing(spark, tmp_path):
     assert topics.broker_options("t", lambda name: "x")["subscribe"] == "t"
     with pytest.raises(RuntimeError):
         topics.secret("CLAIMLOOM_NO_SUCH_SECRET")
+    topics.publish(df, root, "claim-opened", F.lit(T0))
+    offsets = [(r.partition, r.offset) for r in spark.read.parquet(f"{root}/claim-opened").collect()]
+    assert len(offsets) == len(set(offsets)) == 4
+    sent, waits = [], []
+    many = claims(spark, *[(f"c{i}", 0, i) for i in range(90)])
+    assert topics.publish_paced(many, lambda m: sent.append(m.count()), 30, wait=waits.append) == 3 and sum(sent) == 90 and waits == [60.0] * 3
+    ticks = iter(range(0, 10_000, 60))
+    assert topics.publish_paced(many, lambda m: None, 30, most_seconds=300, loop=True, clock=lambda: next(ticks), wait=waits.append) == 4
 
 
 def test_source_files(spark, tmp_path):
@@ -97,8 +139,16 @@ def test_simulated_feeds_reconcile(spark, tmp_path):
     feeds = [files.simulated_feed(base, s) for s in ("insurer_a", "insurer_b", "insurer_c")]
     raw = feeds[0].unionByName(feeds[1], allowMissingColumns=True).unionByName(feeds[2], allowMissingColumns=True).select(*REGULATORY_RAW.names)
     store = TableStore(spark, str(tmp_path))
+    sent = []
+    sink = type("S", (), {"send": lambda self, text: sent.append(text)})()
     for _ in range(2):
-        pipelines.regulatory_flow(store, raw, T0)
+        assert pipelines.regulatory_flow(store, raw, T0, sink)
+    assert len(sent) == 2 and "checks failed" in sent[0]
+    regions = store.read("monitoring.dq_results").filter("check_name = 'allowed_values:region'").collect()
+    trusted = {r.region for r in regulatory.trusted_regions(store.read("silver.regulatory_claims")).collect()}
+    assert [r.failed_rows for r in regions] == [store.read("silver.regulatory_claims").filter(~F.col("region").isin(*trusted)).count()] * 2
+    silver = spark.createDataFrame([("SP",), ("ZZ",), (None,), ("ZZ",)], "region string")
+    assert tuple(quality.allowed_by(silver, "t", "region", silver.limit(1)).first()) == ("allowed_values:region", "t", False, 2)
     silver = store.read("silver.regulatory_claims")
     assert 1100 < silver.count() < 1200 and silver.filter("amount is null").count() > 0 and silver.filter("cause_code = 99").count() > 0
     kinds = {r.discrepancy_type: r["count"] for r in store.read("monitoring.reconciliation").groupBy("discrepancy_type").count().collect()}
@@ -115,7 +165,6 @@ def test_consents(spark, tmp_path):
         pipelines.consent_flow(store, events, T0)
         history = store.read("silver.consent_current")
         assert history.filter("is_current").count() == 50 == history.select("policy_id").distinct().count()
-    assert pipelines.order_of({"b": ["a"], "c": ["b"], "a": []}) == ["a", "b", "c"]
 
 
 def test_training_and_watching(spark, tmp_path):
