@@ -669,11 +669,12 @@ def v14_model_drift(spark, d):
     return sc.run(spark, sc.drift_results()).select("feature_name", _num("baseline_mean"), _num("current_mean"), _num("drift_ratio"), "drift_detected", "window_hours")
 
 
-@query(f"SELECT 'kafka_to_bronze' AS metric_name, within_sla FROM ({ORACLES['latency_bronze']}) UNION ALL SELECT 'score_visible', within_sla FROM ({ORACLES['latency_gold']})")
+@query(f"SELECT 'kafka_to_bronze' AS metric_name, within_sla, sample_size, max_seconds, sla_seconds FROM ({ORACLES['latency_bronze']}) UNION ALL SELECT 'score_visible', within_sla, sample_size, max_seconds, sla_seconds FROM ({ORACLES['latency_gold']})")
 def v15_pipeline_latency(spark, d):
     rows = [monitoring.report(n, q(spark, d), F.lit(AS_OF)) for n, q in (("kafka_to_bronze", latency_bronze), ("score_visible", latency_gold))]
     _view(rows[0].unionByName(rows[1]), "latency_results")
-    return sc.run(spark, sc.latency_results()).select("metric_name", "within_sla")
+    details = [F.get_json_object("details_json", f"$.{n}").cast("long").alias(n) for n in ("sample_size", "max_seconds", "sla_seconds")]
+    return sc.run(spark, sc.latency_results()).select("metric_name", "within_sla", *details)
 
 
 def _usage_view(spark, d):

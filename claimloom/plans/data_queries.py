@@ -192,7 +192,19 @@ _P2 = f"""WITH cells AS (SELECT feed_id, file_no, record_id, field,
     JOIN came c ON c.feed_id = r.feed_id AND c.file_no = r.file_no AND c.field = new_field WHERE g.kind <> c.kind
   UNION ALL SELECT b.feed_id, b.file_no, 'retyped', b.field, b.field FROM heads a JOIN heads b ON a.feed_id = b.feed_id AND a.file_no = b.file_no - 1 AND a.field = b.field WHERE a.kind <> b.kind"""
 
+# A field is quoted as a whole or not at all; in quotes anything may stand, and a quote is written twice.
+_FIELD = '(?:"(?:[^"]|"")*"|[^";]*)'
+_P7 = f"""WITH t AS (SELECT line_id, regexp_replace(regexp_replace(raw_value, '^\ufeff', ''), '\r\\z', '') AS t FROM claims_landing),
+  q AS (SELECT *, regexp_full_match(t, '(?s){_FIELD}(?:;{_FIELD})*') AS sound, regexp_extract_all(t || ';', '(?s)({_FIELD});', 1) AS cells FROM t),
+  f AS (SELECT *, [CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END FOR x IN cells] AS f FROM q),
+  r AS (SELECT line_id, CASE WHEN t IS NULL THEN 'column_count' WHEN NOT sound THEN 'broken_quoting' WHEN len(f) <> 10 THEN 'column_count'
+      WHEN regexp_full_match(f[1], '(?s)\\s*') OR f[4] NOT IN ('claim-opened', 'claim-updated')
+        OR NOT regexp_full_match(f[5], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])') OR try_cast(substr(f[5], 1, 10) AS DATE) IS NULL
+        OR NOT regexp_full_match(f[6], '([0-9]+(\\.[0-9]{{1,2}})?)?') OR f[7] NOT IN ('', 'SP', 'RJ', 'MG', 'BA', 'RS', 'PR', 'SC', 'PE', 'CE', 'GO', 'DF', 'AM') THEN 'invalid_value' END AS _reason FROM f)
+  SELECT line_id, _reason FROM r WHERE _reason IS NOT NULL"""
+
 ORACLES = {
+    "p7_found": _P7,
     "p2_found": _P2,
     "p1_found": f"SELECT record_id FROM ({_RANKED}) WHERE copy_no > 1",
     "p1_kept": f"SELECT record_id, claim_id, event_type, region, amount::DOUBLE AS amount FROM ({_RANKED}) WHERE copy_no = 1",

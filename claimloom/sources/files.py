@@ -50,7 +50,8 @@ def fetch_csv(url: str, to: str, timeout: float = 60.0) -> str:
 def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str = "ISO-8859-1", sample_rows: int | None = None, seed: int = 42) -> DataFrame:
     """All columns as text. With ``sample_rows``, a larger file gives that many rows, the same on every run (a sampling
     option of the loaders: rows with the smallest seeded hashes)."""
-    if "://" not in path and not os.path.exists(path):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place):
         raise FileNotFoundError(path)
     df = spark.read.csv(path, sep=sep, encoding=encoding, header=True)
     if sample_rows is None:
