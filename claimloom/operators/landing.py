@@ -1,12 +1,15 @@
 """Delimited records that fail to parse: load the valid ones, give the reason for the others.
 
-A record is read at minimum cost, where an edit inserts or deletes a quote or a delimiter. Quotes come first: the
-fewest quote edits that make the record well-formed; then, on its fields, the fewest delimiter edits that give the
-fixed number of columns, preferring fields that suit the types of their columns. Records of cost zero with valid
-values load; otherwise the edits state the reason.
-
-Cost zero is decided by column expressions, so only suspicious records travel to Python, in Arrow batches. The dynamic
-programs run over tokens (quote, delimiter, run of other text) and are linear in the record.
+A record is read at minimum cost, where an edit inserts or deletes a quote or a delimiter. A quote edit outweighs any
+number of delimiter edits, which outweigh values that don't suit the types of their columns: with equal weights a surplus
+delimiter would rather be hidden in quotes than deleted, and the reason would be wrong. One dynamic program over tokens,
+quoting states and columns finds the reading of least cost. Records of cost zero with valid values load; otherwise the
+edits state the reason.
+
+Cost zero is decided by column expressions, so only suspicious records travel to Python, in Arrow batches. Tokens are
+quotes, delimiters and runs of other text, and the work is linear in the record. The states of the full program are
+cut by a bound: the cost of the reading with the fewest quote edits, which a smaller program finds first and which is
+itself the best one if it has the right number of columns.
 """
 
 from __future__ import annotations
@@ -168,6 +171,57 @@ def fields_of(text: str) -> list[str]:
     return [*fields, "".join(current)]
 
 
+_QUOTE = 1 << 40  # a quote edit, counted in delimiter edits
+
+
+def record_edits(text: str, columns: int = len(COLUMNS)) -> tuple[int, int, list[tuple[str, int]], str]:
+    """The reading of least cost: its quote edits, its delimiter edits, the quote edits with offsets, and the text with
+    sound quoting. Each delimiter outside quotes ends a column; those beyond the last column, and columns that are missing
+    at the end, cost an edit each."""
+    quotes, edits, mended = quote_edits(text)
+    last, apart = columns - 1, abs(len(fields_of(mended)) - columns)
+    if not quotes or not apart:
+        return quotes, apart, edits, mended
+    most = quotes * _QUOTE + apart
+    tokens = [(m.group(), m.start()) for m in _TOKEN.finditer(text)] + [("", len(text))]
+    # States are (quoting, column); each holds its cost and the trail of edits that lead to it.
+    held: dict[tuple[int, int], tuple[int, tuple | None]] = {(_START, 0): (0, None)}
+
+    def reach(states: dict, state: tuple[int, int], cost: int, trail) -> None:
+        if cost <= most and (state not in states or states[state][0] > cost):
+            states[state] = cost, trail
+
+    for token, at in tokens:
+        opened = dict(held)
+        for (s, j), (cost, trail) in held.items():
+            to = _step(s, '"')
+            if to is not None:
+                reach(opened, (to, j), cost + _QUOTE, ("insert quote", at, trail))
+        if not token:
+            held = opened
+            break
+        held = {}
+        for (s, j), (cost, trail) in opened.items():
+            to = _step(s, token)
+            if token == ";" and s != _QUOTED:
+                reach(held, (_START, min(j + 1, last)), cost + (j == last), trail)
+            elif to is not None:
+                reach(held, (to, j), cost, trail)
+            if token == '"':
+                reach(held, (s, j), cost + _QUOTE, ("delete quote", at, trail))
+    cost, trail = min(((c + last - j, t) for (s, j), (c, t) in held.items() if s != _QUOTED), key=lambda x: x[0])
+    found = []
+    while trail:
+        what, at, trail = trail
+        found.append((what, at))
+    found.reverse()
+    parts, done = [], 0
+    for what, at in found:
+        parts += [text[done:at], '"' if what == "insert quote" else ""]
+        done = at + (what == "delete quote")
+    return *divmod(cost, _QUOTE), found, "".join([*parts, text[done:]])
+
+
 def _plain_value(field: str) -> str:
     return field[1:-1].replace('""', '"') if field.startswith('"') else field
 
@@ -231,13 +285,12 @@ def diagnose(text: str | None) -> tuple[str | None, str]:
     """The reason why a record fails (None: it doesn't) and the edits of its cheapest reading."""
     if text is None:
         return COUNT, "no record"
-    cost, edits, _ = quote_edits(text)
-    if cost:
-        return BROKEN, "; ".join(f"{what} at {at}" for what, at in edits)
-    values = [_plain_value(f) for f in fields_of(text)]
+    quotes, _, quoting, mended = record_edits(text)
+    values = [_plain_value(f) for f in fields_of(mended)]
     cost, edits, wrong = delimiter_edits(values)
-    if cost:
-        return COUNT, "; ".join(f"{what} at field {at + 1}" for what, at in edits)
+    stated = [*[f"{what} at {at}" for what, at in quoting], *[f"{what} at field {at + 1}" for what, at in edits]]
+    if stated:
+        return BROKEN if quotes else COUNT, "; ".join(stated)
     if wrong:
         return INVALID, "; ".join(f"invalid {COLUMNS[c]}" for c in wrong)
     return None, ""

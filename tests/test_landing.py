@@ -146,6 +146,26 @@ def test_quote_edits_are_fewest(text):
     assert cost == level
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text('";a', max_size=6), st.integers(1, 3))
+def test_all_edits_are_fewest_together(text, columns):
+    """Of all readings with the fewest quote edits, none is nearer to the number of columns: all of them are tried."""
+    quotes, delimiters, edits, mended = landing.record_edits(text, columns)
+    seen = {text}
+    for _ in range(quotes):
+        assert not any(grammar(t) for t in seen)
+        seen = {t[:i] + '"' + t[i:] for t in seen for i in range(len(t) + 1)} | {t[:i] + t[i + 1 :] for t in seen for i in range(len(t)) if t[i] == '"'}
+    assert delimiters == min(abs(grammar(t) - columns) for t in seen if grammar(t))
+    assert len(edits) == quotes and mended in seen and abs(grammar(mended) - columns) == delimiters
+
+
+def test_the_reading_with_the_right_columns_wins(spark):
+    """One quote too many: deleting it leaves ten columns, closing it at the end of the record would hide some."""
+    text = GOOD.replace(";SP;", ';"SP;')
+    reason, edits = landing.diagnose(text)
+    assert reason == "broken_quoting" and edits in (f"delete quote at {text.index(chr(34))}", f"insert quote at {text.index(';', text.index('SP'))}")
+
+
 def test_columns_may_have_any_names(spark):
     df = frame(spark, [GOOD, "x"]).selectExpr("line_id as id", "raw_value", "1 as _fields", "2 as _ok", "3 as _cells", "4 as _text")
     assert [r.id for r in landing.rejected_rows(df, keep=("id",)).collect()] == [1]
