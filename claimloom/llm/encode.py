@@ -3,8 +3,8 @@
 Texts are taken in blocks. A block numbers its distinct pre-tokens and keeps every text as the sequence of those
 numbers, which states the pre-token at each position. The distinct pre-tokens of all blocks are shuffled by word, each
 word of the corpus is encoded once, the ids are joined back to the blocks, and each block puts its texts together by
-position. What is shuffled is one row per block and distinct word, and the packed number sequences; a frequent word
-costs one row per block. Blocks have a bounded number of pre-tokens and of texts, so the work of one task is bounded too.
+position. What is shuffled is one row per block and distinct word, and the packed number sequences. Words of very many
+blocks come back from a broadcast list of bounded length, so that they don't meet in one task. Blocks have a bounded number of pre-tokens and of texts, so the work of one task is bounded too.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 #: Pre-tokens and texts of one block; a single longer text makes a block of its own.
 BLOCK_WORDS, BLOCK_TEXTS = 1_000_000, 50_000
+#: Blocks of a word beyond which it may be on the broadcast list, and the most words that the list holds. Of B blocks, a
+#: word that isn't on it is in no more than ``HOT_BLOCKS`` or, with W words per block, B x W / ``HOT_WORDS`` of them.
+HOT_BLOCKS, HOT_WORDS = 10_000, 20_000
 
 # Fixed value: how the byte-level vocabulary splits text before merging.
 SPLIT = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -137,8 +140,13 @@ def encoded(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     id_type = texts.schema["_id"].dataType.simpleString()
     parts = stored(texts.mapInArrow(_into_blocks, _PARTS.format(id=id_type)))
     words = parts.filter(F.col("_word").isNotNull()).select("_block", "_number", "_word")
-    known = words.select("_word").distinct().mapInArrow(_encoder(vocabulary), "_word string, _ids array<int>")
-    numbered = words.join(known, "_word").select(F.col("_block").alias("_of_block"), "_number", "_ids")
+    coded = "_word string, _ids array<int>"
+    counted = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_blocks"))
+    known = counted.select("_word").mapInArrow(_encoder(vocabulary), coded)
+    often = counted.filter(F.col("_blocks") > HOT_BLOCKS).orderBy(F.col("_blocks").desc(), "_word").limit(HOT_WORDS)
+    tried = words.join(F.broadcast(often.select("_word").mapInArrow(_encoder(vocabulary), coded)), "_word", "left")
+    numbered = tried.filter(F.col("_ids").isNotNull()).unionByName(tried.filter(F.col("_ids").isNull()).drop("_ids").join(known, "_word"))
+    numbered = numbered.select(F.col("_block").alias("_of_block"), "_number", "_ids")
     kept = parts.filter(F.col("_packed").isNotNull()).select("_block", "_id", "_packed")
     # A block without any word has texts only; a full outer cogroup keeps it.
     together = kept.groupBy("_block").cogroup(numbered.groupBy("_of_block")).applyInArrow(_put_together, f"_id {id_type}, ids array<int>")

@@ -38,9 +38,11 @@ def documents(spark, texts, start=0):
 # --- encoding
 
 
-@pytest.mark.parametrize("block", [1, 50, 1_000_000])
-def test_ids_equal_the_tokenizer(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(1, 10_000), (1, 1), (50, 2), (1_000_000, 10_000)])
+def test_ids_equal_the_tokenizer(spark, monkeypatch, block, hot):
     monkeypatch.setattr(encode, "BLOCK_WORDS", block)
+    monkeypatch.setattr(encode, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(encode, "HOT_WORDS", 3)
     df = documents(spark, TEXTS).withColumn("_block", F.lit(1)).withColumn("ids", F.lit("clash")).repartition(3)
     got = {r.doc_id: list(r.ids) for r in encode.encoded(df).collect()}
     assert got == dict(enumerate(direct(TEXTS)))
@@ -55,6 +57,14 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert [list(r.ids) for r in encode.encoded(documents(spark, ["", None])).collect()] == [[], []]
 
 
+def test_blocks_of_empty_texts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(encode, "BLOCK_TEXTS", 7)
+    df = documents(spark, [None, ""] * 50).coalesce(1)
+    assert {tuple(r.ids) for r in encode.encoded(df).collect()} == {()} and encode.encoded(df).count() == 100
+    parts = df.mapInArrow(encode._into_blocks, encode._PARTS.format(id="long"))
+    assert max(r["count"] for r in parts.groupBy("_block").count().collect()) == 7
+
+
 def test_round_trip(spark):
     back = {r.doc_id: r.text for r in encode.decoded(encode.encoded(documents(spark, TEXTS))).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
