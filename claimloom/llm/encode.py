@@ -82,17 +82,20 @@ class _Block:
         )
 
 
-def _into_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, k, block = TaskContext.get().partitionId(), 0, None
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            block = block or _Block((task << 32) + k, batch.schema.field(0).type)
-            block.add(key, text)
-            if block.size >= BLOCK_WORDS or len(block.ids) >= BLOCK_TEXTS:
-                yield block.rows()
-                block, k = None, k + 1
-    if block:
-        yield block.rows()
+def _into_blocks(most_words: int, most_texts: int):
+    def into(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k, block = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                block = block or _Block((task << 32) + k, batch.schema.field(0).type)
+                block.add(key, text)
+                if block.size >= most_words or len(block.ids) >= most_texts:
+                    yield block.rows()
+                    block, k = None, k + 1
+        if block:
+            yield block.rows()
+
+    return into
 
 
 def _encoder(path: str):
@@ -138,7 +141,7 @@ def encoded(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     texts = documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     id_type = texts.schema["_id"].dataType.simpleString()
-    parts = stored(texts.mapInArrow(_into_blocks, _PARTS.format(id=id_type)))
+    parts = stored(texts.mapInArrow(_into_blocks(BLOCK_WORDS, BLOCK_TEXTS), _PARTS.format(id=id_type)))
     words = parts.filter(F.col("_word").isNotNull()).select("_block", "_number", "_word")
     coded = "_word string, _ids array<int>"
     counted = words.groupBy("_word").agg(F.count(F.lit(1)).alias("_blocks"))

@@ -61,7 +61,7 @@ def test_blocks_of_empty_texts_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(encode, "BLOCK_TEXTS", 7)
     df = documents(spark, [None, ""] * 50).coalesce(1)
     assert {tuple(r.ids) for r in encode.encoded(df).collect()} == {()} and encode.encoded(df).count() == 100
-    parts = df.mapInArrow(encode._into_blocks, encode._PARTS.format(id="long"))
+    parts = df.mapInArrow(encode._into_blocks(1_000_000, 7), encode._PARTS.format(id="long"))
     assert max(r["count"] for r in parts.groupBy("_block").count().collect()) == 7
 
 
