@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.session import stored
+from claimloom.session import salted_join, stored
 
 # One bit per type of a value.
 TEXT, INTEGER, DECIMAL, BOOLEAN, OBJECT, ARRAY = 1, 2, 4, 8, 16, 32
@@ -199,36 +199,33 @@ def _steps(records: DataFrame) -> DataFrame:
 def _renames(records: DataFrame, steps: DataFrame) -> DataFrame:
     """``feed_id``, ``file_no``, ``old_field``, ``new_field`` of fields whose values agree in all shared records.
 
-    Each record is the older side of one pair of files and the newer side of another. The copies of a record in one
-    file are first reduced to one value per field (the smallest), so a record sent any number of times stays small.
+    Each record is the older side of one pair of files and the newer side of another. Of the copies of a record in one
+    file the least one counts (cell by cell), so a record sent any number of times stays small.
     """
     at = ["feed_id", "file_no"]
+    place = F.struct(*at).alias("_place")
     candidates = (
         steps.groupBy(*at)
         .agg(F.collect_list(F.when(F.col("now") == -1, F.col("field"))).alias("gone"), F.collect_list(F.when(F.col("was") == -1, F.col("field"))).alias("came"))
         .filter((F.size("gone") > 0) & (F.size("came") > 0))
+        .select(place, "gone", "came")
     )
-    sides = records.select("feed_id", "ref", "_cells", F.explode(F.array(*[F.struct((F.col("file_no") + i).alias("file_no"), F.lit(bool(i)).alias("older")) for i in (0, 1)])).alias("s"))
-    sides = sides.filter(F.col("ref").isNotNull()).select("feed_id", "s.file_no", "s.older", "ref", "_cells").join(candidates, at)
+    known = records.filter(F.col("ref").isNotNull() & F.col("feed_id").isNotNull() & F.col("file_no").isNotNull())
+    sides = known.select("feed_id", "ref", "_cells", F.explode(F.array(*[F.struct((F.col("file_no") + i).alias("file_no"), F.lit(bool(i)).alias("older")) for i in (0, 1)])).alias("s"))
+    # A file may hold most of the records.
+    sides = salted_join(sides.select("feed_id", "s.file_no", "s.older", "ref", "_cells").withColumn("_place", place), candidates, "_place", F.col("ref")).filter(F.col("gone").isNotNull())
     wanted = F.when(F.col("older"), F.col("gone")).otherwise(F.col("came"))
-    present = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")))
     cells = F.transform(
         F.filter("_cells", lambda c: c["value"].isNotNull() & F.array_contains(wanted, c["field"])),
         lambda c: F.struct(c["field"].alias("field"), c["value"].alias("value")),
     )
-    values = (
-        sides.select(*at, "ref", "older", F.explode(F.concat(present, cells)).alias("c"))
-        .groupBy(*at, "ref", "older", F.col("c.field").alias("field"))
-        .agg(F.min("c.value").alias("value"))
-    )
-    compared = values.groupBy(*at, "ref").agg(F.collect_list(F.struct("older", "field", "value")).alias("all"), F.bool_or("older").alias("a"), F.bool_or(~F.col("older")).alias("b"))
-    old = F.filter("all", lambda c: c["older"] & c["field"].isNotNull())
-    new = F.filter("all", lambda c: ~c["older"] & c["field"].isNotNull())
-    none = F.lit(None).cast("string")
+    least = lambda side, name: F.min(F.when(side, F.col("cells"))).alias(name)
+    compared = sides.select(*at, "ref", "older", cells.alias("cells")).groupBy(*at, "ref").agg(least(F.col("older"), "old"), least(~F.col("older"), "new"))
+    old, new, none = F.col("old"), F.col("new"), F.lit(None).cast("string")
     pair = lambda o, n: F.struct(o.alias("old_field"), n.alias("new_field"))
     met = F.flatten(F.transform(old, lambda o: F.transform(F.filter(new, lambda n: n["value"] == o["value"]), lambda n: pair(o["field"], n["field"]))))
     counted = (
-        compared.filter("a and b")
+        compared.filter("old is not null and new is not null")
         .select(*at, F.explode(F.concat(met, F.transform(old, lambda o: pair(o["field"], none)), F.transform(new, lambda n: pair(none, n["field"])))).alias("p"))
         .groupBy(*at, "p.old_field", "p.new_field")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -361,8 +358,9 @@ def consistent_table(df: DataFrame, record_key: str = "external_reference_id", p
     records = parsed_records(df, payload, identity)
     names = field_names(records, record_key)
     columns = union_schema(names)
-    chains = names.groupBy("feed_id", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("_names"))
-    named = records.join(chains, ["feed_id", "file_no"], "left").withColumn(
+    chains = names.groupBy(F.struct("feed_id", "file_no").alias("_place")).agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("_names"))
+    # A file may hold most of the records.
+    named = salted_join(records.withColumn("_place", F.struct("feed_id", "file_no")), chains, "_place", F.struct(*keep)).withColumn(
         "_values", F.map_from_entries(F.transform("_cells", lambda c: F.struct(F.element_at("_names", c["field"]), c["value"])))
     )
     used = {c.lower() for c in identity}
