@@ -211,14 +211,15 @@ def _renames(records: DataFrame, steps: DataFrame) -> DataFrame:
         .select(place, "gone", "came")
     )
     known = records.filter(F.col("ref").isNotNull() & F.col("feed_id").isNotNull() & F.col("file_no").isNotNull())
-    sides = known.select("feed_id", "ref", "_cells", F.explode(F.array(*[F.struct((F.col("file_no") + i).alias("file_no"), F.lit(bool(i)).alias("older")) for i in (0, 1)])).alias("s"))
+    # Names of fields that come or go anywhere, where they are no more than a schema may have: no other cell is shuffled.
+    moving = [r["field"] for r in steps.filter("was = -1 or now = -1").select("field").distinct().limit(MAX_COLUMNS + 1).collect()]
+    moves = lambda name: name.isin(*moving) if len(moving) <= MAX_COLUMNS else F.lit(True)
+    slim = F.transform(F.filter("_cells", lambda c: c["value"].isNotNull() & moves(c["field"])), lambda c: F.struct(c["field"].alias("field"), c["value"].alias("value")))
+    sides = known.select("feed_id", "ref", F.explode(F.array(slim)).alias("_cells"), "file_no").select("feed_id", "ref", "_cells", F.explode(F.array(*[F.struct((F.col("file_no") + i).alias("file_no"), F.lit(bool(i)).alias("older")) for i in (0, 1)])).alias("s"))
     # A file may hold most of the records.
     sides = salted_join(sides.select("feed_id", "s.file_no", "s.older", "ref", "_cells").withColumn("_place", place), candidates, "_place", F.col("ref")).filter(F.col("gone").isNotNull())
     wanted = F.when(F.col("older"), F.col("gone")).otherwise(F.col("came"))
-    cells = F.transform(
-        F.filter("_cells", lambda c: c["value"].isNotNull() & F.array_contains(wanted, c["field"])),
-        lambda c: F.struct(c["field"].alias("field"), c["value"].alias("value")),
-    )
+    cells = F.filter("_cells", lambda c: F.array_contains(wanted, c["field"]))
     least = lambda side, name: F.min(F.when(side, F.col("cells"))).alias(name)
     compared = sides.select(*at, "ref", "older", cells.alias("cells")).groupBy(*at, "ref").agg(least(F.col("older"), "old"), least(~F.col("older"), "new"))
     old, new, none = F.col("old"), F.col("new"), F.lit(None).cast("string")
