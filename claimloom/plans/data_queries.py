@@ -167,7 +167,7 @@ _CELLS = f"""SELECT feed_id, file_no, record_id, unnest(regexp_extract_all(paylo
 _P2 = f"""WITH cells AS (SELECT feed_id, file_no, record_id, field,
       CASE WHEN raw = 'null' THEN NULL WHEN raw[1] = '"' THEN 'text' WHEN raw[1] = '{{' THEN 'object' WHEN raw[1] = '[' THEN 'array' WHEN raw IN ('true', 'false') THEN 'boolean'
         WHEN contains(raw, '.') THEN 'decimal' ELSE 'integer' END AS kind,
-      CASE WHEN raw = 'null' THEN NULL WHEN raw[1] = '"' THEN json_extract_string(raw, '$') ELSE raw END AS v FROM ({_CELLS})),
+      CASE WHEN raw = 'null' THEN NULL WHEN raw[1] = '"' THEN json_extract_string(raw, '$') WHEN raw[1] IN ('{{', '[') THEN json(raw)::VARCHAR ELSE raw END AS v FROM ({_CELLS})),
   kinds AS (SELECT feed_id, file_no, field, list_sort(list_distinct(list(kind) FILTER (kind IS NOT NULL))) AS k FROM cells GROUP BY ALL),
   heads AS (SELECT feed_id, file_no, field, CASE WHEN coalesce(len(k), 0) = 0 THEN NULL WHEN len(k) = 1 THEN k[1] WHEN k = ['decimal', 'integer'] THEN 'decimal' ELSE 'text' END AS kind FROM kinds),
   files AS (SELECT DISTINCT feed_id, file_no FROM regulatory_feed_records),
@@ -192,6 +192,43 @@ _P2 = f"""WITH cells AS (SELECT feed_id, file_no, record_id, field,
     JOIN came c ON c.feed_id = r.feed_id AND c.file_no = r.file_no AND c.field = new_field WHERE g.kind <> c.kind
   UNION ALL SELECT b.feed_id, b.file_no, 'retyped', b.field, b.field FROM heads a JOIN heads b ON a.feed_id = b.feed_id AND a.file_no = b.file_no - 1 AND a.field = b.field WHERE a.kind <> b.kind"""
 
+# Times of loss: the parts of each notation by its own pattern, then civil time to instant by the offsets around it.
+_CLOCK = "([0-9]{1,2})[:.H]([0-9]{2})(?:[:.]([0-9]{2})(?:[.,]([0-9]{1,9}))?)?(?: *([AP])[.]?M[.]?)?(?: *(Z|[A-Z]{2,5}|(?:UTC|GMT)?[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{2}))?"
+_NOTATIONS = {
+    "ymd": f"^([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}})(?:[T ]+{_CLOCK})?$",
+    "num": f"^([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{4}}|[0-9]{{2}})(?:[T ,]+{_CLOCK})?$",
+    "dmy": f"^(?:[\\p{{L}}]{{2,9}}[.]?,? +)?([0-9]{{1,2}}) +(?:DE +)?([\\p{{L}}]{{3,9}})[.]? +(?:DE +)?([0-9]{{4}})(?:[ ,]+{_CLOCK})?$",
+    "mdy": f"^(?:[\\p{{L}}]{{2,9}}[.]?,? +)?([\\p{{L}}]{{3,9}})[.]? +([0-9]{{1,2}}),? +([0-9]{{4}})(?:[ ,]+{_CLOCK})?$",
+    "dig": "^([0-9]{4})([0-9]{2})([0-9]{2})(?:([0-9]{2})([0-9]{2})([0-9]{2}))?()()()$",
+}
+_GROUPS = "['a', 'b', 'c', 'h', 'i', 's', 'f', 'p', 'z']"
+_PLACES = {"ymd": "abc", "dig": "abc", "dmy": "cba", "mdy": "cab", "num": "cba"}  # year, month, day
+_PART_SQL = {k: f"CASE k {' '.join(f'WHEN {chr(39)}{n}{chr(39)} THEN {n}.{k}' for n in _NOTATIONS)} END" for k in "abchisfpz"}
+_YMD_SQL = [f"CASE {' '.join(f'WHEN k = {chr(39)}{n}{chr(39)} THEN {n}.{p[i]}' for n, p in _PLACES.items())} END" for i in range(3)]
+_MONTHS_SQL = "CASE lower(mo[1:4]) WHEN 'juin' THEN 6 WHEN 'juil' THEN 7 ELSE MAP {" + ", ".join(f"'{k}': {v}" for k, v in timestamps.MONTHS.items()) + "}[lower(mo[1:3])] END"
+_ZONES_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in timestamps.ABBREVIATIONS.items()) + "}"
+_AHEAD = lambda at: f"(epoch(timezone(local_zone, to_timestamp({at})))::BIGINT - {at})"
+_P3 = f"""WITH r AS (SELECT record_id, local_zone, numeric_date_order AS o, CASE date_field WHEN 'data_ocorrencia' THEN data_ocorrencia WHEN 'EVENT_DATE' THEN EVENT_DATE ELSE occurrenceDate END AS stated
+    FROM regulatory_claims_raw x JOIN regulatory_sources y ON lower(trim(x.source_system)) = lower(trim(y.source_system))),
+  v AS (SELECT *, upper(trim(regexp_replace(stated, '[\\s\u00a0\u202f]+', ' ', 'g'))) AS v FROM r WHERE stated IS NOT NULL),
+  m AS (SELECT *, {", ".join(f"regexp_extract(v, '{p}', {_GROUPS}) AS {n}" for n, p in _NOTATIONS.items())},
+    CASE WHEN regexp_full_match(v, '[0-9]{{8}}|[0-9]{{14}}') THEN 'dig' WHEN regexp_full_match(v, '[0-9]+') THEN 'count' {" ".join(f"WHEN regexp_matches(v, '{_NOTATIONS[n]}') THEN '{n}'" for n in ("ymd", "num", "dmy", "mdy"))} END AS k FROM v),
+  p AS (SELECT record_id, local_zone, v, k, {_YMD_SQL[0]} AS y, CASE WHEN k = 'num' AND upper(trim(o)) = 'MDY' THEN num.a ELSE {_YMD_SQL[1]} END AS mo, CASE WHEN k = 'num' AND upper(trim(o)) = 'MDY' THEN num.b ELSE {_YMD_SQL[2]} END AS d,
+    {", ".join(f"nullif({_PART_SQL[c]}, '') AS {c}" for c in "hisfpz")} FROM m),
+  n AS (SELECT *, (CASE WHEN len(y) = 2 THEN '20' || y ELSE y END)::INT AS yy, CASE WHEN regexp_full_match(mo, '[0-9]+') THEN mo::INT ELSE {_MONTHS_SQL} END AS mm, d::INT AS dd,
+    CASE WHEN p IS NULL THEN coalesce(h::INT, 0) WHEN h::INT BETWEEN 1 AND 12 THEN h::INT % 12 + CASE p WHEN 'P' THEN 12 ELSE 0 END ELSE 99 END AS hh, coalesce(i::INT, 0) AS mi, coalesce(s::INT, 0) AS ss, coalesce(rpad(f, 6, '0')[1:6]::INT, 0) AS us,
+    regexp_replace(z, '^(UTC|GMT)([+-])', '\\2') AS zz FROM p WHERE k <> 'count'),
+  c AS (SELECT *, epoch(try_cast(printf('%04d-%02d-%02d', yy, mm, dd) AS DATE)::TIMESTAMP)::BIGINT + hh * 3600 + mi * 60 + ss AS u,
+    CASE WHEN zz IS NULL THEN NULL WHEN regexp_full_match(zz, '[+-](0[0-9]|1[0-8]):?[0-5][0-9]') THEN zz[1:3] || ':' || zz[-2:] WHEN regexp_full_match(zz, '[+-](0[0-9]|1[0-8])') THEN zz || ':00' ELSE {_ZONES_SQL}[zz] END AS off
+    FROM n WHERE hh <= 23 AND mi <= 59 AND ss <= 59),
+  w AS (SELECT *, {_AHEAD("(u - 86400)")} AS before, {_AHEAD("(u + 86400)")} AS after FROM c WHERE u IS NOT NULL),
+  e AS (SELECT record_id, us, CASE WHEN off IS NOT NULL THEN u - (off[2:3]::INT * 3600 + off[5:6]::INT * 60) * CASE off[1] WHEN '-' THEN -1 ELSE 1 END
+      WHEN {_AHEAD("(u - before)")} = before THEN u - before WHEN {_AHEAD("(u - after)")} = after THEN u - after ELSE u - before END AS t FROM w WHERE z IS NULL OR off IS NOT NULL)
+  SELECT record_id, t * 1000000 + us AS occurred_us FROM e
+  UNION ALL SELECT record_id, CASE len(v) WHEN 10 THEN v::BIGINT * 1000000 WHEN 13 THEN v::BIGINT * 1000 ELSE v::BIGINT END FROM p WHERE k = 'count' AND len(v) IN (10, 13, 16)
+  UNION ALL SELECT record_id, floor(v::DECIMAL(38, 6) * 1000)::BIGINT FROM (SELECT record_id, printf('%.6f', try_cast(v AS DOUBLE)) AS v FROM p WHERE k IS NULL AND regexp_full_match(v, '[0-9](\\.[0-9]+)?E\\+?[0-9]{{1,2}}'))
+  UNION ALL SELECT record_id, regexp_extract(v, '^/DATE\\((-?[0-9]{{1,16}})([+-][0-9]{{4}})?\\)/$', 1)::BIGINT * 1000 FROM p WHERE k IS NULL AND regexp_matches(v, '^/DATE\\(-?[0-9]{{1,16}}([+-][0-9]{{4}})?\\)/$')"""
+
 # A field is quoted as a whole or not at all; in quotes anything may stand, and a quote is written twice.
 _FIELD = '(?:"(?:[^"]|"")*"|[^";]*)'
 _P7 = f"""WITH t AS (SELECT line_id, regexp_replace(regexp_replace(raw_value, '^\ufeff', ''), '\r\\z', '') AS t FROM claims_landing),
@@ -204,6 +241,7 @@ _P7 = f"""WITH t AS (SELECT line_id, regexp_replace(regexp_replace(raw_value, '^
   SELECT line_id, _reason FROM r WHERE _reason IS NOT NULL"""
 
 ORACLES = {
+    "p3_found": _P3,
     "p7_found": _P7,
     "p2_found": _P2,
     "p1_found": f"SELECT record_id FROM ({_RANKED}) WHERE copy_no > 1",
