@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.session import salted_join, stored
+from claimloom.session import dealt, salted_join, stored
 
 # One bit per type of a value.
 TEXT, INTEGER, DECIMAL, BOOLEAN, OBJECT, ARRAY = 1, 2, 4, 8, 16, 32
@@ -134,7 +134,7 @@ def parsed_records(df: DataFrame, payload: str = "payload", keep: tuple[str, ...
     """``keep`` columns and ``_cells``, the fields of the record as (field, kind, value). Payloads are read once and stored."""
     rows = df.select(*keep, F.col(payload).alias("_payload"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_payload") + f", _cells {_CELLS_SQL}"
-    read = _flat_cells(rows, "_payload")
+    read = _flat_cells(dealt(rows), "_payload")
     read = stored(read.withColumn("_payload", F.when(F.col("_cells").isNull(), F.col("_payload"))).withColumn("_rest", F.col("_cells").isNull()))
     rest = read.filter("_rest").select(*keep, "_payload").mapInArrow(_parse_batches, schema)
     return read.filter(~F.col("_rest")).select(*keep, "_cells").unionByName(stored(rest))

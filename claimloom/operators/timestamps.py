@@ -18,7 +18,7 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.session import salted_join, stored
+from claimloom.session import dealt, salted_join, stored
 
 # Usual meaning of zone abbreviations as offsets.
 ABBREVIATIONS = {
@@ -218,6 +218,10 @@ def _offsets(zone: ZoneInfo, hours):
     return out
 
 
+#: Days on which zones are tried first.
+_PROBED = 24
+
+
 def _try_zones(zones: Sequence[str]):
     def tried(rows):
         import numpy as np
@@ -228,14 +232,29 @@ def _try_zones(zones: Sequence[str]):
         hours, place = np.unique(rows["hour"].to_numpy(), return_inverse=True)
         offset, least, n = rows["offset"].to_numpy(float), rows["least"].to_numpy(), rows["n"].to_numpy()
         aligned = ~np.isnan(offset)
-        out = []
+
+        def violations(zone: ZoneInfo, some) -> int:
+            kept, at = np.unique(place[some], return_inverse=True)
+            ahead = _offsets(zone, hours[kept])[at]
+            broken = (aligned[some] & (offset[some] != ahead)) | (ahead < least[some])
+            return int(n[some][broken].sum())
+
+        # Violations on a few days bound those on all days from below: what is worse there than the best can't win.
+        days = np.unique(hours // 24)
+        few = np.isin(hours[place] // 24, days[:: max(len(days) // _PROBED, 1)])
+        bounds = []
         for name in names:
             try:
-                ahead = _offsets(ZoneInfo(name), hours)[place]
+                bounds.append((violations(ZoneInfo(name), few), name))
             except (ZoneInfoNotFoundError, ValueError):
                 continue
-            broken = (aligned & (offset != ahead)) | (ahead < least)
-            out.append((source, name, int(n[broken].sum()), int(n[aligned].sum()), int(n.sum())))
+        out, best, every = [], None, np.ones(len(n), bool)
+        for bound, name in sorted(bounds):
+            if best is not None and bound > best:
+                break
+            found = violations(ZoneInfo(name), every)
+            best = found if best is None else min(best, found)
+            out.append((source, name, found, int(n[aligned].sum()), int(n.sum())))
         return pd.DataFrame(out, columns=["_source", "_zone", "violations", "aligned", "reports"])
 
     return tried
@@ -248,7 +267,8 @@ def zone_violations(reports: DataFrame, candidates: Sequence[str], declared: Dat
     ``reports`` has ``_source``, ``_event`` (identifier of what is reported, may be null), ``_civil`` and ``_arrived``
     (microseconds). A converted report violates the order if it lies after its own arrival, or if zoned reports of the
     same event exist and none agrees with it: to the precision that it states. One task tries the zones of a source, on
-    counts by hour, whose number the calendar bounds. Sources without reports in local time have no row.
+    counts by hour, whose number the calendar bounds. Zones that can't have the fewest violations, and sources without
+    reports in local time, have no row.
     """
     counts = alignments(reports, slack_us)
     counts = counts.join(declared, "_source", "left") if declared is not None else counts.withColumn("_declared", F.lit(None).cast("string"))
@@ -290,7 +310,7 @@ def regulatory_reports(raw: DataFrame, sources: DataFrame) -> DataFrame:
     fields = ("data_ocorrencia", "EVENT_DATE", "occurrenceDate")
     stated = F.coalesce(*[F.when(F.col("date_field") == n, F.col(n)) for n in fields])
     needed = raw.select("record_id", "external_reference_id", "kafka_timestamp", *fields, _source_name(F.col("source_system")).alias("_source"))
-    rows = needed.join(rules, "_source")
+    rows = dealt(needed).join(rules, "_source")
     rows = rows.select(
         "record_id", "_source", F.lower(F.trim("external_reference_id")).alias("_event"), F.unix_micros("kafka_timestamp").alias("_arrived"),
         stated.alias("_stated"), F.col("numeric_date_order").alias("_order"),

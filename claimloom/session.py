@@ -100,6 +100,12 @@ def clear_stored(spark: SparkSession) -> int:
     return len(paths)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """An input of a single partition, such as one small or unsplittable file, dealt to all cores before costly work on its
+    rows; any other input stays as it is. Rows keep deterministic places, so retries see the same rows."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+
+
 #: Parts over which ``salted_join`` spreads each value of the key.
 SALTS = 16
 
