@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.session import stored
+from claimloom.session import dealt, stored
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -139,7 +139,7 @@ def encoded(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     Each input row gives one row, also where ids repeat or are null. Texts are split once; the blocks are stored, since
     both their words and their texts are read.
     """
-    texts = documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+    texts = dealt(documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")))
     id_type = texts.schema["_id"].dataType.simpleString()
     parts = stored(texts.mapInArrow(_into_blocks(BLOCK_WORDS, BLOCK_TEXTS), _PARTS.format(id=id_type)))
     words = parts.filter(F.col("_word").isNotNull()).select("_block", "_number", "_word")

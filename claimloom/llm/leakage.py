@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.session import stored
+from claimloom.session import dealt, stored
 
 #: Consecutive words that make a leak.
 RUN = 13
@@ -377,7 +377,7 @@ def leaked(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", te
     Repeated rows each give their cases; of repeated items the least row counts. Shards of up to ``index_bytes`` in all
     are searched in one scan of the corpus; a larger index takes further scans.
     """
-    texts = documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).filter(F.length("_text") > 0)
+    texts = dealt(documents.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))).filter(F.length("_text") > 0)
     schema = f"_id {texts.schema['_id'].dataType.simpleString()}, item_id long, question_overlap double, answer_stands boolean"
     shards = stored(index_shards(items, shard))
     # One row a shard; the shards themselves come to the driver within the bound.

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.session import salted_join, stored
+from claimloom.session import dealt, salted_join, stored
 
 #: Marks that sources set where they cut.
 MARKS = (" [...]", "[...]", "…", "...")
@@ -203,7 +203,8 @@ def assessed(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 
     Null and empty texts were not cut and have no row. Texts without source share one. Repeated rows each give a row.
     """
-    texts = documents.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), F.col(text_column).alias("_text")).filter(F.length("_text") > 0)
+    texts = documents.select(F.col(id_column).alias("_id"), F.col(source_column).alias("_source"), F.col(text_column).alias("_text"))
+    texts = dealt(texts).filter(F.length("_text") > 0)
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
     # Texts are read once; their ends and the distinct words of each batch are stored, as several steps read them.
     parts = stored(texts.mapInArrow(_take_apart, _PARTS.format(id=kinds["_id"], source=kinds["_source"])))
