@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimloom.schemas import TOPIC_COLUMNS
+
 REASON = "schema_validation_failed"
 
 
@@ -17,15 +19,9 @@ def parse_events(raw: DataFrame, schema: T.StructType, ingested_at: Column | Non
 
     Text that is no JSON gives a payload of nulls; a null value gives a null payload.
     """
-    return raw.select(
-        F.col("key").cast("string").alias("event_key"),
-        F.col("value").cast("string").alias("raw_value"),
-        F.from_json(F.col("value").cast("string"), schema).alias("payload"),
-        F.col("timestamp").cast("timestamp").alias("kafka_timestamp"),
-        F.col("partition"),
-        F.col("offset"),
-        (F.current_timestamp() if ingested_at is None else ingested_at).alias("_ingested_at"),
-    )
+    columns = [F.col(c).cast(kind).alias(name) for c, (name, kind) in TOPIC_COLUMNS.items()]
+    came = (F.current_timestamp() if ingested_at is None else ingested_at).alias("_ingested_at")
+    return raw.select(*columns, came).withColumn("payload", F.from_json("raw_value", schema))
 
 
 def malformed(required: list[str]) -> Column:

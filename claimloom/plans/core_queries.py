@@ -440,9 +440,10 @@ _HISTORY = f"""(SELECT t.policy_id, t.record_id, t.consent_status, t.target_inst
     FROM {_S} s LEFT JOIN {_T} t USING (policy_id) WHERE t.policy_id IS NULL OR t.event_timestamp < s.event_timestamp)"""
 
 
-@query(f"SELECT policy_id, record_id FROM {_S}")
+@query("SELECT policy_id, record_id FROM (SELECT *, row_number() OVER (PARTITION BY policy_id ORDER BY event_timestamp DESC, record_id DESC) AS rn FROM consent_events) WHERE rn = 1")
 def scd2_latest(spark, d):
-    return store.scd2_latest(_consent_batches(spark, d)[1], "policy_id", "event_timestamp").select("policy_id", "record_id")
+    events = read_table(spark, d, "consent_events").drop("kafka_timestamp", "_ingested_at")
+    return store.scd2_latest(events, "policy_id", "event_timestamp").select("policy_id", "record_id")
 
 
 def _target_and_latest(spark, d):

@@ -122,12 +122,20 @@ def run(spark: SparkSession, report: Report) -> DataFrame:
     return spark.sql(report.sql, args=report.params)
 
 
-def run_or_none(spark: SparkSession, report: Report) -> list[dict] | None:
-    """Rows of a report; None where a table isn't there yet."""
+#: Rows of a report that the driver takes.
+MAX_ROWS = 10_000
+
+
+def run_or_none(spark: SparkSession, report: Report, most: int = MAX_ROWS) -> list[dict] | None:
+    """Rows of a report; None where a table isn't there yet. A report of more than ``most`` rows raises and is to be read
+    through ``run``."""
     from pyspark.errors import AnalysisException
 
     try:
-        return [r.asDict() for r in run(spark, report).collect()]
+        rows = [r.asDict() for r in run(spark, report).limit(most + 1).collect()]
+        if len(rows) > most:
+            raise ValueError(f"the report has more than {most} rows")
+        return rows
     except AnalysisException as e:
         if "TABLE_OR_VIEW_NOT_FOUND" in str(e):
             return None

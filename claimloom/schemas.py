@@ -77,6 +77,15 @@ REGULATORY_RAW = T.StructType(
     ]
 )
 
+#: Columns of any topic, with the names and types that they have in bronze.
+TOPIC_COLUMNS = {
+    "key": ("event_key", "string"),
+    "value": ("raw_value", "string"),
+    "timestamp": ("kafka_timestamp", "timestamp"),
+    "partition": ("partition", "int"),
+    "offset": ("offset", "bigint"),
+}
+
 TOPICS = {
     "claim-opened": CLAIM,
     "claim-updated": CLAIM,
