@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import scalar
 from claimloom.operators import bronze, health, quality, regulatory, scoring
 from claimloom.plans import core_queries as core
+from claimloom.plans import pipelines
 from claimloom.session import ensure_checkpoint_dir, read_table, stored
 from claimloom.sources import files, topics
 from claimloom.store import TableStore
@@ -214,3 +215,74 @@ def health_states(spark, d):
 @query(f"SELECT CASE WHEN count(*) = 0 THEN 'unknown' WHEN bool_or(drift_detected) THEN 'yellow' ELSE 'green' END AS state FROM ({core.ORACLES['model_drift']})")
 def drift_health(spark, d):
     return core._drift(spark, d).agg(health.drift_column(F.col("drift_detected")).alias("state"))
+
+
+# --- flows ------------------------------------------------------------------------------------------------------------
+
+
+class _Silent:
+    def send(self, text: str) -> None:
+        pass
+
+
+@query(f"SELECT claim_id, count(*)::BIGINT AS copies FROM (SELECT DISTINCT claim_id FROM bronze_claims WHERE NOT {core._BAD}) GROUP BY 1")
+def stream_gold(spark, d):
+    """From the topic over the merged table's changes to the scores: one row per claim."""
+    store, folder = _streamed(spark, d)
+    runners.run_silver(spark, store, "bronze.claims", "silver.claims", "claim_id", f"{folder}/checkpoint2")
+    runners.run_scoring(spark, store, "silver.claims", "gold.claims", f"{folder}/checkpoint3")
+    return store.read("gold.claims").filter(F.col("fraud_score").between(0, 1)).groupBy("claim_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query("""SELECT policy_id, consent_status, target_institution, epoch_us(event_timestamp) AS valid_from_us
+    FROM (SELECT *, row_number() OVER (PARTITION BY policy_id ORDER BY event_timestamp DESC, record_id DESC) AS rn FROM consent_events) WHERE rn = 1""")
+def flow_consents(spark, d):
+    """The consent flow over one batch: the newest row of each policy is current."""
+    store, events = TableStore(spark, _folder(spark)), read_table(spark, d, "consent_events").drop("kafka_timestamp", "_ingested_at")
+    pipelines.consent_flow(store, events, core.AS_OF)
+    return store.read("silver.consent_current").filter("is_current").select("policy_id", "consent_status", "target_institution", core._us("valid_from"))
+
+
+@query(f"SELECT *, compliance_issues = '' AS susep_compliant FROM {core._EXPORT}")
+def flow_regulatory(spark, d):
+    """The regulatory flow from raw reports to the export."""
+    store = TableStore(spark, _folder(spark))
+    pipelines.regulatory_flow(store, read_table(spark, d, "regulatory_claims_raw"), core.AS_OF)
+    far = F.when(F.length("D_OCORR") > 8, "far").otherwise(F.col("D_OCORR"))
+    return store.read("gold.regulatory_claims").withColumns({"INDENIZ": F.round("INDENIZ", 2), "D_OCORR": far})
+
+
+_WINDOW_US = f"{core._AS_OF_US} - 60 * {core._DAY_US}"
+_WINDOWED = core._SCORED.replace(core._SILVER, f"(SELECT * FROM {core._SILVER} WHERE epoch_us(event_timestamp) >= {_WINDOW_US})")
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{f}' AS feature_name, round(abs(avg({f}) - 0.5) / 0.25, 6) AS drift_ratio, abs(avg({f}) - 0.5) / 0.25 > 2.0 AS drift_detected, 1440 AS window_hours FROM {_WINDOWED}" for f in scoring.FEATURES
+))
+def flow_drift(spark, d):
+    """The drift flow over the claims of 60 days, whose features are computed anew, against a given baseline."""
+    store = TableStore(spark, _folder(spark))
+    store.overwrite("gold.claims", core._gold(spark, d))
+    baseline = spark.createDataFrame([("r", f, 0.5, 0.25, core.AS_OF) for f in scoring.FEATURES], "champion_run_id string, feature_name string, mean double, stddev double, _computed_at timestamp")
+    store.overwrite("monitoring.feature_baseline", baseline)
+    pipelines.drift_flow(store, core.AS_OF, _Silent(), hours=60 * 24)
+    return store.read("monitoring.drift_results").select("feature_name", core._num("drift_ratio"), "drift_detected", "window_hours")
+
+
+def _seconds_sql(metric: str, source: str, seconds: str, bound: int, at: str) -> str:
+    return f"SELECT '{metric}' AS metric_name, count(*) AS sample_size, max({seconds}) AS max_seconds, CASE WHEN count(*) > 0 THEN max({seconds}) <= {bound} END AS within_sla FROM {source} WHERE {at} >= {_WINDOW_US}"
+
+
+@query(
+    _seconds_sql("kafka_to_bronze", "bronze_claims", "epoch_us(_ingested_at) // 1000000 - epoch_us(kafka_timestamp) // 1000000", 120, "epoch_us(_ingested_at)")
+    + " UNION ALL " + _seconds_sql("score_visible", core._GOLD, "scored_us // 1000000 - epoch_us(_ingested_at) // 1000000", 420, "scored_us")
+    + f" UNION ALL SELECT 'throughput', NULL, NULL, CASE WHEN count(*) > 0 THEN count(*) FILTER (n < 80) = 0 END FROM (SELECT count(*) AS n FROM bronze_claims WHERE epoch_us(_ingested_at) >= {_WINDOW_US} GROUP BY epoch_us(_ingested_at) // 60000000)"
+)
+def flow_latency(spark, d):
+    """The latency flow over 60 days, as it is appended to the table of reports."""
+    store = TableStore(spark, _folder(spark))
+    store.overwrite("bronze.claims", core._bronze(spark, d))
+    store.overwrite("gold.claims", core._gold(spark, d))
+    pipelines.latency_flow(store, core.AS_OF, _Silent(), core.timedelta(days=60))
+    details = [F.get_json_object("details_json", f"$.{n}").cast("long").alias(n) for n in ("sample_size", "max_seconds")]
+    return store.read("monitoring.latency_results").select("metric_name", *details, "within_sla")
