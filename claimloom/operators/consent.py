@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.session import salted_join
 from claimloom.store import scd2_merged
 
 # The name lists of the synthetic profiles.
@@ -23,10 +24,18 @@ def current_consents(history: DataFrame) -> DataFrame:
 
 
 def shareable(consents: DataFrame, profiles: DataFrame, claims: DataFrame) -> DataFrame:
-    """Granted consents with their profile and claims; consents without claim stay, those without profile don't."""
+    """Granted consents with their profile and claims; consents without claim stay, those without profile don't.
+
+    One policy may have most of the claims, so claims are spread over parts of the join, and consents without any are
+    added apart.
+    """
     granted = consents.filter(F.col("consent_status") == "GRANTED").select("policy_id", "target_institution", "scope")
-    shared = profiles.select("policy_id", "synthetic_name", "synthetic_age", "risk_score")
-    return granted.join(shared, "policy_id").join(claims.select("policy_id", "claim_id", "event_type", "amount", "region"), "policy_id", "left")
+    shared = granted.join(profiles.select("policy_id", "synthetic_name", "synthetic_age", "risk_score"), "policy_id")
+    told = claims.select("policy_id", "claim_id", "event_type", "amount", "region")
+    columns = [*shared.columns, *told.columns[1:]]
+    met = salted_join(told, shared.withColumn("_granted", F.lit(True)), "policy_id", F.struct(*told.columns)).filter("_granted").select(*columns)
+    alone = shared.join(told.select("policy_id").distinct(), "policy_id", "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
 
 
 def profile(policy_id: str) -> tuple[str, int, float]:

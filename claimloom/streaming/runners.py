@@ -159,7 +159,8 @@ def k_slack_stream(events: DataFrame, event_time: str = "event_timestamp", arriv
     ``disorder``, by which arrivals may come out of order. When it passes publication, a slot tells its ``provisional``
     count and amount; each later row is told as ``correction`` or ``dropped``; when it passes closing, the buffer is sorted
     by event time and released as the ``final`` summary of the slot. ``lateness.merged_slots`` merges the final rows of a
-    period. Rows without event time or arrival are left out.
+    period. Rows without event time or arrival are left out. Rows that come more than ``disorder`` behind the latest
+    arrival are late for the stream itself and dropped by its watermark; the replay of the table still counts them.
     """
     at, came = F.unix_micros(F.col(event_time)), F.unix_micros(F.col(arrival))
     start = lateness.period_us(at)
