@@ -20,7 +20,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.session import dealt, salted_join, stored
@@ -178,38 +178,39 @@ def sized_headers(records: DataFrame) -> DataFrame:
 
 
 def _steps(records: DataFrame) -> DataFrame:
-    """Fields of each pair of consecutive files: ``file_no`` of the later one, ``was`` and ``now`` (masks, -1: absent)."""
-    headers = file_headers(records)
-    absent = F.lit(-1)
-    now = headers.select("feed_id", "file_no", "field", absent.alias("was"), F.col("mask").alias("now"))
-    was = headers.select("feed_id", (F.col("file_no") + 1).alias("file_no"), "field", F.col("mask").alias("was"), absent.alias("now"))
-    files = records.select("feed_id", "file_no").filter(F.col("feed_id").isNotNull() & F.col("file_no").isNotNull()).distinct()
-    pairs = (
-        files.withColumn("side", F.lit(1))
-        .unionByName(files.select("feed_id", (F.col("file_no") + 1).alias("file_no"), F.lit(2).alias("side")))
-        .groupBy("feed_id", "file_no")
-        .agg(F.sum("side").alias("side"))
-        .filter("side = 3")
-        .select("feed_id", "file_no")
-    )
-    both = now.unionByName(was).groupBy("feed_id", "file_no", "field").agg(F.max("was").alias("was"), F.max("now").alias("now"))
-    return both.join(pairs, ["feed_id", "file_no"])
+    """One row for each file that has one before it: ``fields`` of either as (field, was, now), masks or -1 if absent.
+
+    Each record also counts for a field without name, which tells that a file exists, whatever its records hold.
+    """
+    named = F.transform("_cells", lambda c: F.struct(c["field"].alias("field"), c["kind"].alias("kind")))
+    exists = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(0).alias("kind")))
+    known = records.filter(F.col("feed_id").isNotNull() & F.col("file_no").isNotNull())
+    headers = file_headers(known.select("feed_id", "file_no", F.concat(exists, named).alias("_cells")))
+    sides = F.array(F.struct("file_no", F.col("mask").alias("now"), F.lit(-1).alias("was")), F.struct((F.col("file_no") + 1).alias("file_no"), F.lit(-1).alias("now"), F.col("mask").alias("was")))
+    masks = headers.select("feed_id", "field", F.explode(sides).alias("s")).groupBy("feed_id", "s.file_no", "field").agg(F.max("s.was").alias("was"), F.max("s.now").alias("now"))
+    steps = masks.groupBy("feed_id", "file_no").agg(F.collect_list(F.struct("field", "was", "now")).alias("fields"))
+    both = steps.filter(F.exists("fields", lambda f: f["field"].isNull() & (f["was"] >= 0) & (f["now"] >= 0)))
+    return both.withColumn("fields", F.filter("fields", lambda f: f["field"].isNotNull()))
+
+
+def _gone(fields: str) -> Column:
+    return F.filter(fields, lambda f: f["now"] == -1)
+
+
+def _came(fields: str) -> Column:
+    return F.filter(fields, lambda f: f["was"] == -1)
 
 
 def _renames(records: DataFrame, steps: DataFrame) -> DataFrame:
-    """``feed_id``, ``file_no``, ``old_field``, ``new_field`` of fields whose values agree in all shared records.
+    """``feed_id``, ``file_no`` and ``pairs`` (old_field, new_field) of fields whose values agree in all shared records.
 
     Each record is the older side of one pair of files and the newer side of another. Of the copies of a record in one
     file the least one counts (cell by cell), so a record sent any number of times stays small.
     """
     at = ["feed_id", "file_no"]
     place = F.struct(*at).alias("_place")
-    candidates = (
-        steps.groupBy(*at)
-        .agg(F.collect_list(F.when(F.col("now") == -1, F.col("field"))).alias("gone"), F.collect_list(F.when(F.col("was") == -1, F.col("field"))).alias("came"))
-        .filter((F.size("gone") > 0) & (F.size("came") > 0))
-        .select(place, "gone", "came")
-    )
+    names = lambda fields: F.transform(fields, lambda f: f["field"])
+    candidates = steps.select(place, names(_gone("fields")).alias("gone"), names(_came("fields")).alias("came")).filter((F.size("gone") > 0) & (F.size("came") > 0))
     known = records.filter(F.col("ref").isNotNull() & F.col("feed_id").isNotNull() & F.col("file_no").isNotNull())
     sides = known.select("feed_id", "ref", "_cells", F.explode(F.array(*[F.struct((F.col("file_no") + i).alias("file_no"), F.lit(bool(i)).alias("older")) for i in (0, 1)])).alias("s"))
     # A file may hold most of the records.
@@ -224,58 +225,57 @@ def _renames(records: DataFrame, steps: DataFrame) -> DataFrame:
     old, new, none = F.col("old"), F.col("new"), F.lit(None).cast("string")
     pair = lambda o, n: F.struct(o.alias("old_field"), n.alias("new_field"))
     met = F.flatten(F.transform(old, lambda o: F.transform(F.filter(new, lambda n: n["value"] == o["value"]), lambda n: pair(o["field"], n["field"]))))
+    # Counts of a field alone stand beside the counts of its pairs.
     counted = (
         compared.filter("old is not null and new is not null")
         .select(*at, F.explode(F.concat(met, F.transform(old, lambda o: pair(o["field"], none)), F.transform(new, lambda n: pair(none, n["field"])))).alias("p"))
         .groupBy(*at, "p.old_field", "p.new_field")
         .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*at)
+        .agg(F.collect_list(F.struct("old_field", "new_field", "n")).alias("all"))
     )
-    # Counts of a field alone stand beside the counts of its pairs.
-    per_old, per_new = Window.partitionBy(*at, "old_field"), Window.partitionBy(*at, "new_field")
-    alone_old = F.max(F.when(F.col("new_field").isNull(), F.col("n"))).over(per_old)
-    alone_new = F.max(F.when(F.col("old_field").isNull(), F.col("n"))).over(per_new)
-    agreed = counted.withColumns({"old_n": alone_old, "new_n": alone_new}).filter("old_field is not null and new_field is not null and n = old_n and n = new_n")
+    same = lambda p, q, field: q[field] == p[field]
+    alone = lambda p, field, other: F.exists("all", lambda q: same(p, q, field) & q[other].isNull() & (q["n"] == p["n"]))
+    agreed = F.filter("all", lambda p: p["old_field"].isNotNull() & p["new_field"].isNotNull() & alone(p, "old_field", "new_field") & alone(p, "new_field", "old_field"))
     # A field is renamed once: of several candidates, the first by name on either side.
-    a = F.row_number().over(per_old.orderBy("new_field"))
-    b = F.row_number().over(per_new.orderBy("old_field"))
-    return agreed.withColumns({"a": a, "b": b}).filter("a = 1 and b = 1").select(*at, "old_field", "new_field")
+    first = lambda p, field, other: ~F.exists("agreed", lambda q: same(p, q, field) & (q[other] < p[other]))
+    once = F.filter("agreed", lambda p: first(p, "old_field", "new_field") & first(p, "new_field", "old_field"))
+    pairs = F.transform(once, lambda p: pair(p["old_field"], p["new_field"]))
+    return counted.withColumn("agreed", agreed).select(*at, pairs.alias("pairs")).filter(F.size("pairs") > 0)
 
 
 def drift(records: DataFrame, record_key: str) -> tuple[DataFrame, DataFrame]:
-    """The steps between consecutive files and the renamings among them. Both have the size of the headers and are
+    """The steps between consecutive files and the renamings among them. Both have the size of the headers; steps are
     stored, as several results read them."""
     steps = stored(_steps(records))
-    return steps, stored(_renames(records.withColumn("ref", _cell("_cells", record_key)), steps))
+    return steps, _renames(records.withColumn("ref", _cell("_cells", record_key)), steps)
 
 
 def schema_changes(df: DataFrame, record_key: str = "external_reference_id", payload: str = "payload") -> DataFrame:
     """``feed_id``, ``file_no``, ``change``, ``old_field``, ``new_field`` for each file against the one before.
 
     Rows come in the order of feeds, files and names. Records without ``record_key`` take no part in recognising renamings.
-    A field with only nulls has no type, and no change of type is reported for it. Payloads that are no JSON object hold no fields; their file still exists.
+    A field with only nulls has no type, and no change of type is reported for it. Payloads that are no JSON object hold
+    no fields; their file still exists.
     """
-    records = parsed_records(df, payload)
-    steps, renamed = drift(records, record_key)
     at = ["feed_id", "file_no"]
-    lost, got, kept = steps.filter("now = -1"), steps.filter("was = -1"), steps.filter("was >= 0 and now >= 0")
-    removed = lost.join(renamed.select(*at, F.col("old_field").alias("field")), [*at, "field"], "left_anti")
-    added = got.join(renamed.select(*at, F.col("new_field").alias("field")), [*at, "field"], "left_anti")
-    both = renamed.join(lost.select(*at, F.col("field").alias("old_field"), "was"), [*at, "old_field"]).join(
-        got.select(*at, F.col("field").alias("new_field"), "now"), [*at, "new_field"]
-    )
-    typed = kept.select(*at, F.col("field").alias("old_field"), F.col("field").alias("new_field"), "was", "now").unionByName(
-        both.select(*at, "old_field", "new_field", "was", "now")
-    )
-    retyped = typed.filter(promoted(F.col("was")) != promoted(F.col("now")))
-    row = lambda d, change, old, new: d.select(*at, F.lit(change).alias("change"), old.alias("old_field"), new.alias("new_field"))
-    none = F.lit("")
-    return (
-        row(renamed, "renamed", F.col("old_field"), F.col("new_field"))
-        .unionByName(row(removed, "removed", F.col("field"), none))
-        .unionByName(row(added, "added", none, F.col("field")))
-        .unionByName(row(retyped, "retyped", F.col("old_field"), F.col("new_field")))
-        .orderBy(*at, "change", "old_field", "new_field")
+    steps, renamed = drift(parsed_records(df, payload), record_key)
+    no_pairs = F.array().cast("array<struct<old_field:string,new_field:string>>")
+    joined = steps.join(renamed, at, "left").withColumn("pairs", F.coalesce("pairs", no_pairs))
+    row = lambda change, old, new: F.struct(F.lit(change).alias("change"), old.alias("old_field"), new.alias("new_field"))
+    unpaired = lambda f, side: ~F.exists("pairs", lambda p: p[side] == f["field"])
+    of = lambda name, side, mask: F.get(F.filter("fields", lambda f: (f["field"] == name) & (f[side] == -1)), F.lit(0))[mask]
+    other_type = lambda was, now: F.coalesce(promoted(was) != promoted(now), F.lit(False))
+    kept = F.filter("fields", lambda f: (f["was"] >= 0) & (f["now"] >= 0) & other_type(f["was"], f["now"]))
+    moved = F.filter("pairs", lambda p: other_type(of(p["old_field"], "now", "was"), of(p["new_field"], "was", "now")))
+    changes = F.concat(
+        F.transform("pairs", lambda p: row("renamed", p["old_field"], p["new_field"])),
+        F.transform(F.filter(_gone("fields"), lambda f: unpaired(f, "old_field")), lambda f: row("removed", f["field"], F.lit(""))),
+        F.transform(F.filter(_came("fields"), lambda f: unpaired(f, "new_field")), lambda f: row("added", F.lit(""), f["field"])),
+        F.transform(kept, lambda f: row("retyped", f["field"], f["field"])),
+        F.transform(moved, lambda p: row("retyped", p["old_field"], p["new_field"])),
     )
+    return joined.select(*at, F.explode(changes).alias("c")).select(*at, "c.*").orderBy(*at, "change", "old_field", "new_field")
 
 
 def _cell(cells: str, field: str) -> Column:
@@ -315,6 +315,7 @@ def field_names(records: DataFrame, record_key: str = "external_reference_id") -
     Only headers are grouped by feed."""
     headers = stored(sized_headers(records).filter(F.col("feed_id").isNotNull() & F.col("file_no").isNotNull()))
     _, renamed = drift(records, record_key)
+    renamed = renamed.select("feed_id", "file_no", F.explode("pairs").alias("p")).select("feed_id", "file_no", "p.*")
     schema = "feed_id string, file_no int, field string, name string, mask int, whole int, fraction int"
     return stored(headers.groupBy("feed_id").cogroup(renamed.groupBy("feed_id")).applyInPandas(_follow_feed, schema))
 
