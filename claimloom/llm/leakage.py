@@ -40,7 +40,7 @@ WINDOW = 26
 #: Items of one index shard, and of one block of its postings.
 SHARD, BLOCK = 4_096, 8
 #: Bytes of index shards that are broadcast for one scan of the corpus.
-INDEX_BYTES = 256 << 20
+INDEX_BYTES = 64 << 20
 #: Words on either side of a window among which question and answer are looked for.
 CONTEXT = 64
 #: Windows of a text that are scored at once; bounds the memory of very long texts.
