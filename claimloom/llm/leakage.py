@@ -46,7 +46,7 @@ CONTEXT = 64
 #: Windows of a text that are scored at once; bounds the memory of very long texts.
 AT_ONCE = 4_096
 #: Words of texts that are searched together.
-TOKENS_AT_ONCE = 200_000
+TOKENS_AT_ONCE = 1_000_000
 # The usual parameters of BM25.
 K1, B = 1.2, 0.75
 
@@ -160,7 +160,7 @@ class Index:
                 self.terms.setdefault(w, len(self.terms))
         numbers = lambda words: np.array([self.terms[w] for w in words], "<i4")
         self.passages = [numbers(x[1]).tobytes() for x in texts]
-        self.questions = [np.unique(numbers(x[2])) for x in texts]
+        self.questions = [frozenset(numbers(x[2]).tolist()) for x in texts]
         self.answers = [numbers(x[3]).tobytes() for x in texts]
         n, mean = len(texts), sum(len(x[1]) for x in texts) / max(len(texts), 1)
         idf = {w: math.log(1 + (n - f + 0.5) / (f + 0.5)) for w, f in frequency.items()}
@@ -230,7 +230,7 @@ class Index:
         return (np.concatenate(rows), np.concatenate(items)) if rows else (none, none)
 
     def retrieve(self, tokens: np.ndarray) -> list[tuple[int, int]]:
-        """(start of window, item) of all pairs that score 1 or more."""
+        """(start of window, item) of all pairs that score 1 or more and have a run of words of the item."""
         if not self.items:
             return []
         n, step, found = len(tokens), WINDOW - RUN + 1, []
@@ -251,16 +251,21 @@ class Index:
         starts = starts[total[np.minimum(starts + WINDOW, n)] - total[starts] >= 1]
         padded = np.concatenate([terms, np.full(WINDOW, self.posted)])
         for at in range(0, len(starts), AT_ONCE):
-            words = np.sort(padded[starts[at : at + AT_ONCE, None] + np.arange(WINDOW)], axis=1)
+            windows = padded[starts[at : at + AT_ONCE, None] + np.arange(WINDOW)]
+            words = np.sort(windows, axis=1)
             words[:, 1:][words[:, 1:] == words[:, :-1]] = self.posted
             window, item = self._wand(words)
-            found += zip(starts[at + window].tolist(), item.tolist())
+            # A run of an item consists of words that the item has.
+            has = np.zeros((len(item), WINDOW + 1), np.int8)
+            np.cumsum(self._at(self.keys, self.weights, windows[window] * self.span + item[:, None]) > 0, axis=1, out=has[:, 1:])
+            run = (has[:, RUN:] - has[:, :-RUN] == RUN).any(axis=1)
+            found += zip(starts[at + window[run]].tolist(), item[run].tolist())
         return found
 
     def _overlap(self, d: int, around: np.ndarray) -> tuple[float, bool]:
         """Share of the question's words among the words ``around``, and whether the answer stands there."""
         asked, answer = self.questions[d], self.answers[d]
-        return float(np.isin(asked, around).mean()) if len(asked) else 0.0, bool(answer) and _spot(around.tobytes(), answer)
+        return len(asked.intersection(around.tolist())) / len(asked) if asked else 0.0, bool(answer) and _spot(around.tobytes(), answer)
 
     def numbered(self, text: str | None) -> list[np.ndarray]:
         """The readings of a text as term numbers; words that no item has share one number."""
