@@ -115,7 +115,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_rows(spark: SparkSession, d: str) -> DataFrame:
-    return landing.loaded_rows(read_table(spark, d, "claims_landing"))
+    rows = landing.loaded_rows(read_table(spark, d, "claims_landing"))
+    return rows.withColumns({"event_timestamp_us": F.unix_micros("event_timestamp"), "amount": F.col("amount").cast("double")}).drop("event_timestamp")
 
 
 def p7_edits(spark: SparkSession, d: str) -> DataFrame:
@@ -237,12 +238,13 @@ _P7 = f"""WITH t AS (SELECT line_id, regexp_replace(regexp_replace(raw_value, '^
   r AS (SELECT line_id, CASE WHEN t IS NULL THEN 'column_count' WHEN NOT sound THEN 'broken_quoting' WHEN len(f) <> 10 THEN 'column_count'
       WHEN regexp_full_match(f[1], '(?s)\\s*') OR f[4] NOT IN ('claim-opened', 'claim-updated')
         OR NOT regexp_full_match(f[5], '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])') OR try_cast(substr(f[5], 1, 10) AS DATE) IS NULL
-        OR NOT regexp_full_match(f[6], '([0-9]+(\\.[0-9]{{1,2}})?)?') OR f[7] NOT IN ('', 'SP', 'RJ', 'MG', 'BA', 'RS', 'PR', 'SC', 'PE', 'CE', 'GO', 'DF', 'AM') THEN 'invalid_value' END AS _reason FROM f)
-  SELECT line_id, _reason FROM r WHERE _reason IS NOT NULL"""
+        OR NOT regexp_full_match(f[6], '([0-9]+(\\.[0-9]{{1,2}})?)?') OR f[7] NOT IN ('', 'SP', 'RJ', 'MG', 'BA', 'RS', 'PR', 'SC', 'PE', 'CE', 'GO', 'DF', 'AM') THEN 'invalid_value' END AS _reason, f FROM f)"""
+_LOADED = ", ".join(f"nullif(f[{i + 1}], '') AS {c}" for i, c in enumerate(landing.COLUMNS) if c not in ("event_timestamp", "amount"))
 
 ORACLES = {
     "p3_found": _P3,
-    "p7_found": _P7,
+    "p7_found": f"{_P7} SELECT line_id, _reason FROM r WHERE _reason IS NOT NULL",
+    "p7_rows": f"{_P7} SELECT line_id, {_LOADED}, epoch_us(f[5]::TIMESTAMPTZ) AS event_timestamp_us, nullif(f[6], '')::DOUBLE AS amount FROM r WHERE _reason IS NULL",
     "p2_found": _P2,
     "p1_found": f"SELECT record_id FROM ({_RANKED}) WHERE copy_no > 1",
     "p1_kept": f"SELECT record_id, claim_id, event_type, region, amount::DOUBLE AS amount FROM ({_RANKED}) WHERE copy_no = 1",
