@@ -20,7 +20,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.session import salted_join
+from claimloom.session import row_hash, salted_join
 
 _DAY_US = 86_400_000_000
 #: Rows of one part of a buffer.
@@ -62,12 +62,11 @@ def replayed(df: DataFrame, event_time: str = "event_timestamp", arrival: str =
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     value = F.lit(0) if amount is None else F.coalesce(F.col(amount), F.lit(0))
     start = lambda: period_us(F.unix_micros(F.col(event_time))).alias("_start")
-    rows = df.select(row.alias("_row"), start(), F.unix_micros(F.col(arrival)).alias("_time"), value.cast("decimal(38,2)").alias("_value"))
+    rows = df.select(row.alias("_row"), row_hash(df).alias("_place"), start(), F.unix_micros(F.col(arrival)).alias("_time"), value.cast("decimal(38,2)").alias("_value"))
     rows = rows.filter(F.col("_start").isNotNull() & F.col("_time").isNotNull())
     counted = (df if sizes is None else sizes).select(start()).filter(F.col("_start").isNotNull()).groupBy("_start").agg(F.count(F.lit(1)).alias("n"))
     parts = counted.select("_start", F.ceil(F.col("n") / part_rows).cast("int").alias("_parts"))
-    place = F.xxhash64("_row")
-    placed = salted_join(rows, parts, "_start", place).select("_row", "_start", F.pmod(place, F.col("_parts")).cast("int").alias("_part"), "_time", F.lit(_STARTED).alias("_mark"), "_value")
+    placed = salted_join(rows, parts, "_start", F.col("_place")).select("_row", "_start", F.pmod(F.col("_place"), F.col("_parts")).cast("int").alias("_part"), "_time", F.lit(_STARTED).alias("_mark"), "_value")
     end = F.col("_start") + F.lit(_DAY_US)
     both = F.array(*[F.struct((end + F.lit(_us(after))).alias("_time"), F.lit(mark).alias("_mark")) for mark, after in ((_PUBLISHED, slack.publish_after), (_CLOSED, slack.close_after))])
     every_part = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.session import salted_join
+from claimloom.session import row_hash, salted_join
 
 DAY = 86_400
 # Weights and threshold of the score.
@@ -51,7 +51,7 @@ def with_group_statistics(df: DataFrame, group: str = "region", value: str = "am
     their statistics are too many to be broadcast, each group is spread over several parts of the join."""
     amount, named = F.col(value).cast("double"), F.struct(F.col(group).alias("g"))
     stats = df.groupBy(named.alias("__g")).agg(F.avg(amount).alias("__avg"), F.stddev_samp(amount).alias("__std"))
-    return salted_join(df.withColumn("__g", named), stats, "__g", F.struct(*[F.col(f"`{c}`") for c in df.columns])).drop("__g")
+    return salted_join(df.withColumn("__g", named), stats, "__g", row_hash(df)).drop("__g")
 
 
 def amount_outlier(amount: Column) -> Column:

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Set on sessions built here. Sessions built elsewhere keep their own sizes; only the time zone is required.
 DEFAULTS = {
@@ -106,6 +107,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the rows by their columns of plain types; maps can't be hashed."""
+    plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain], F.lit(0))
+
+
 #: Parts over which ``salted_join`` spreads each value of the key.
 SALTS = 16
 

@@ -86,7 +86,7 @@ def test_stream_and_batch_agree(spark, tmp_path):
 def test_empty_and_clashing_columns(spark):
     empty = frame(spark)
     assert lateness.period_totals(empty).count() == lateness.publications(empty).count() == lateness.released_in_order(empty).count() == 0
-    df = frame(spark, (1, 1, 2, 10)).withColumn("_period", F.lit("x")).withColumn("_fate", F.lit("x")).withColumn("_slot", F.lit(1))
+    df = frame(spark, (1, 1, 2, 10)).withColumn("_period", F.lit("x")).withColumn("_start", F.create_map(F.lit("k"), F.lit(1))).withColumn("_fate", F.lit("x")).withColumn("_slot", F.lit(1))
     assert lateness.buffered(df).first()._fate == "on_time" and lateness.released_in_order(df).first().row_count == 1
 
 
