@@ -103,8 +103,11 @@ def clear_stored(spark: SparkSession) -> int:
 
 def dealt(df: DataFrame) -> DataFrame:
     """An input of a single partition, such as one small or unsplittable file, dealt to all cores before costly work on its
-    rows; any other input stays as it is. Rows keep deterministic places, so retries see the same rows."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+    rows; any other input stays as it is. Rows keep deterministic places, so retries see the same rows. Inputs that come
+    from a shuffle are not looked at, as asking for their partitions would compute them."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() != 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def row_hash(df: DataFrame) -> Column:

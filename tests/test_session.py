@@ -45,6 +45,8 @@ def test_a_hot_key_is_spread(spark):
 def test_only_inputs_of_one_partition_are_dealt(spark):
     assert session.dealt(spark.range(100).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert session.dealt(spark.range(0, 100, 1, 3)).rdd.getNumPartitions() == 3
+    shuffled = spark.range(10).groupBy("id").count()
+    assert session.dealt(shuffled) is shuffled
 
 
 def test_reports_reach_the_driver_within_a_bound(spark):

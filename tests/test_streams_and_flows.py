@@ -1,4 +1,5 @@
 import json
+import zipfile
 from datetime import datetime, timedelta
 
 import pytest
@@ -134,6 +135,21 @@ def test_source_files(spark, tmp_path):
         files.replay(spark, {}, lambda df, topic: None)
 
 
+def test_archives_are_fetched_once(tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("readme.txt", "no")
+        z.writestr("data/claims.CSV", "COD_APO;CAUSA\n1;2\n")
+    (tmp_path / "plain.csv").write_text("a;b\n")
+    to = str(tmp_path / "got" / "claims.csv")
+    assert files.fetch_csv((tmp_path / "a.zip").as_uri(), to) == to and open(to).read() == "COD_APO;CAUSA\n1;2\n"
+    assert files.fetch_csv("file:///no/such/file", to) == to  # it is there already
+    assert open(files.fetch_csv((tmp_path / "plain.csv").as_uri(), str(tmp_path / "got" / "p.csv"))).read() == "a;b\n"
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("readme.txt", "no")
+    with pytest.raises(ValueError):
+        files.fetch_csv((tmp_path / "b.zip").as_uri(), str(tmp_path / "got" / "b.csv"))
+
+
 def test_simulated_feeds_reconcile(spark, tmp_path):
     base = spark.range(400).selectExpr("cast(id as string) COD_APO", "'20200504' D_OCORR", "cast(100 + id as string) INDENIZ", "'SP' REGIAO", "'4' CAUSA")
     feeds = [files.simulated_feed(base, s) for s in ("insurer_a", "insurer_b", "insurer_c")]
