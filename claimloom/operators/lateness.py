@@ -20,11 +20,14 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.session import row_hash, salted_join
+from claimloom.session import row_hash
 
 _DAY_US = 86_400_000_000
 #: Rows of one part of a buffer.
 PART_ROWS = 200_000
+#: Periods on the broadcast list of those with several parts; each takes a few bytes. Of N rows, a period that isn't on it
+#: has no more than ``PART_ROWS`` or N / ``HOT_PERIODS`` of them.
+HOT_PERIODS = 100_000
 
 
 @dataclass(frozen=True)
@@ -65,8 +68,11 @@ def replayed(df: DataFrame, event_time: str = "event_timestamp", arrival: str =
     rows = df.select(row.alias("_row"), row_hash(df).alias("_place"), start(), F.unix_micros(F.col(arrival)).alias("_time"), value.cast("decimal(38,2)").alias("_value"))
     rows = rows.filter(F.col("_start").isNotNull() & F.col("_time").isNotNull())
     counted = (df if sizes is None else sizes).select(start()).filter(F.col("_start").isNotNull()).groupBy("_start").agg(F.count(F.lit(1)).alias("n"))
-    parts = counted.select("_start", F.ceil(F.col("n") / part_rows).cast("int").alias("_parts"))
-    placed = salted_join(rows, parts, "_start", F.col("_place")).select("_row", "_start", F.pmod(F.col("_place"), F.col("_parts")).cast("int").alias("_part"), "_time", F.lit(_STARTED).alias("_mark"), "_value")
+    hot = counted.filter(F.col("n") > part_rows).orderBy(F.col("n").desc(), "_start").limit(HOT_PERIODS)
+    hot = F.broadcast(hot.select("_start", F.ceil(F.col("n") / part_rows).cast("int").alias("_parts")))
+    parts = counted.join(hot, "_start", "left").select("_start", F.coalesce("_parts", F.lit(1)).alias("_parts"))
+    part = F.pmod(F.col("_place"), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part")
+    placed = rows.join(hot, "_start", "left").select("_row", "_start", part, "_time", F.lit(_STARTED).alias("_mark"), "_value")
     end = F.col("_start") + F.lit(_DAY_US)
     both = F.array(*[F.struct((end + F.lit(_us(after))).alias("_time"), F.lit(mark).alias("_mark")) for mark, after in ((_PUBLISHED, slack.publish_after), (_CLOSED, slack.close_after))])
     every_part = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")
