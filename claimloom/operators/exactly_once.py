@@ -66,12 +66,13 @@ def split_by_frequency(df: DataFrame, key: MessageKey, hot_rows: int = HOT_ROWS)
     columns, w = [F.col(f"`{c}`") for c in df.columns], free_prefix(df)
     ids, orders = [f"{w}id{i}" for i in range(len(key.identifier))], [f"{w}order{i}" for i in range(len(key.order))]
     digest, copies, parts, part, rank = (w + x for x in ("digest", "copies", "parts", "part", "rank"))
-    rows = df.withColumns(dict(zip(ids, key.identifier)) | dict(zip(orders, key.order))).withColumn(digest, F.xxhash64(*ids))
-    identified = F.col(ids[0]).isNotNull()
-    if isinstance(rows.schema[ids[0]].dataType, T.StringType):
-        identified = identified & (F.col(ids[0]) != "")
-    known = rows.filter(identified)
-    anonymous = rows.filter(~identified).select(columns)
+    identified = key.identifier[0].isNotNull()
+    if isinstance(df.select(key.identifier[0]).schema[0].dataType, T.StringType):
+        identified = identified & (key.identifier[0] != "")
+    known = df.filter(identified).withColumn(digest, F.xxhash64(*key.identifier))
+    anonymous = df.filter(~identified).select(columns)
+    # Identifier and order are worked out behind the joins: single and repeated rows then share one shuffle.
+    keyed = lambda rows: rows.withColumns(dict(zip(ids, key.identifier)) | dict(zip(orders, key.order)))
 
     repeated = known.groupBy(digest).agg(F.count(F.lit(1)).alias(copies)).filter(F.col(copies) > 1)
     hot = repeated.filter(F.col(copies) > hot_rows).orderBy(F.col(copies).desc(), digest).limit(HOT_GROUPS)
@@ -80,8 +81,8 @@ def split_by_frequency(df: DataFrame, key: MessageKey, hot_rows: int = HOT_ROWS)
     singletons = cold.join(repeated, digest, "left_anti").select(columns)
 
     first_copy, whole = [F.col(c).asc_nulls_last() for c in orders], Window.partitionBy(digest, *ids)
-    ranked = cold.join(repeated, digest, "left_semi").withColumn(rank, F.row_number().over(whole.orderBy(*first_copy)))
-    salted = known.join(hot, digest).withColumn(part, F.pmod(F.xxhash64(*orders), F.col(parts)))
+    ranked = keyed(cold.join(repeated, digest, "left_semi")).withColumn(rank, F.row_number().over(whole.orderBy(*first_copy)))
+    salted = keyed(known.join(hot, digest)).withColumn(part, F.pmod(F.xxhash64(*orders), F.col(parts)))
     rounds = salted.withColumn(rank, F.row_number().over(Window.partitionBy(digest, *ids, part).orderBy(*first_copy)))
     first = F.col(rank) == 1
     finalists = rounds.filter(first).withColumn(rank, F.row_number().over(whole.orderBy(*first_copy)))
